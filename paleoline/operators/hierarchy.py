@@ -10,21 +10,22 @@ from pyspark.sql import functions as F
 from paleoline.session import current, materialise
 
 
-def _edges(lines: DataFrame, parent: str) -> DataFrame:
-    cur = current(lines, F.col(parent).alias("parent"))
+def _edges(lines: DataFrame, parent: str, weight: str | None) -> DataFrame:
+    cur = current(lines, F.col(parent).alias("parent"), *([F.col(weight).cast("bigint").alias("total")] if weight else []))
     links = cur.where("parent <> ''")
-    return links.join(cur.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent")
+    return links.join(cur.select(F.col("id").alias("parent")), "parent", "left_semi")
 
 
-def resolve_links(lines: DataFrame, parent: str = "nonbreaking_next_line", with_path: bool = False) -> DataFrame:
+def resolve_links(lines: DataFrame, parent: str = "nonbreaking_next_line", with_path: bool = False, weight: str | None = None) -> DataFrame:
     """Root and depth of every row of ``lines`` whose link is the id of an existing row.
 
     ``lines`` needs ``id``, ``file_pos`` and the link column; other columns are ignored. Result: ``id``, ``root_id``,
-    ``depth`` and, ``with_path``, ``path`` (ids from the root down to the row).
+    ``depth``, with ``with_path`` ``path`` (ids from the root down to the row), and with ``weight`` ``total``, the sum of
+    that column from the row up to, without, the root.
 
     Defined cases: rows with null id are left out; of repeated ids the current row counts; a null or empty link, or one
     that names no row, makes its row a root, which isn't in this result; a row that links to itself is a loop of one. For
-    rows on a loop or leading into one, ``depth`` is -1, ``root_id`` the smallest id on the loop and ``path`` null. An
+    rows on a loop or leading into one, ``depth`` is -1, ``root_id`` the smallest id on the loop, and ``path`` and ``total`` null. An
     empty table gives no rows.
 
     Every round joins the open rows' pointers with all pointers, which doubles the jump length; ancestors of an open row
@@ -32,11 +33,10 @@ def resolve_links(lines: DataFrame, parent: str = "nonbreaking_next_line", with_
     rows are doubled further, with the least id on the way, until the jump is as long as their number. Each round's rows
     are written to shared storage; a hot parent only makes its children's side of the join large, which adaptive execution splits.
     """
-    e = _edges(lines, parent).select("id", F.col("parent").alias("anc"), F.lit(1).alias("dist"), F.array("id").alias("path"))
-    if not with_path:
-        e = e.drop("path")
+    add = {**({"path": F.concat} if with_path else {}), **({"total": lambda a, b: F.col(a) + F.col(b)} if weight else {})}
+    path = list(add)
+    e = _edges(lines, parent, weight).withColumn("path", F.array("id")).select("id", F.col("parent").alias("anc"), F.lit(1).alias("dist"), *path)
     e = materialise(e, "links")
-    path = ["path"] if with_path else []
 
     heads = e.select(F.col("id").alias("anc"), F.lit(1).alias("open"))
     first = materialise(e.join(heads, "anc", "left"), "links-0")
@@ -45,9 +45,9 @@ def resolve_links(lines: DataFrame, parent: str = "nonbreaking_next_line", with_
     n_open, rnd = todo.count(), 0
     while n_open:
         rnd += 1
-        closed = reduce(DataFrame.unionByName, done).select(F.col("id").alias("anc"), F.col("root_id").alias("to"), F.col("depth").alias("more"), F.lit(True).alias("closed"), *[F.col(p).alias("rest") for p in path])
-        still = todo.select(F.col("id").alias("anc"), F.col("anc").alias("to"), F.col("dist").alias("more"), F.lit(False).alias("closed"), *[F.col(p).alias("rest") for p in path])
-        step = todo.join(closed.unionByName(still), "anc").select("id", F.col("to").alias("anc"), (F.col("dist") + F.col("more")).alias("dist"), "closed", *[F.concat("path", "rest").alias("path") for _ in path])
+        closed = reduce(DataFrame.unionByName, done).select(F.col("id").alias("anc"), F.col("root_id").alias("to"), F.col("depth").alias("more"), F.lit(True).alias("closed"), *[F.col(p).alias(f"rest_{p}") for p in path])
+        still = todo.select(F.col("id").alias("anc"), F.col("anc").alias("to"), F.col("dist").alias("more"), F.lit(False).alias("closed"), *[F.col(p).alias(f"rest_{p}") for p in path])
+        step = todo.join(closed.unionByName(still), "anc").select("id", F.col("to").alias("anc"), (F.col("dist") + F.col("more")).alias("dist"), "closed", *[f(p, f"rest_{p}").alias(p) for p, f in add.items()])
         step = materialise(step, f"links-{rnd}")
         done.append(step.where("closed").select("id", F.col("anc").alias("root_id"), F.col("dist").alias("depth"), *path))
         todo = step.where("not closed").drop("closed")
@@ -60,7 +60,7 @@ def resolve_links(lines: DataFrame, parent: str = "nonbreaking_next_line", with_
         out = out.withColumn("path", F.reverse(F.concat("path", F.array("root_id"))))
     if n_open:
         loops = _loops(todo.select("id"), e.select("id", "anc"), n_open)
-        out = out.unionByName(loops.select("id", "root_id", F.lit(-1).alias("depth"), *[F.lit(None).cast("array<string>").alias(p) for p in path]))
+        out = out.unionByName(loops.select("id", "root_id", F.lit(-1).alias("depth"), *[F.lit(None).cast({"path": "array<string>", "total": "bigint"}[p]).alias(p) for p in path]))
     return out
 
 
