@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paleoline.functions.text import ABBR_CLOSE, ABBR_OPEN, FOLD_DIAG, FOLD_REPAIR
 
@@ -17,19 +18,19 @@ GLYPHS = {"ſ": "s", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE"}
 _REPAIR, _DIAG = str.maketrans(*FOLD_REPAIR), str.maketrans(*FOLD_DIAG)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition; null stays null."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_nfc(s: pd.Series) -> pd.Series:
     """Character references resolved, then canonical composition; null stays null."""
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", html.unescape(x)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def char_name(s: pd.Series) -> pd.Series:
     """``U+XXXX 'c' (NAME)`` of the first character; empty text gives an empty name."""
     return s.map(lambda x: x if not x else f"U+{ord(x[0]):04X} '{x[0]}' ({unicodedata.name(x[0], 'UNKNOWN')})")
@@ -84,7 +85,7 @@ def align_spans(marked: str, output: str, target: str) -> list[dict[str, str]]:
     return [{"abbr": plain[s:e], "gold": target[gold[s] : gold[e]], "predicted": output[pred[s] : pred[e]]} for s, e in spans]
 
 
-@F.pandas_udf("array<struct<abbr:string,gold:string,predicted:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("abbr", "gold", "predicted")])))
 def span_results(marked: pd.Series, output: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([[] if m is None or o is None or t is None else align_spans(m, o, t) for m, o, t in zip(marked, output, target)])
 
@@ -110,7 +111,7 @@ def restore(source: str, target: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def restore_glyphs(source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([t if s is None or t is None else restore(s, t) for s, t in zip(source, target)])
 
@@ -129,7 +130,7 @@ def differing(a: str, b: str) -> list[dict[str, str | None]]:
     return out
 
 
-@F.pandas_udf("array<struct<a:string,b:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in "ab"])))
 def differing_letters(a: pd.Series, b: pd.Series) -> pd.Series:
     drop = str.maketrans("", "", ABBR_OPEN + ABBR_CLOSE)
     return pd.Series([differing(unicodedata.normalize("NFC", (x or "").translate(drop)), unicodedata.normalize("NFC", (y or "").translate(drop))) for x, y in zip(a, b)])

@@ -79,11 +79,14 @@ def context_windows(ordered: DataFrame, chained: DataFrame, context: int = 2) ->
     """Rendered window of each chain: ``doc_id``, ``head_pos``, ``source``, ``target``, ``has_abbr``.
 
     ``ordered`` needs ``source_sic``, ``target_corr``, ``contains_abbr`` and the link. Windows are joined line by line on
-    (document, position), which are unique, so a large document is no hot key.
+    (document, position), which are unique, so a large document is no hot key. A chain that ends far before its first line
+    has an empty window.
     """
     w = chain_windows(ordered, chained, context, context)
     held = w.join(ordered, ["doc_id", "pos"])
-    return render(held, "nonbreaking_next_line", ["doc_id", "head_pos"], {"source": "source_sic", "target": "target_corr"}, [F.coalesce(F.bool_or(F.col("contains_abbr") == "true"), F.lit(False)).alias("has_abbr")])
+    text = render(held, "nonbreaking_next_line", ["doc_id", "head_pos"], {"source": "source_sic", "target": "target_corr"}, [F.bool_or(F.col("contains_abbr") == "true").alias("has_abbr")])
+    every = chained.where("pos_in_chain = 0").select("doc_id", "head_pos")
+    return every.join(text, ["doc_id", "head_pos"], "left").select("doc_id", "head_pos", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("target", F.lit("")).alias("target"), F.coalesce("has_abbr", F.lit(False)).alias("has_abbr"))
 
 
 def budget_windows(ordered: DataFrame, chained: DataFrame, context: int = 2, max_bytes: int = 480) -> DataFrame:
