@@ -89,7 +89,8 @@ def has_abbreviation_letters(x: str | Column) -> Column:
 
 def last_plain(x: str | Column) -> Column:
     """The last character that is no abbreviation letter; null if there is none."""
-    t = F.regexp_extract(_c(x), r"([^\p{M}\p{Co}&&[^\p{L}&&[^\x00-\x7F]]])[\p{M}\p{Co}[\p{L}&&[^\x00-\x7F]]]*$", 1)
+    sign = r"(?:[\p{M}\p{Co}]|[\p{L}&&[^\x00-\x7F]])"
+    t = F.regexp_extract(_c(x), rf"(?s)((?!{sign}).){sign}*$", 1)
     return F.when(t != "", t)
 
 
