@@ -82,6 +82,21 @@ def _count_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"slice": range(SLICES), "counts": [x.tobytes() for x in np.split(counts, SLICES)]})
 
 
+def _set_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    for b in batches:
+        bit = b["key"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+        np.bitwise_or.at(bits, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    yield pd.DataFrame({"slice": range(SLICES), "bits": [x.tobytes() for x in np.split(bits, SLICES)]})
+
+
+def _or_slices(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros((1 << (FILTER_BITS - 6)) // SLICES, np.uint64)
+    for x in b["bits"]:
+        total |= np.frombuffer(x, np.uint64)
+    return pd.DataFrame({"slice": [key[0]], "bits": [total.tobytes()]})
+
+
 def _add_slices(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros((1 << COUNT_BITS) // SLICES, np.uint64)
     for x in b["counts"]:
@@ -221,11 +236,10 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
 
     idx = classes.where("ev = 1").select("cid", "t").mapInPandas(index, "key bigint, ev bigint, n int, at int, number int, per int, s1 bigint, s2 bigint")
     idx = materialise(idx, "overlap-index")
-    bit = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-    words = idx.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - FILTER_BITS}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    known = words.toPandas()  # at most 2^20 rows
-    bitmap[known["w"].to_numpy(np.int64)] = known["b"].to_numpy(np.int64).view(np.uint64)
+    bitmap = np.zeros((SLICES, (1 << (FILTER_BITS - 6)) // SLICES), np.uint64)
+    for r in idx.select("key").mapInPandas(_set_bits, "slice int, bits binary").groupBy("slice").applyInPandas(_or_slices, "slice int, bits binary").collect():
+        bitmap[r["slice"]] = np.frombuffer(r["bits"], np.uint64)
+    bitmap = bitmap.ravel()
     filt = spark.sparkContext.broadcast(bitmap)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
