@@ -101,6 +101,7 @@ def fit(words: list[str], counts: np.ndarray, dims: int = 24, buckets: int = 1 <
     weight, bias = rng.normal(0, 0.3, (dims, k)).astype(np.float32), np.zeros(k, np.float32)
     rows, begin = subwords(words, buckets)
     n_sub = np.diff(np.append(begin, len(rows)))
+    epochs = max(epochs, -(-800 // -(-len(words) // 256)))  # a small vocabulary needs more rounds
     for epoch in range(epochs):
         lr = rate * (1 - epoch / epochs)
         order = rng.permutation(len(words))
