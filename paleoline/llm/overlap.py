@@ -22,7 +22,8 @@ LEAST, Q, SHORT = 50, 7, 128
 COUNT_BITS, FILTER_BITS, SLICES = 20, 26, 64
 
 #: Letter counts at which a bit of the signature is set, per letter; an edit changes at most two counts by one, so it flips at most two bits.
-_STEPS = {**{c: range(3, 11) for c in "aeiu"}, "o": range(1, 8), **{c: range(1, 8) for c in "strn"}, **{c: range(1, 6) for c in "mcdl"}, **{c: range(1, 5) for c in "pbghfq"}, **{c: range(1, 4) for c in "xyzkw"}}
+#: 64 bits, around the usual counts in a line of about sixty letters, where they tell most.
+_STEPS = {"e": range(5, 10), "a": range(4, 9), "i": range(4, 9), "u": range(3, 8), "o": range(2, 7), **{c: range(3, 7) for c in "st"}, **{c: range(2, 6) for c in "rn"}, "m": range(1, 5), **{c: range(1, 4) for c in "dclp"}, "b": range(1, 3), **{c: range(1, 2) for c in "qgfhx"}}
 _AT = np.array([ord(c) - 97 for c, r in _STEPS.items() for _ in r])
 _OVER = np.array([k for r in _STEPS.values() for k in r])
 
@@ -56,13 +57,10 @@ class _Flat:
         whole = place <= self.n[owner] - Q
         self.code, self.owner, self.place = _mix(code[whole]), owner[whole], place[whole]
 
-    def signature(self) -> tuple[np.ndarray, np.ndarray]:
+    def signature(self) -> np.ndarray:
         owner = np.repeat(np.arange(len(self.n)), self.n)
         counts = np.bincount(owner * 26 + self.letters.astype(np.int64), minlength=26 * len(self.n)).reshape(-1, 26)
-        bits = np.zeros((len(self.n), 128), bool)
-        bits[:, : len(_AT)] = counts[:, _AT] >= _OVER
-        packed = np.packbits(bits, axis=1).view(np.int64)
-        return packed[:, 0], packed[:, 1]
+        return np.ascontiguousarray(np.packbits(counts[:, _AT] >= _OVER, axis=1)).view(np.int64).ravel()
 
 
 def _length_class(n: np.ndarray) -> np.ndarray:
@@ -125,8 +123,8 @@ def _rarest_disjoint(cost: np.ndarray, need: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix(texts: list[str], counts: np.ndarray) -> tuple[_Flat, np.ndarray, np.ndarray, np.ndarray]:
-    """The chosen shingles of evaluation lines: (flat, index into its shingles, number of the shingle, how many its line has)."""
+def prefix(texts: list[str], counts: np.ndarray) -> tuple[_Flat, np.ndarray]:
+    """The chosen shingles of evaluation lines, as places among those of the flat batch: of a line of n letters, ``most_edits(n) + 1`` if it is short, else ``n // 7``."""
     f = _Flat(texts)
     edits = most_edits(f.n)
     first = np.searchsorted(f.owner, np.arange(len(f.n)))
@@ -143,16 +141,16 @@ def prefix(texts: list[str], counts: np.ndarray) -> tuple[_Flat, np.ndarray, np.
         ok = np.arange(width) < (f.n[rows] - Q + 1)[:, None]
         cost = np.where(ok, counts[(f.code[np.where(ok, grid, 0)] >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] + 1.0, np.inf)
         chosen.append(grid[_rarest_disjoint(cost, edits[rows] + 1)])
-    at = np.sort(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
-    owner = f.owner[at]
-    per = np.bincount(owner, minlength=len(f.n))
-    number = np.arange(len(at)) - np.concatenate([[0], np.cumsum(per)])[owner]
-    return f, at, number, per[owner]
+    return f, np.sort(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+
+
+#: Length and place in one number: few bytes, so the rows that are shuffled stay narrow.
+_PLACE = 24
 
 
 def _index_rows(b: pd.DataFrame, counts: np.ndarray) -> pd.DataFrame:
-    f, at, number, per = prefix(b["t"].tolist(), counts)
-    s1, s2 = f.signature()
+    f, at = prefix(b["t"].tolist(), counts)
+    sig = f.signature()
     owner, place, code = f.owner[at], f.place[at], f.code[at]
     n, edits = f.n[owner], most_edits(f.n)[owner]
     tail = n - place
@@ -173,7 +171,7 @@ def _index_rows(b: pd.DataFrame, counts: np.ndarray) -> pd.DataFrame:
                 parts.append((k, _key(code[k], cls[k], head_b[k], tail_b[k])))
     k, key = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
     o = owner[k]
-    return pd.DataFrame({"key": key, "ev": b["cid"].to_numpy()[o], "n": n[k].astype(np.int32), "at": place[k].astype(np.int32), "number": number[k].astype(np.int32), "per": per[k].astype(np.int32), "s1": s1[o], "s2": s2[o]})
+    return pd.DataFrame({"key": key, "ev": b["num"].to_numpy()[o], "p": (n[k] << _PLACE) | place[k], "s": sig[o]})
 
 
 def _probe_rows(b: pd.DataFrame, bitmap: np.ndarray) -> pd.DataFrame:
@@ -184,9 +182,8 @@ def _probe_rows(b: pd.DataFrame, bitmap: np.ndarray) -> pd.DataFrame:
     key = _key(f.code, cls, f.place >> shift, (n - f.place) >> shift)
     bit = key.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
     k = np.flatnonzero((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
-    s1, s2 = f.signature()
-    o = f.owner[k]
-    return pd.DataFrame({"key": key[k], "tr": b["cid"].to_numpy()[o], "n2": n[k].astype(np.int32), "at2": f.place[k].astype(np.int32), "z1": s1[o], "z2": s2[o]})
+    sig, o = f.signature(), f.owner[k]
+    return pd.DataFrame({"key": key[k], "tr": b["num"].to_numpy()[o], "p2": (n[k] << _PLACE) | f.place[k], "s2": sig[o]})
 
 
 def levelled_lines(lines: DataFrame, works: DataFrame) -> DataFrame:
@@ -221,7 +218,10 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
     spark = lines.sparkSession
     held = materialise(levelled_lines(lines, works), "overlap-lines")
     classes = held.groupBy("cid", "t").agg(F.max((F.col("split") == "train").cast("int")).alias("tr"), F.max((F.col("split") != "train").cast("int")).alias("ev"))
-    classes = materialise(classes, "overlap-classes")
+    classes = materialise(classes.withColumn("pid", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "overlap-classes")
+    # A short number for each class: row within its partition, partitions interleaved.
+    parts = (classes.agg(F.max("pid")).first()[0] or 0) + 1
+    classes = classes.withColumn("num", F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) * parts + F.col("pid")).drop("row", "pid")
 
     slices = classes.where("tr = 1").select("t").mapInPandas(_count_shingles, "slice int, counts binary").groupBy("slice").applyInPandas(_add_slices, "slice int, counts binary").collect()
     counts = np.zeros((SLICES, (1 << COUNT_BITS) // SLICES), np.uint32)
@@ -234,7 +234,7 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
             for lo in range(0, len(b), 2000):
                 yield _index_rows(b.iloc[lo : lo + 2000], sent.value)
 
-    idx = classes.where("ev = 1").select("cid", "t").mapInPandas(index, "key bigint, ev bigint, n int, at int, number int, per int, s1 bigint, s2 bigint")
+    idx = classes.where("ev = 1").select("num", "t").mapInPandas(index, "key bigint, ev bigint, p bigint, s bigint")
     idx = materialise(idx, "overlap-index")
     bitmap = np.zeros((SLICES, (1 << (FILTER_BITS - 6)) // SLICES), np.uint64)
     for r in idx.select("key").mapInPandas(_set_bits, "slice int, bits binary").groupBy("slice").applyInPandas(_or_slices, "slice int, bits binary").collect():
@@ -247,22 +247,26 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
             for lo in range(0, len(b), 5000):
                 yield _probe_rows(b.iloc[lo : lo + 5000], filt.value)
 
-    probes = classes.where("tr = 1").select("cid", "t").mapInPandas(probe, "key bigint, tr bigint, n2 int, at2 int, z1 bigint, z2 bigint")
-    edits = "(greatest(n, n2) div 10)"
-    near = f"abs(at - at2) + abs((n - at) - (n2 - at2)) <= {edits}"
-    alike = f"(greatest(n, n2) >= {SHORT} or bit_count(s1 ^ z1) + bit_count(s2 ^ z2) <= 2 * {edits} - abs(n - n2))"
-    hits = idx.join(probes, "key").where(f"{near} and {alike}").select("ev", "tr", "number", F.expr(f"per - {edits}").alias("need"))
-    pairs = hits.groupBy("ev", "tr").agg(F.count_distinct("number").alias("k"), F.max("need").alias("need")).where("k >= need").select("ev", "tr")
+    probes = classes.where("tr = 1").select("num", "t").mapInPandas(probe, "key bigint, tr bigint, p2 bigint, s2 bigint")
+    n, n2, at, at2 = f"shiftright(p, {_PLACE})", f"shiftright(p2, {_PLACE})", f"(p & {(1 << _PLACE) - 1})", f"(p2 & {(1 << _PLACE) - 1})"
+    edits = f"(greatest({n}, {n2}) div 10)"
+    near = f"abs({at} - {at2}) + abs(({n} - {at}) - ({n2} - {at2})) <= {edits}"
+    alike = f"(greatest({n}, {n2}) >= {SHORT} or bit_count(s ^ s2) <= 2 * {edits} - abs({n} - {n2}))"
+    longest = f"({n} * 10 div 9)"
+    most = f"(if({longest} + 1 - {n} <= ({longest} + 1) div 10, {longest} + 1, {longest}) div 10)"
+    chosen = f"if({n} < {SHORT}, {most} + 1, {n} div {Q})"
+    hits = idx.join(probes, "key").where(f"{near} and {alike}").select("ev", "tr", F.expr(at).alias("at"), F.expr(f"{chosen} - {edits}").alias("need"))
+    pairs = hits.groupBy("ev", "tr").agg(F.count_distinct("at").alias("k"), F.max("need").alias("need")).where("k >= need").select("ev", "tr")
     pairs = materialise(pairs, "overlap-candidates")
 
-    text = lambda c: classes.where(f"{c} = 1").select(F.col("cid").alias(c), F.col("t").alias(f"t_{c}"))
+    text = lambda c: classes.where(f"{c} = 1").select(F.col("num").alias(c), F.col("cid").alias(f"h_{c}"), F.col("t").alias(f"t_{c}"))
     wide = pairs.join(text("tr"), "tr").join(text("ev"), "ev")
     banded = "levenshtein(t_tr, t_ev, cast(greatest(length(t_tr), length(t_ev)) div 10 as int))"
     close = wide.withColumn("edits", F.expr(banded)).where("edits >= 0")
     close = materialise(close, "overlap-verified")
-    a = held.where("split = 'train'").select(F.col("id").alias("id_train"), F.col("cid").alias("tr"), F.col("t").alias("t_tr"))
-    b = held.where("split <> 'train'").select(F.col("id").alias("id_eval"), "split", "source_id", F.col("cid").alias("ev"), F.col("t").alias("t_ev"))
-    return close.join(a, ["tr", "t_tr"]).join(b, ["ev", "t_ev"]).select("id_train", "id_eval", "split", "source_id", "edits")
+    a = held.where("split = 'train'").select(F.col("id").alias("id_train"), F.col("cid").alias("h_tr"), F.col("t").alias("t_tr"))
+    b = held.where("split <> 'train'").select(F.col("id").alias("id_eval"), "split", "source_id", F.col("cid").alias("h_ev"), F.col("t").alias("t_ev"))
+    return close.join(a, ["h_tr", "t_tr"]).join(b, ["h_ev", "t_ev"]).select("id_train", "id_eval", "split", "source_id", "edits")
 
 
 def overlap_report(pairs: DataFrame) -> DataFrame:
