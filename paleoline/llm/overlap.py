@@ -189,8 +189,11 @@ def _probe_rows(b: pd.DataFrame, bitmap: np.ndarray) -> pd.DataFrame:
 def levelled_lines(lines: DataFrame, works: DataFrame) -> DataFrame:
     """Current lines of works with a split and at least 50 levelled letters: ``id``, ``split``, ``source_id``, ``cid``, ``t``."""
     split = works.where("doc_id is not null and split in ('train', 'val', 'test')").groupBy("doc_id").agg(F.min("split").alias("split"), F.min("source_id").alias("source_id"))
-    cur = current(lines, "doc_id", F.when(F.char_length("source_sic") * 3 >= LEAST, F.col("source_sic")).alias("text"))
-    rows = cur.where("text is not null").join(small_or_plain(split), "doc_id").select("id", "split", "source_id", "text")
+    # A row's text and document stand on the same row, so texts of documents without a split need not be shuffled to find the current rows.
+    joined = lines.select("id", "file_pos", "doc_id", "source_sic").join(small_or_plain(split), "doc_id", "left")
+    text = F.when(F.col("split").isNotNull() & (F.char_length("source_sic") * 3 >= LEAST), F.col("source_sic"))
+    cur = current(joined, "split", "source_id", text.alias("text"))
+    rows = cur.where("text is not null").select("id", "split", "source_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -259,13 +262,22 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
     pairs = hits.groupBy("ev", "tr").agg(F.count_distinct("at").alias("k"), F.max("need").alias("need")).where("k >= need").select("ev", "tr")
     pairs = materialise(pairs, "overlap-candidates")
 
-    text = lambda c: classes.where(f"{c} = 1").select(F.col("num").alias(c), F.col("cid").alias(f"h_{c}"), F.col("t").alias(f"t_{c}"))
+    # Only texts and lines of candidates travel; where those are few, their numbers are sent to the executors to pick them out.
+    def text(c: str) -> DataFrame:
+        own = classes.select(F.col("num").alias(c), F.col("cid").alias(f"h_{c}"), F.col("t").alias(f"t_{c}"))
+        return own.join(small_or_plain(pairs.select(c).distinct()), c, "left_semi")
+
     wide = pairs.join(text("tr"), "tr").join(text("ev"), "ev")
     banded = "levenshtein(t_tr, t_ev, cast(greatest(length(t_tr), length(t_ev)) div 10 as int))"
     close = wide.withColumn("edits", F.expr(banded)).where("edits >= 0")
     close = materialise(close, "overlap-verified")
-    a = held.where("split = 'train'").select(F.col("id").alias("id_train"), F.col("cid").alias("h_tr"), F.col("t").alias("t_tr"))
-    b = held.where("split <> 'train'").select(F.col("id").alias("id_eval"), "split", "source_id", F.col("cid").alias("h_ev"), F.col("t").alias("t_ev"))
+
+    def members(c: str, train: bool) -> DataFrame:
+        own = held.where("split = 'train'" if train else "split <> 'train'").withColumnsRenamed({"cid": f"h_{c}", "t": f"t_{c}"})
+        return own.join(small_or_plain(close.select(f"h_{c}").distinct()), f"h_{c}", "left_semi")
+
+    a = members("tr", True).select(F.col("id").alias("id_train"), "h_tr", "t_tr")
+    b = members("ev", False).select(F.col("id").alias("id_eval"), "split", "source_id", "h_ev", "t_ev")
     return close.join(a, ["h_tr", "t_tr"]).join(b, ["h_ev", "t_ev"]).select("id_train", "id_eval", "split", "source_id", "edits")
 
 
