@@ -279,12 +279,59 @@ def lang_counts(spark: SparkSession, d: str) -> DataFrame:
     return cur.select(F.explode(langs).alias("lang")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
+def _page_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The current lines written as edition XML, one document a page: what the shredder reads."""
+    o = od.with_neighbours(od.document_order(_lines(spark, d), LINK, "source_sic"), ["doc_id"], {"before": (F.col(LINK), -1)})
+    esc = F.replace(F.replace(F.coalesce("source_sic", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lb = F.concat(F.lit('<lb xml:id="'), F.col("id"), F.when(F.col("before") == F.col("id"), '" break="no"/>').otherwise('"/>'), esc)
+    page = F.split_part("id", F.lit("-lb-"), F.lit(1))
+    g = o.groupBy("doc_id", page.alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", lb.alias("x")))), lambda r: r["x"]), "\n").alias("body"))
+    head = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0" xml:id="'), F.coalesce("doc_id", F.lit("")), F.lit('"><teiHeader><revisionDesc status="h_revised"/></teiHeader><text type="work"><body><p>'))
+    return g.select(F.col("page").alias("file_name"), F.concat(head, "body", F.lit("</p></body></text></TEI>")).alias("xml"))
+
+
+def xml_lines(spark: SparkSession, d: str) -> DataFrame:
+    from paleoline.sources.tei import shred_documents
+
+    return shred_documents(_page_documents(spark, d)).select("id", "doc_id", "source_sic", "target_corr", "ancestor_type", "is_in_note")
+
+
+def xml_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the corrected view of each line put in; counts of choices and of continued breaks per document."""
+    from paleoline.sources.tei import write_expansions
+
+    docs = materialise(_page_documents(spark, d), "documents")
+    new = current(_lines(spark, d), "target_corr", LINK).select(F.split_part("id", F.lit("-lb-"), F.lit(1)).alias("file_name"), "id", F.coalesce("target_corr", F.lit("")).alias("text"), F.coalesce(LINK, F.lit("")).alias("next_id"))
+    out = write_expansions(docs, new)
+    return out.select("file_name", F.regexp_count("xml", F.lit("<choice>")).alias("choices"), F.regexp_count("xml", F.lit('break="no"')).alias("continued"))
+
+
+def character_table(spark: SparkSession, d: str) -> DataFrame:
+    """Every glyph reference of the character table with what stands for it."""
+    from paleoline.sources.characters import character_table as table
+    from paleoline.sources.characters import glyph_lookup
+
+    return glyph_lookup(table(spark).select(F.concat(F.lit("#"), "id").alias("ref"), F.lit("").alias("text")))
+
+
+def boundary_model(spark: SparkSession, d: str) -> DataFrame:
+    """The boundary classifier, fitted on training documents and scored on test documents."""
+    from paleoline.operators import boundary_model as bm
+
+    rows = mt.scored(_t(spark, d, "boundaries")).drop("prob")
+    split = materialise(ex.document_split(rows), "split")
+    rows = materialise(rows.join(split, "doc_id"), "boundary-rows")
+    known = materialise(ex.lexicon(current(_lines(spark, d), "target_corr")), "lexicon")
+    model = bm.fit(rows.where("split = 'train'"), known)
+    return bm.report(bm.scorer(model, known)(rows.where("split = 'test'")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lines_sorted, dedup_last_writer, linked_pairs, boundary_examples, boundary_counts, doc_split, split_examples, class_weight, chains, chain_counts, chain_profile,
         chain_histogram, heads, context_windows, budget_windows, seq2seq_examples, lexicon, lexicon_hits, canonical_equal, export_diff, export_missing, diff_triage, diff_chars,
         lookback_links, apply_corrections, spans, prf_overall, prf_by_page, prf_by_doc, prf_by_lang, pr_curve, threshold, error_samples, restore_lines, infer_pipeline, facs_urls,
-        abbreviation_letters, span_cer, type_breakdown, full_line_cer, restore_glyphs, repair_breaks, repair_counts, normalized, lang_counts,
+        abbreviation_letters, span_cer, type_breakdown, full_line_cer, restore_glyphs, repair_breaks, repair_counts, normalized, lang_counts, xml_lines, xml_roundtrip, character_table, boundary_model,
     )
 }

@@ -131,6 +131,7 @@ SQL = {
         f AS (SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY boundary_id) AS INT) AS rank, boundary_id, prob FROM e WHERE kind IS NOT NULL) SELECT * FROM f WHERE rank <= 20""",
     "restore_lines": f"WITH {CUR} SELECT id, coalesce(source_sic, '') AS text FROM cur",
     "facs_urls": f"WITH {CUR} SELECT id, CASE WHEN regexp_matches(regexp_replace(facs_id, '^(facs:|#)', ''), '^W[0-9]{{7}}-[0-9]{{4}}$') THEN 'https://facs.example.invalid/iiif/image/' || regexp_replace(facs_id, '^(facs:|#)', '') WHEN regexp_matches(regexp_replace(facs_id, '^(facs:|#)', ''), '^W[0-9]{{7}}-[A-Z0-9]-[0-9]{{4}}$') THEN 'https://facs.example.invalid/iiif/image/' || regexp_replace(regexp_replace(facs_id, '^(facs:|#)', ''), '^(W[0-9]{{7}})-([A-Z0-9])-([0-9]{{4}})$', '\\1_\\2-\\3') ELSE '' END AS url FROM cur",
+    "xml_lines": f"WITH {CUR}, x AS (SELECT id, coalesce(doc_id, '') AS doc_id, regexp_replace(regexp_replace(trim(regexp_replace(coalesce(source_sic, ''), '[ \\t\\r\\n]+', ' ', 'g'), ' '), '⦃ *', '⦃', 'g'), ' *⦄', '⦄', 'g') AS t FROM cur) SELECT id, doc_id, t AS source_sic, t AS target_corr, 'p' AS ancestor_type, 'false' AS is_in_note FROM x",
     "lang_counts": f"WITH {CUR} SELECT lang, count(*) AS n FROM (SELECT unnest(list_distinct(lang)) AS lang FROM cur) WHERE lang <> '' GROUP BY lang",
     "normalized": f"WITH {CUR} SELECT id, nfc_normalize(source_sic) AS source_sic, nfc_normalize(source_corr) AS source_corr, nfc_normalize(target_sic) AS target_sic, nfc_normalize(target_corr) AS target_corr FROM cur",
 }
