@@ -1,9 +1,10 @@
 """Same or nearly same lines across splits: an exact prefix-filter join on rare shingles (problem 2).
 
 A line's levelled letters x and y are a pair if their edit distance is at most t = max(|x|, |y|) // 10. Of m disjoint
-shingles of the evaluation line, t edits spoil at most t, so at least m - t stand unchanged in the training line, moved
-by no more than the edits before and after them. Short lines take their t + 1 rarest disjoint shingles as prefix; long ones
-take all adjacent ones, of which then many must match. Training lines probe that index with every shingle they have.
+shingles of the evaluation line, t edits spoil at most t, so at least m - t stand unchanged in the training line, in
+order, moved by no more than the edits before and after them. Short lines take their t + 2 rarest disjoint shingles of six
+letters as prefix, of which two must stand, and the index holds every two of them; long ones take all adjacent shingles
+of seven, of which then many must match. Training lines probe that index with every shingle, or two shingles, they have.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from paleoline.llm.text import level
 from paleoline.session import current, materialise, small_or_plain
 
-LEAST, Q, SHORT = 50, 7, 128
-COUNT_BITS, FILTER_BITS, SLICES = 20, 26, 64
+LEAST, SHORT, Q_SHORT, Q_LONG = 50, 128, 6, 7
+#: Partners of short lines have at most, and of long ones at least, so many letters.
+MOST_SHORT, LEAST_LONG = (SHORT - 1) * 10 // 9, SHORT * 9 // 10
+COUNT_BITS, FILTER_BITS, SLICES = 20, 27, 64
 
 #: Letter counts at which a bit of the signature is set, per letter; an edit changes at most two counts by one, so it flips at most two bits.
 #: 64 bits, around the usual counts in a line of about sixty letters, where they tell most.
@@ -44,17 +47,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _Flat:
     """Texts of a batch as one array of letters, with every shingle's code, text and place."""
 
-    def __init__(self, texts: list[str]) -> None:
+    def __init__(self, texts: list[str], q: int) -> None:
         self.n = np.array([len(t) for t in texts], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.n)])
         self.letters = np.frombuffer("".join(texts).encode(), np.uint8).astype(np.uint64) - 97
         total = len(self.letters)
-        code = np.zeros(max(0, total - Q + 1), np.uint64)
-        for k in range(Q):
-            code = code * np.uint64(26) + self.letters[k : total - Q + 1 + k]
+        code = np.zeros(max(0, total - q + 1), np.uint64)
+        for k in range(q if len(code) else 0):
+            code = code * np.uint64(26) + self.letters[k : total - q + 1 + k]
         owner = np.repeat(np.arange(len(texts)), self.n)[: len(code)]
         place = np.arange(len(code)) - self.begin[owner]
-        whole = place <= self.n[owner] - Q
+        whole = place <= self.n[owner] - q
         self.code, self.owner, self.place = _mix(code[whole]), owner[whole], place[whole]
 
     def signature(self) -> np.ndarray:
@@ -75,17 +78,16 @@ def _key(code: np.ndarray, cls: np.ndarray, head: np.ndarray, tail: np.ndarray)
 def _count_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = np.zeros(1 << COUNT_BITS, np.uint32)
     for b in batches:
-        f = _Flat(b["t"].tolist())
+        f = _Flat([t for t in b["t"] if len(t) <= MOST_SHORT], Q_SHORT)
         counts += np.bincount((f.code >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS).astype(np.uint32)
     yield pd.DataFrame({"slice": range(SLICES), "counts": [x.tobytes() for x in np.split(counts, SLICES)]})
 
 
-def _set_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for b in batches:
-        bit = b["key"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-        np.bitwise_or.at(bits, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    yield pd.DataFrame({"slice": range(SLICES), "bits": [x.tobytes() for x in np.split(bits, SLICES)]})
+def _filter_bits(key: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Word and bit of the two filter bits of each key, from its upper and its lower part."""
+    u = key.view(np.uint64)
+    parts = (u >> np.uint64(64 - FILTER_BITS), u & np.uint64((1 << FILTER_BITS) - 1))
+    return [((x >> np.uint64(6)).astype(np.int64), x & np.uint64(63)) for x in parts]
 
 
 def _or_slices(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
@@ -102,15 +104,15 @@ def _add_slices(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": [key[0]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
 
-def _rarest_disjoint(cost: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Per row, ``need`` places whose shingles don't overlap and whose costs add up to the least; as a mask."""
+def _rarest_disjoint(cost: np.ndarray, need: np.ndarray, q: int) -> np.ndarray:
+    """Per row, ``need`` places whose shingles of ``q`` don't overlap and whose costs add up to the least; as a mask."""
     n, width = cost.shape
     most = int(need.max())
-    best = np.full((most + 1, width + Q, n), np.inf)
+    best = np.full((most + 1, width + q, n), np.inf)
     best[0] = 0
     take = np.zeros((most + 1, width, n), bool)
     for p in range(width - 1, -1, -1):
-        with_p, without = cost[:, p][None] + best[:most, p + Q], best[1:, p + 1]
+        with_p, without = cost[:, p][None] + best[:most, p + q], best[1:, p + 1]
         take[1:, p] = with_p < without
         best[1:, p] = np.minimum(with_p, without)
     out, left, free = np.zeros((n, width), bool), need.copy(), np.zeros(n, np.int64)
@@ -119,42 +121,41 @@ def _rarest_disjoint(cost: np.ndarray, need: np.ndarray) -> np.ndarray:
         now = (left > 0) & (p >= free) & take[left, p, rows]
         out[now, p] = True
         left -= now
-        free[now] = p + Q
+        free[now] = p + q
     return out
 
 
-def prefix(texts: list[str], counts: np.ndarray) -> tuple[_Flat, np.ndarray]:
-    """The chosen shingles of evaluation lines, as places among those of the flat batch: of a line of n letters, ``most_edits(n) + 1`` if it is short, else ``n // 7``."""
-    f = _Flat(texts)
-    edits = most_edits(f.n)
+def short_prefix(texts: list[str], counts: np.ndarray) -> list[np.ndarray]:
+    """Places of the ``most_edits + 2`` rarest disjoint shingles of each short evaluation line."""
+    f = _Flat(texts, Q_SHORT)
     first = np.searchsorted(f.owner, np.arange(len(f.n)))
-    chosen = []
-    long = np.flatnonzero(f.n >= SHORT)
-    if len(long):
-        chosen.append(np.flatnonzero((f.n[f.owner] >= SHORT) & (f.place % Q == 0)))
-    short = np.flatnonzero(f.n < SHORT)
-    order = short[np.argsort(f.n[short], kind="stable")]
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    order = np.argsort(f.n, kind="stable")
     for lo in range(0, len(order), 2048):
         rows = order[lo : lo + 2048]
-        width = int(f.n[rows].max()) - Q + 1
-        grid = first[rows][:, None] + np.arange(width)
-        ok = np.arange(width) < (f.n[rows] - Q + 1)[:, None]
-        cost = np.where(ok, counts[(f.code[np.where(ok, grid, 0)] >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] + 1.0, np.inf)
-        chosen.append(grid[_rarest_disjoint(cost, edits[rows] + 1)])
-    return f, np.sort(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+        width = int(f.n[rows].max()) - Q_SHORT + 1
+        ok = np.arange(width) < (f.n[rows] - Q_SHORT + 1)[:, None]
+        at = np.where(ok, first[rows][:, None] + np.arange(width), 0)
+        cost = np.where(ok, counts[(f.code[at] >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] + 1.0, np.inf)
+        for r, m in zip(rows, _rarest_disjoint(cost, most_edits(f.n[rows]) + 2, Q_SHORT)):
+            out[r] = np.flatnonzero(m)
+    return out
 
 
-#: Length and place in one number: few bytes, so the rows that are shuffled stay narrow.
-_PLACE = 24
+def _pack(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Length and place in one number of few bytes, so the rows that are shuffled stay narrow; negative for texts of 65,536 letters or more."""
+    return np.where(n < 1 << 16, (n << 16) | place, -((n << 31) | place))
 
 
-def _index_rows(b: pd.DataFrame, counts: np.ndarray) -> pd.DataFrame:
-    f, at = prefix(b["t"].tolist(), counts)
-    sig = f.signature()
-    owner, place, code = f.owner[at], f.place[at], f.code[at]
-    n, edits = f.n[owner], most_edits(f.n)[owner]
-    tail = n - place
-    parts = []
+def _unpack(p: str) -> tuple[str, str]:
+    """SQL for length and place."""
+    return f"if({p} >= 0, shiftright({p}, 16), shiftright(-{p}, 31))", f"if({p} >= 0, {p} & 65535, -{p} & 2147483647)"
+
+
+def _near_keys(code: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which shingle, key) of every length class and rough place in which it may stand in a partner."""
+    edits, tail = most_edits(n), n - place
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     low, high = _length_class((n * 9 + 9) // 10), _length_class(n * 10 // 9 + 1)
     for step in range(2):
         cls = low + step
@@ -169,21 +170,124 @@ def _index_rows(b: pd.DataFrame, counts: np.ndarray) -> pd.DataFrame:
                 far_t = np.maximum(0, np.maximum(tail_b * wide - tail, tail - (tail_b * wide + wide - 1)))
                 k = np.flatnonzero(some & (far_h + far_t <= edits) & (head_b >= 0) & (tail_b >= 0))
                 parts.append((k, _key(code[k], cls[k], head_b[k], tail_b[k])))
-    k, key = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-    o = owner[k]
-    return pd.DataFrame({"key": key, "ev": b["num"].to_numpy()[o], "p": (n[k] << _PLACE) | place[k], "s": sig[o]})
+    return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
 
 
-def _probe_rows(b: pd.DataFrame, bitmap: np.ndarray) -> pd.DataFrame:
-    f = _Flat(b["t"].tolist())
+def _own_keys(f: _Flat) -> np.ndarray:
+    """Key of every shingle where it stands."""
     n = f.n[f.owner]
     cls = _length_class(f.n)[f.owner]
-    shift = cls + 3
-    key = _key(f.code, cls, f.place >> shift, (n - f.place) >> shift)
-    bit = key.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-    k = np.flatnonzero((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
-    sig, o = f.signature(), f.owner[k]
-    return pd.DataFrame({"key": key[k], "tr": b["num"].to_numpy()[o], "p2": (n[k] << _PLACE) | f.place[k], "s2": sig[o]})
+    return _key(f.code, cls, f.place >> (cls + 3), (n - f.place) >> (cls + 3))
+
+
+def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mix(a ^ _mix(b + np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+
+
+def _chosen(b: pd.DataFrame) -> tuple[_Flat, np.ndarray, np.ndarray]:
+    """Shingles of short lines, the chosen ones among them, and each line's first chosen one."""
+    f = _Flat(b["t"].tolist(), Q_SHORT)
+    first = np.searchsorted(f.owner, np.arange(len(f.n)))
+    at = np.concatenate([first[k] + np.asarray(p, np.int64) for k, p in enumerate(b["places"])])
+    return f, at, np.searchsorted(f.owner[at], np.arange(len(f.n) + 1))
+
+
+def _two_of(group: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of entries of the same group; ``group`` is sorted."""
+    i = np.arange(n)
+    for k in range(1, n):
+        i = i[: np.searchsorted(i, n - k)]
+        i = i[group[i] == group[i + k]]
+        if not len(i):
+            return
+        yield i, i + k
+
+
+def _short_rows(f: _Flat, at: np.ndarray, num: np.ndarray, name: str, keep=None) -> pd.DataFrame:  # noqa: ANN001
+    """One row for every two of the shingles ``at`` of a line that don't overlap; ``keep`` drops keys early."""
+    sig, owner, place, code = f.signature(), f.owner[at], f.place[at], f.code[at]
+    parts = [(np.zeros(0, np.int64),) * 3]
+    for i, j in _two_of(owner, len(at)):
+        apart = place[j] - place[i] >= Q_SHORT
+        i, j = i[apart], j[apart]
+        key = _pair_key(code[i], code[j])
+        if keep is not None:
+            hit = keep(key)
+            i, j, key = i[hit], j[hit], key[hit]
+        parts.append((i, j, key))
+    i, j, key = (np.concatenate(x) for x in zip(*parts))
+    o = owner[i]
+    return pd.DataFrame({"key": key, name: num[o], f"p_{name}": f.n[o] << 32 | place[i] << 16 | place[j], f"s_{name}": sig[o]})
+
+
+def _long_rows(f: _Flat, k: np.ndarray, key: np.ndarray, num: np.ndarray, name: str) -> pd.DataFrame:
+    o = f.owner[k]
+    return pd.DataFrame({"key": key, name: num[o], f"p_{name}": _pack(f.n[o], f.place[k])})
+
+
+class _Bloom:
+    """A fixed Bloom filter, built in slices by the engine."""
+
+    def __init__(self, keys: DataFrame | None, make, spark) -> None:  # noqa: ANN001
+        bits = np.zeros((SLICES, (1 << (FILTER_BITS - 6)) // SLICES), np.uint64)
+        for r in keys.mapInPandas(make, "slice int, bits binary").groupBy("slice").applyInPandas(_or_slices, "slice int, bits binary").collect():
+            bits[r["slice"]] = np.frombuffer(r["bits"], np.uint64)
+        self.sent = spark.sparkContext.broadcast(bits.ravel())
+
+    def __reduce__(self):  # noqa: ANN204
+        return _bloom, (self.sent,)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        bits = self.sent.value
+        (w1, b1), (w2, b2) = _filter_bits(key)
+        return np.flatnonzero((bits[w1] >> b1) & (bits[w2] >> b2) & np.uint64(1))
+
+
+def _bloom(sent) -> _Bloom:  # noqa: ANN001
+    out = _Bloom.__new__(_Bloom)
+    out.sent = sent
+    return out
+
+
+def _bit_slices(keys: Iterator[np.ndarray]) -> pd.DataFrame:
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    for key in keys:
+        for word, bit in _filter_bits(key):
+            np.bitwise_or.at(bits, word, np.uint64(1) << bit)
+    return pd.DataFrame({"slice": range(SLICES), "bits": [x.tobytes() for x in np.split(bits, SLICES)]})
+
+
+def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for lo in range(0, len(b), size):
+            yield b.iloc[lo : lo + size]
+
+
+def _set_near_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys() -> Iterator[np.ndarray]:
+        for b in _blocks(batches, 2000):
+            f, at, _ = _chosen(b)
+            yield _near_keys(f.code[at], f.n[f.owner[at]], f.place[at])[1]
+
+    yield _bit_slices(keys())
+
+
+def _set_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    yield _bit_slices(b["key"].to_numpy(np.int64) for b in batches)
+
+
+def _index_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in _blocks(batches, 2000):
+        f, at, _ = _chosen(b)
+        yield _short_rows(f, at, b["num"].to_numpy(), "ev")
+
+
+def _index_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in _blocks(batches, 500):
+        f = _Flat(b["t"].tolist(), Q_LONG)
+        at = np.flatnonzero(f.place % Q_LONG == 0)
+        k, key = _near_keys(f.code[at], f.n[f.owner[at]], f.place[at])
+        yield _long_rows(f, at[k], key, b["num"].to_numpy(), "ev")
 
 
 def levelled_lines(lines: DataFrame, works: DataFrame) -> DataFrame:
@@ -191,8 +295,8 @@ def levelled_lines(lines: DataFrame, works: DataFrame) -> DataFrame:
     split = works.where("doc_id is not null and split in ('train', 'val', 'test')").groupBy("doc_id").agg(F.min("split").alias("split"), F.min("source_id").alias("source_id"))
     # A row's text and document stand on the same row, so texts of documents without a split need not be shuffled to find the current rows.
     joined = lines.select("id", "file_pos", "doc_id", "source_sic").join(small_or_plain(split), "doc_id", "left")
-    text = F.when(F.col("split").isNotNull() & (F.char_length("source_sic") * 3 >= LEAST), F.col("source_sic"))
-    cur = current(joined, "split", "source_id", text.alias("text"))
+    keep = F.col("split").isNotNull() & (F.char_length("source_sic") * 3 >= LEAST)
+    cur = current(joined, *[F.when(keep, F.col(c)).alias(n) for c, n in (("split", "split"), ("source_id", "source_id"), ("source_sic", "text"))])
     rows = cur.where("text is not null").select("id", "split", "source_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,10 +314,10 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
     least 50 levelled letters, and their edit distance is at most a tenth of the longer one's. No pair is lost.
 
     Equal texts are one class each; classes are joined and verified, and only pairs of classes unfold into their lines at
-    the end, so copies cost one join row. The index of evaluation prefixes meets training shingles on a key of shingle,
-    length class and rough place from both ends; place, length and a signature of letter counts filter within the join. Two
-    tables of fixed size are sent to the executors: shingle counts (4 MB), and one bit for every index key modulo 2^26
-    (8 MB), which only saves rows that can't match.
+    the end, so copies cost one join row. Short lines meet on two shingles, long ones on a shingle, length class and rough
+    place from both ends; places, lengths and a signature of letter counts filter within the join. Tables of fixed size are
+    sent to the executors: shingle counts (4 MB) and three Bloom filters (16 MB each) of what evaluation lines hold, which
+    only save rows that can't match.
 
     Defined cases: null or short texts, null ids and documents without a split are in no pair; of repeated ids the
     current row counts; texts of any length are compared whole; empty tables give no rows.
@@ -232,34 +336,43 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
         counts[r["slice"]] = np.frombuffer(r["counts"], np.uint32)
     sent = spark.sparkContext.broadcast(counts.ravel())
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo in range(0, len(b), 2000):
-                yield _index_rows(b.iloc[lo : lo + 2000], sent.value)
-
-    idx = classes.where("ev = 1").select("num", "t").mapInPandas(index, "key bigint, ev bigint, p bigint, s bigint")
-    idx = materialise(idx, "overlap-index")
-    bitmap = np.zeros((SLICES, (1 << (FILTER_BITS - 6)) // SLICES), np.uint64)
-    for r in idx.select("key").mapInPandas(_set_bits, "slice int, bits binary").groupBy("slice").applyInPandas(_or_slices, "slice int, bits binary").collect():
-        bitmap[r["slice"]] = np.frombuffer(r["bits"], np.uint64)
-    bitmap = bitmap.ravel()
-    filt = spark.sparkContext.broadcast(bitmap)
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo in range(0, len(b), 5000):
-                yield _probe_rows(b.iloc[lo : lo + 5000], filt.value)
-
-    probes = classes.where("tr = 1").select("num", "t").mapInPandas(probe, "key bigint, tr bigint, p2 bigint, s2 bigint")
-    n, n2, at, at2 = f"shiftright(p, {_PLACE})", f"shiftright(p2, {_PLACE})", f"(p & {(1 << _PLACE) - 1})", f"(p2 & {(1 << _PLACE) - 1})"
-    edits = f"(greatest({n}, {n2}) div 10)"
-    near = f"abs({at} - {at2}) + abs(({n} - {at}) - ({n2} - {at2})) <= {edits}"
-    alike = f"(greatest({n}, {n2}) >= {SHORT} or bit_count(s ^ s2) <= 2 * {edits} - abs({n} - {n2}))"
-    longest = f"({n} * 10 div 9)"
-    most = f"(if({longest} + 1 - {n} <= ({longest} + 1) div 10, {longest} + 1, {longest}) div 10)"
-    chosen = f"if({n} < {SHORT}, {most} + 1, {n} div {Q})"
-    hits = idx.join(probes, "key").where(f"{near} and {alike}").select("ev", "tr", F.expr(at).alias("at"), F.expr(f"{chosen} - {edits}").alias("need"))
-    pairs = hits.groupBy("ev", "tr").agg(F.count_distinct("at").alias("k"), F.max("need").alias("need")).where("k >= need").select("ev", "tr")
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _blocks(batches, 4096):
+            yield pd.DataFrame({"num": b["num"], "t": b["t"], "places": short_prefix(b["t"].tolist(), sent.value)})
+
+    ev, tr = classes.where("ev = 1").select("num", "t"), classes.where("tr = 1").select("num", "t")
+    chosen = materialise(ev.where(F.length("t") < SHORT).mapInPandas(choose, "num bigint, t string, places array<int>"), "overlap-prefixes")
+    two = materialise(chosen.mapInPandas(_index_short, "key bigint, ev bigint, p_ev bigint, s_ev bigint"), "overlap-index")
+    one = materialise(ev.where(F.length("t") >= SHORT).mapInPandas(_index_long, "key bigint, ev bigint, p_ev bigint"), "overlap-index-long")
+    near, known, known_long = _Bloom(chosen, _set_near_bits, spark), _Bloom(two.select("key"), _set_bits, spark), _Bloom(one.select("key"), _set_bits, spark)
+
+    def probe_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _blocks(batches, 2000):
+            f = _Flat(b["t"].tolist(), Q_SHORT)
+            yield _short_rows(f, near(_own_keys(f)), b["num"].to_numpy(), "tr", known)
+
+    def probe_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _blocks(batches, 2000):
+            f = _Flat(b["t"].tolist(), Q_LONG)
+            key = _own_keys(f)
+            k = known_long(key)
+            yield _long_rows(f, k, key[k], b["num"].to_numpy(), "tr")
+
+    probes = tr.where(F.length("t") <= MOST_SHORT).mapInPandas(probe_short, "key bigint, tr bigint, p_tr bigint, s_tr bigint")
+    n, i, j = ((f"shiftright(p_{x}, 32)" for x in ("ev", "tr")), (f"(shiftright(p_{x}, 16) & 65535)" for x in ("ev", "tr")), (f"(p_{x} & 65535)" for x in ("ev", "tr")))
+    (n1, n2), (i1, i2), (j1, j2) = n, i, j
+    edits = f"(greatest({n1}, {n2}) div 10)"
+    moved = f"abs({i1} - {i2}) + abs(({j1} - {i1}) - ({j2} - {i2})) + abs(({n1} - {j1}) - ({n2} - {j2})) <= {edits}"
+    alike = f"bit_count(s_ev ^ s_tr) <= 2 * {edits} - abs({n1} - {n2})"
+    short = two.join(probes, "key").where(f"{moved} and {alike}").select("ev", "tr")
+
+    probes = tr.where(F.length("t") >= LEAST_LONG).mapInPandas(probe_long, "key bigint, tr bigint, p_tr bigint")
+    (n1, i1), (n2, i2) = _unpack("p_ev"), _unpack("p_tr")
+    edits = f"(greatest({n1}, {n2}) div 10)"
+    moved = f"abs({i1} - {i2}) + abs(({n1} - {i1}) - ({n2} - {i2})) <= {edits}"
+    hits = one.join(probes, "key").where(moved).select("ev", "tr", F.expr(i1).alias("at"), F.expr(f"{n1} div {Q_LONG} - {edits}").alias("need"))
+    long = hits.groupBy("ev", "tr").agg(F.count_distinct("at").alias("k"), F.max("need").alias("need")).where("k >= need").select("ev", "tr")
+    pairs = short.unionByName(long).distinct()
     pairs = materialise(pairs, "overlap-candidates")
 
     # Only texts and lines of candidates travel; where those are few, their numbers are sent to the executors to pick them out.
