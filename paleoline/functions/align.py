@@ -81,7 +81,8 @@ def align_spans(marked: str, output: str, target: str) -> list[dict[str, str]]:
     plain, spans = parse_spans(marked)
     if not spans:
         return []
-    gold, pred = position_map(plain, target), position_map(plain, output)
+    gold = position_map(plain, target)
+    pred = gold if output == target else position_map(plain, output)
     return [{"abbr": plain[s:e], "gold": target[gold[s] : gold[e]], "predicted": output[pred[s] : pred[e]]} for s, e in spans]
 
 

@@ -60,6 +60,7 @@ def frequent_expander(pairs: DataFrame) -> Expander:
     The table of abbreviations is small by nature; it is sent along only if a count proves it, else joined span by span.
     """
     best = pairs.groupBy("abbr", "gold").agg(F.count("*").alias("n")).groupBy("abbr").agg(F.max_by("gold", F.struct("n", "gold")).alias("gold"))
+    best = materialise(best, "expansions")
 
     def expand(windows: DataFrame) -> DataFrame:
         rows = windows.withColumn("_w", F.monotonically_increasing_id())

@@ -28,6 +28,7 @@ def ranked(df: DataFrame, group: list[str], order: list[Column | str], name: str
     parts = spread.groupBy("_p", *group).agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     w = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1) if group else Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).select("_p", *[F.col(g).alias(f"_g_{g}") for g in group], "_off")
+    parts = materialise(parts, "rank-offsets")
     on = [spread["_p"] == parts["_p"], *[spread[g].eqNullSafe(parts[f"_g_{g}"]) for g in group]]
     return spread.join(small_or_plain(parts), on).withColumn(name, F.col("_i") + F.col("_off")).select(*df.columns, name)
 
