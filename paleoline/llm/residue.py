@@ -117,34 +117,41 @@ FURNITURE = [
 ]
 _FURNITURE = re.compile(r"(?:(?:" + "|".join(FURNITURE) + r")(?!\w)[ \t|·•>/,.]*)+", re.I)
 _TAG = re.compile(r"</?(?:h[1-6]|p|div|span|b|i|em|strong|br|hr|a|title|head|body|html|center|pre|code|ul|ol|li)\b[^<>]*>", re.I)
+# What else a page has beside its words.
+_PAGE = re.compile(r"<!--.*?-->|<!doctype\b[^<>]*>|<(script|style)\b[^<>]*>.*?</\1\s*>|" + _TAG.pattern + r"|</?(?:nav|header|footer|main|section|article|aside|noscript|table|thead|tbody|tfoot|tr|td|th|form|input|button|label|img|svg|path|meta|link|small|sup|sub|u|font|blockquote|dl|dt|dd|figure|iframe)\b[^<>]*>", re.I | re.S)
 _STOP = re.compile(r"\n+|(?<=[.!?:;])\s+|\s{3,}")
 _TITLE_LINE = re.compile(r"\s*[A-ZÀ-Þ][^.!?;:\n]{2,80}\n\s*(?=\S)")
 _WORD = re.compile(r"[^\W\d_]+")
-_LONGEST_NOTICE = 700
-
-
-def _letters(s: str) -> int:
-    return sum(map(len, _WORD.findall(s)))
+#: A text can be a mismatch if at least one in so many of its words is a weak one.
+_WORDS_A_WEAK = 100
 
 
 def notice_parts(t: str, title: str | None) -> tuple[int, int, int, str]:
-    """(letters of notices, of other words, weak words, template) of a short text without tags, furniture and title.
+    """(letters of notices, of other words, weak words, template) of a text of any length without tags, furniture and title.
 
     Phrases are read from the start of a line or sentence, or where the last phrase ended, so a text that quotes or
-    discusses a message has other words around it. A first line without a full stop may be a title.
+    discusses a message has other words around it. A first line without a full stop may be a title. Weak words are 0 if
+    they are fewer than one in ``_WORDS_A_WEAK``. Reading ends early, with no weak words and an empty template, only
+    where the rest can neither make the text a notice nor its weak words enough.
     """
-    body = _TAG.sub("\n", t).strip()
-    notice = other = at = 0
+    body = _PAGE.sub("\n", t).strip() if "<" in t else t.strip()
+    notice = other = at = n_words = 0
+    signs = [w for w in _WORD.findall(body.lower()) if w in WEAK]
+    most = _WORDS_A_WEAK * len(signs) if len(set(signs)) >= 2 else -1
     kept = []
     if (m := _TITLE_LINE.match(body)) and not _NOTICE.match(body) and not _FURNITURE.match(body):
         at = m.end()
-    if title and title.strip() and body[at:].lower().startswith(title.strip().lower()):
+    if title and title.strip() and body[at : at + 2 * len(title)].lower().startswith(title.strip().lower()):
         at += len(title.strip())
     while at < len(body):
+        if 3 * other > notice + len(body) - at and n_words > most:
+            return notice, other, 0, ""
         if body[at].isspace() or body[at] in "|·•-–—*.":
             at += 1
         elif m := _NOTICE.match(body, at):
-            notice += max(1, _letters(m.group()))
+            words = _WORD.findall(m.group())
+            notice += max(1, sum(map(len, words)))
+            n_words += len(words)
             kept.append(m.group())
             at = m.end()
         elif m := _FURNITURE.match(body, at):
@@ -152,11 +159,14 @@ def notice_parts(t: str, title: str | None) -> tuple[int, int, int, str]:
         else:
             stop = _STOP.search(body, at)
             end = stop.end() if stop else len(body)
-            other += _letters(body[at:end])
+            words = _WORD.findall(body[at:end])
+            other += sum(map(len, words))
+            n_words += len(words)
             kept.append(body[at:end])
             at = end
     text = " ".join(kept).lower()
-    return notice, other, len({w for w in _WORD.findall(text)} & WEAK), re.sub(r"\d+", "0", text)
+    weak = [w for w in _WORD.findall(text) if w in WEAK]
+    return notice, other, len(set(weak)) if _WORDS_A_WEAK * len(weak) >= n_words else 0, re.sub(r"\d+", "0", text)
 
 
 def has_slot(t: str) -> bool:
@@ -186,20 +196,21 @@ def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for i, text, title, source, again in zip(b["doc_id"], b["text"], b["title"], b["source"], repeated_words(b["text"].tolist())):
+            slot, filler = has_slot(text), again or has_filler(text)
             notice = other = weak = 0
             template, same = None, False
-            if len(text) <= _LONGEST_NOTICE:
-                if not text.isascii():
-                    text = "\n".join(clean_base(x)[0] for x in text.split("\n"))
-                low = text.lower()
-                if any(k in low for k in _NOTICE_KEYS):
-                    notice, other, weak, body = notice_parts(text, title)
-                    if body:
-                        template = zlib.crc32(body.encode()) << 31 | zlib.adler32(body.encode()) & 0x7FFFFFFF
+            if len(text) <= 700 and not text.isascii():
+                text = clean_base(text, "\n")[0]
+                slot, filler = has_slot(text), again or has_filler(text)
+            low = text.lower()
+            if any(k in low for k in _NOTICE_KEYS):
+                notice, other, weak, body = notice_parts(text, title)
+                if body:
+                    template = zlib.crc32(body.encode()) << 31 | zlib.adler32(body.encode()) & 0x7FFFFFFF
                     same = bool(title) and bool({w for w in _WORD.findall(title.lower()) if len(w) > 4} & set(_WORD.findall(body)))
-            rows.append((i, source, has_slot(text), again or has_filler(text), notice, other, weak, same, template))
+            rows.append((i, source, slot, filler, notice, other, weak, same, template))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
-        out["template"] = out["template"].astype("Int64")
+        out["template"] = pd.array([r[-1] for r in rows], "Int64")  # from floats, as None makes them, equal templates could differ
         yield out
 
 
@@ -208,10 +219,10 @@ def residue(docs: DataFrame, host: str = "source", least_copies: int = 3, least_
 
     ``slot``: an unfilled template slot anywhere; ``filler``: filler text anywhere (phrases that ask for a text, runs of
     filler words, the same words again and again); ``notice``: apart from tags, title and page furniture, the text is an
-    error, access or script notice. Wordings that the phrases don't know are found by combined evidence: a short text
-    that shares no word with its title, has several words of notices, and whose template (digits levelled) answers under
-    ``least_copies`` documents and ``least_hosts`` hosts is ``mismatch``. A text of fewer than 700 characters can be a
-    notice; slots and filler are sought in whole texts of any length.
+    error, access or script notice. Wordings that the phrases don't know are found by combined evidence: a text that
+    shares no word with its title, has several words of notices, at least one in a hundred, and whose template (digits
+    levelled) answers under ``least_copies`` documents and ``least_hosts`` hosts is ``mismatch``. All of it holds for
+    whole texts of any length.
 
     Defined cases: null or empty text has no reason; null title or host is allowed; repeated rows are judged each for
     itself; an empty table gives no rows. ``docs`` needs ``doc_id``, ``text``, ``title`` and the host column.

@@ -57,14 +57,14 @@ def _script(c: str) -> str:
     return "OTHER" if c not in "ʒ" else "LATIN"
 
 
-def clean_base(s: str) -> tuple[str, set[str]]:
+def clean_base(s: str, keep: str = "") -> tuple[str, set[str]]:
     """Text without invisible characters, with ordinary blanks, usual widths and composed letters, and the flags that applied.
 
-    Marks that have no single character, the long s, ae and oe and the abbreviation letters stay as they are.
+    Marks that have no single character, the long s, ae and oe, the abbreviation letters and whatever ``keep`` holds stay as they are.
     """
     flags: set[str] = set()
     if not s.isascii():
-        for c in set(s):
+        for c in set(s).difference(keep):
             to, flag = _char(c)
             if flag:
                 flags.add(flag)
@@ -74,7 +74,7 @@ def clean_base(s: str) -> tuple[str, set[str]]:
             flags.add("apart")
         s = composed
     elif not s.isprintable():
-        for c in set(s):
+        for c in set(s).difference(keep):
             to, flag = _char(c)
             if flag:
                 flags.add(flag)
