@@ -122,6 +122,7 @@ _PAGE = re.compile(r"<!--.*?-->|<!doctype\b[^<>]*>|<(script|style)\b[^<>]*>.*?</
 _STOP = re.compile(r"\n+|(?<=[.!?:;])\s+|\s{3,}")
 _TITLE_LINE = re.compile(r"\s*[A-ZÀ-Þ][^.!?;:\n]{2,80}\n\s*(?=\S)")
 _WORD = re.compile(r"[^\W\d_]+")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1b\x7f]")
 #: A text can be a mismatch if at least one in so many of its words is a weak one.
 _WORDS_A_WEAK = 100
 
@@ -195,20 +196,17 @@ _SCHEMA = "doc_id bigint, source string, slot boolean, filler boolean, notice in
 def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for i, text, title, source, again in zip(b["doc_id"], b["text"], b["title"], b["source"], repeated_words(b["text"].tolist())):
-            slot, filler = has_slot(text), again or has_filler(text)
+        texts = [t if t.isascii() and not _CONTROL.search(t) else clean_base(t, "\n")[0] for t in b["text"]]
+        for i, text, title, source, again in zip(b["doc_id"], texts, b["title"], b["source"], repeated_words(texts)):
             notice = other = weak = 0
             template, same = None, False
-            if len(text) <= 700 and not text.isascii():
-                text = clean_base(text, "\n")[0]
-                slot, filler = has_slot(text), again or has_filler(text)
             low = text.lower()
             if any(k in low for k in _NOTICE_KEYS):
                 notice, other, weak, body = notice_parts(text, title)
                 if body:
                     template = zlib.crc32(body.encode()) << 31 | zlib.adler32(body.encode()) & 0x7FFFFFFF
                     same = bool(title) and bool({w for w in _WORD.findall(title.lower()) if len(w) > 4} & set(_WORD.findall(body)))
-            rows.append((i, source, slot, filler, notice, other, weak, same, template))
+            rows.append((i, source, has_slot(text), again or has_filler(text), notice, other, weak, same, template))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
         out["template"] = pd.array([r[-1] for r in rows], "Int64")  # from floats, as None makes them, equal templates could differ
         yield out
@@ -222,7 +220,7 @@ def residue(docs: DataFrame, host: str = "source", least_copies: int = 3, least_
     error, access or script notice. Wordings that the phrases don't know are found by combined evidence: a text that
     shares no word with its title, has several words of notices, at least one in a hundred, and whose template (digits
     levelled) answers under ``least_copies`` documents and ``least_hosts`` hosts is ``mismatch``. All of it holds for
-    whole texts of any length.
+    whole texts of any length, which are read without invisible characters and in usual widths and blanks.
 
     Defined cases: null or empty text has no reason; null title or host is allowed; repeated rows are judged each for
     itself; an empty table gives no rows. ``docs`` needs ``doc_id``, ``text``, ``title`` and the host column.

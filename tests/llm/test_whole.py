@@ -17,3 +17,10 @@ def test_notices_of_any_length(spark):
     assert min(map(len, (page, trace, real, asleep, talk))) > 700
     got = _reasons(spark, [page, trace, real, *[asleep] * 3, *[talk] * 3])
     assert [got[k] for k in range(9)] == ["notice", "notice", None, *["mismatch"] * 3, *[None] * 3]
+
+
+def test_dirty_slots_and_filler_in_long_texts(spark):
+    real = "".join(f"Restitutio {x} in foro debetur. " for x in NAMES)
+    dirty = ["Et si ｛｛title｝｝ imperio.", "Et si {{ti​tle}} imperio.", "Et si lorem ipsum imperio.", "qwe​rty qwerty", "a {{ti\x00tle}} b"]
+    got = _reasons(spark, [*dirty, *[real + x for x in dirty], real + "é"])
+    assert [got[k] for k in range(11)] == ["slot", "slot", "filler", "filler", "slot"] * 2 + [None]
