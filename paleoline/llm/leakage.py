@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata as U
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +12,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paleoline.llm.fmindex import FMIndex
-from paleoline.llm.text import clean_base, level
+from paleoline.llm.text import BRACKETS, _char, clean_base, level
 from paleoline.session import materialise
 
 WORDS, SHARD_WORDS, BLOCK_WORDS = 12, 2_000_000, 20_000_000
-_DIVIDED = re.compile(r"(?<=[^\W\d_])[-‐­⸗]\s*?[\n\r]\s*")
+#: A hyphen at a line end, with whatever may be invisible around it; ``_divisions`` looks closer.
+_DIVIDED = re.compile(r"(?<=[^\s!-@\[-`{-~‐‑⸗﹣－])[-\u00ad‐‑⸗﹣－]((?:[^\w\n\r!-~]|[\u115f\u1160\u3164\uffa0])*)[\n\r]")
+_LETTER = re.compile(r"[^\W\d_]")
 _RAW = re.compile(r"\S+")
 
 
+def _unseen(c: str) -> bool:
+    return c in BRACKETS or _char(c)[1] == "invisible"
+
+
+def _blank(c: str) -> bool:
+    return c.isspace() or _char(c)[0] == " "
+
+
+def _divisions(t: str) -> list[tuple[int, int]]:
+    """(start, end) of what stands between the parts of each divided word: a hyphen of any width after a letter, the line end, blanks.
+
+    Marks, abbreviation brackets and invisible characters may follow the letter, and brackets and invisible ones the hyphen.
+    """
+    out = []
+    for m in _DIVIDED.finditer(t):
+        k = m.start() - 1
+        while k > 0 and (_unseen(t[k]) or U.category(t[k])[0] == "M"):
+            k -= 1
+        if not _unseen(t[k]) and _LETTER.match(t[k]) and all(_unseen(c) or _blank(c) for c in m[1]):
+            end = m.end()
+            while end < len(t) and (_blank(t[end]) or _char(t[end])[1] == "invisible"):
+                end += 1
+            out.append((m.start(), end))
+    return out
+
+
 def _join_divided(t: str) -> str:
-    return _DIVIDED.sub("", t) if "\n" in t or "\r" in t else t
+    if "⠀" in t:  # a blank that the splitting of words doesn't know
+        t = t.replace("⠀", " ")
+    gone = _divisions(t) if "\n" in t or "\r" in t else []
+    return "".join(t[a:b] for a, b in zip([0, *[e for _, e in gone]], [*[s for s, _ in gone], len(t)])) if gone else t
 
 
 def levelled_words(t: str) -> list[str]:
@@ -34,7 +66,8 @@ def clean_word(w: str) -> str:
 
 def _spans(t: str) -> list[tuple[int, int, str]]:
     """(start, end, levelled word) in code points of the text as stored; a divided word spans its line end."""
-    keep, gone = np.ones(len(t), bool), [m.span() for m in _DIVIDED.finditer(t)] if "\n" in t or "\r" in t else []
+    t = t.replace("⠀", " ")
+    keep, gone = np.ones(len(t), bool), _divisions(t) if "\n" in t or "\r" in t else []
     for s, e in gone:
         keep[s:e] = False
     back = np.flatnonzero(keep)
@@ -110,8 +143,8 @@ def _search_shard(texts: list[str], docs: list[int], ids: dict[str, int], memo:
 def leaked(documents: DataFrame, eval_items: DataFrame, words: int = WORDS, spans: bool = False, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Documents that share at least ``words`` consecutive words with an item: ``doc_id``, ``item_id``, and ``spans``.
 
-    Words are split at any blank, invisible characters are dropped, a word divided by a hyphen at a line end is one, words
-    are compared by their levelled letters, and words without letters are skipped. ``spans`` (else null) are the stretches
+    Words are split at any blank, invisible characters are dropped, a word divided by a hyphen of any width at a line end is
+    one, also with marks, brackets or invisible characters beside the hyphen, words are compared by their levelled letters, and words without letters are skipped. ``spans`` (else null) are the stretches
     of the stored text, in code points, that all items' matches in this document cover together, ready for removal.
 
     Each task indexes its share of the documents in shards of about ``shard_words`` words: suffix array, wavelet matrix of

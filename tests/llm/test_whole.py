@@ -1,3 +1,4 @@
+from paleoline.llm import leakage as lk
 from paleoline.llm import residue as rs
 
 DOCS = "doc_id bigint, text string, title string, source string"
@@ -24,3 +25,13 @@ def test_dirty_slots_and_filler_in_long_texts(spark):
     dirty = ["Et si ｛｛title｝｝ imperio.", "Et si {{ti​tle}} imperio.", "Et si lorem ipsum imperio.", "qwe​rty qwerty", "a {{ti\x00tle}} b"]
     got = _reasons(spark, [*dirty, *[real + x for x in dirty], real + "é"])
     assert [got[k] for k in range(11)] == ["slot", "slot", "filler", "filler", "slot"] * 2 + [None]
+
+
+def test_words_divided_by_any_hyphen():
+    for part, rest in [("conf－\n", "issão"), ("conf‑\n", "issão"), ("conf﹣ \r\n ", "issão"), ("cõ-\n", "fissão"), ("c⦃on⦄-\n", "fissão"), ("c⦃on-⦄\n", "fissão"), ("conf​-​\n​ ", "issão"), ("conf­-\n", "issão"), ("conf­\n", "issão"), ("ｃｏｎｆ－\n", "ｉｓｓãｏ")]:
+        t = f"et {part}{rest} est"
+        assert len(lk.levelled_words(t)) == 3 and lk.levelled_words(t)[1].endswith("issao"), repr(t)
+        assert [t[s:e] for s, e, _ in lk._spans(t)] == ["et", part + rest, "est"] and [w for _, _, w in lk._spans(t)] == lk.levelled_words(t)
+    for t in ("et conf -\nissa", "et conf.-\nissa", "et conf ​-\nissa", "et conf--\nissa", "anno 12-\nissa et", "et conf⠀issa"):
+        assert len(lk.levelled_words(t)) == 3 or t.startswith("anno") and lk.levelled_words(t) == ["anno", "issa", "et"], repr(t)
+    assert lk._join_divided("-\nab c" + "-" * 9 + "\nd") == "-\nab c" + "-" * 9 + "\nd"
