@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paleoline.llm.fmindex import FMIndex
@@ -18,6 +18,9 @@ from paleoline.session import materialise
 WORDS, SHARD_WORDS, BLOCK_WORDS = 12, 2_000_000, 20_000_000
 #: A hyphen at a line end, with whatever may be invisible around it; ``_divisions`` looks closer.
 _DIVIDED = re.compile(r"(?<=[^\s!-@\[-`{-~‐‑⸗﹣－])[-\u00ad‐‑⸗﹣－]((?:[^\w\n\r!-~]|[\u115f\u1160\u3164\uffa0])*)[\n\r]")
+_SPANS = "array<struct<start:int,end:int>>"
+#: A span with the numbers of its first and last word.
+_NUMBERED = "struct<start:int,end:int,first:int,last:int>"
 _LETTER = re.compile(r"[^\W\d_]")
 _RAW = re.compile(r"\S+")
 
@@ -136,7 +139,7 @@ def _search_shard(texts: list[str], docs: list[int], ids: dict[str, int], memo:
                 cover[min(k + wide, len(seq))] -= 1
         inside = np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])
         edge = np.flatnonzero(np.diff(inside.astype(np.int8)))
-        merged = [{"start": places[a][0], "end": places[b - 1][1]} for a, b in zip(edge[::2], edge[1::2])]
+        merged = [{"start": places[a][0], "end": places[b - 1][1], "first": int(a), "last": int(b) - 1} for a, b in zip(edge[::2], edge[1::2])]
         yield from ((docs[d], i, merged) for dd, i in sorted(pairs) if dd == d)
 
 
@@ -198,12 +201,27 @@ def leaked(documents: DataFrame, eval_items: DataFrame, words: int = WORDS, span
             if texts:
                 yield flush()
 
-        found = docs.mapInPandas(run, "doc_id bigint, item_id bigint, spans array<struct<start:int,end:int>>")
+        found = docs.mapInPandas(run, f"doc_id bigint, item_id bigint, spans array<{_NUMBERED}>")
         found = materialise(found, "leaked") if blocks > 1 else found
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, spans array<struct<start:int,end:int>>")
-    return out if spans else out.groupBy("doc_id", "item_id").agg(F.first("spans").alias("spans"))
+        return spark.createDataFrame([], f"doc_id bigint, item_id bigint, spans {_SPANS}")
+    if not spans:
+        return out.select("doc_id", "item_id").distinct().withColumn("spans", F.lit(None).cast(_SPANS))
+    all_of = out.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"), F.flatten(F.collect_set("spans")).alias("spans"))
+    return all_of.select("doc_id", F.explode("items").alias("item_id"), _merged("spans").cast(_SPANS).alias("spans"))
+
+
+def _merged(spans: str) -> Column:
+    """Spans of all blocks, those that overlap or whose words follow each other as one: what one block would give."""
+
+    def put(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        joined = F.struct(last["start"], F.greatest(last["end"], s["end"]), last["first"], F.greatest(last["last"], s["last"])).cast(_NUMBERED)
+        return F.when((F.size(done) > 0) & (s["first"] <= last["last"] + 1), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(s)))
+
+    merged = F.aggregate(F.array_sort(spans), F.array().cast(f"array<{_NUMBERED}>"), put)
+    return F.transform(merged, lambda s: F.struct(s["start"], s["end"]))
 
 
 def leaked_items(pairs: DataFrame, eval_items: DataFrame) -> DataFrame:

@@ -35,3 +35,14 @@ def test_words_divided_by_any_hyphen():
     for t in ("et conf -\nissa", "et conf.-\nissa", "et conf ​-\nissa", "et conf--\nissa", "anno 12-\nissa et", "et conf⠀issa"):
         assert len(lk.levelled_words(t)) == 3 or t.startswith("anno") and lk.levelled_words(t) == ["anno", "issa", "et"], repr(t)
     assert lk._join_divided("-\nab c" + "-" * 9 + "\nd") == "-\nab c" + "-" * 9 + "\nd"
+
+
+def test_spans_of_several_blocks(spark, monkeypatch):
+    items = [(k, " ".join(f"{x}{'abcdefgh'[k]}" for x in NAMES[:14])) for k in range(8)]
+    docs = [(1, " | ".join(t for _, t in items)), (2, f"{items[0][1]} et {items[3][1]}, {items[3][1]}"), (3, "et " * 20)]
+    df, ev = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    ask = lambda: {(r["doc_id"], r["item_id"]): [(s["start"], s["end"]) for s in r["spans"]] for r in lk.leaked(df, ev, spans=True).collect()}
+    one = ask()
+    monkeypatch.setattr(lk, "BLOCK_WORDS", 40)
+    assert ask() == one and len(one) == 8 + 2
+    assert one[1, 5] == [(0, len(docs[0][1]))] and [docs[1][1][a:b] for a, b in one[2, 0]] == [items[0][1], f"{items[3][1]}, {items[3][1]}"]
