@@ -46,6 +46,10 @@ def _char(c: str) -> tuple[str, str]:
     return c, ""
 
 
+#: Beginnings of names of letters that belong to no script, or to the Latin one under another name.
+_NO_SCRIPT = ("MODIFIER LETTER", "FEMININE ORDINAL", "MASCULINE ORDINAL", "MICRO SIGN", "SUPERSCRIPT", "SUBSCRIPT", "ROMAN NUMERAL")
+
+
 @lru_cache(maxsize=4096)
 def _script(c: str) -> str:
     if not c.isalpha():
@@ -54,6 +58,8 @@ def _script(c: str) -> str:
     for s in ("LATIN", "GREEK", "CYRILLIC"):
         if name.startswith(s):
             return s
+    if not name or name.startswith(_NO_SCRIPT) or "℀" <= c <= "⅏":
+        return ""
     return "OTHER" if c not in "ʒ" else "LATIN"
 
 
@@ -82,11 +88,26 @@ def clean_base(s: str, keep: str = "") -> tuple[str, set[str]]:
     return s, flags
 
 
+def _mixes(token: str) -> bool:
+    """Whether a run of letters, with their marks and abbreviation brackets, has a Latin letter and one of another script."""
+    latin = other = False
+    for c in token:
+        if k := _script(c):
+            latin, other = latin or k == "LATIN", other or k != "LATIN"
+            if latin and other:
+                return True
+        elif not (c.isalpha() or c in BRACKETS or U.category(c)[0] == "M"):
+            latin = other = False
+    return False
+
+
 def mixed_tokens(s: str) -> list[tuple[str, str, bool]]:
     """(token, token with look-alikes replaced, certain) of blank-separated tokens with letters of more than one script.
 
-    A token is certain if it has a Latin letter and every other letter looks like a Latin one. A token only of Cyrillic
-    look-alikes is a candidate too, as it may be a wholly replaced word; whole Greek words are none.
+    A token is certain if it has a Latin letter and every other letter looks like a Latin one, or if a letter of any
+    other script, Armenian and Cherokee ones too, stands in one word with a Latin letter; a whole Greek word joined to a
+    Latin one by other signs is no case. A token with a letter that ``LOOKALIKES`` doesn't have is given back as it is. A
+    token only of Cyrillic look-alikes is a candidate too, as it may be a wholly replaced word; whole Greek words are none.
     """
     out = []
     if s.isascii():
@@ -98,11 +119,14 @@ def mixed_tokens(s: str) -> list[tuple[str, str, bool]]:
         for c in t:
             if k := _script(c):
                 scripts.setdefault(k, set()).add(c)
-        strange = set().union(*(v for k, v in scripts.items() if k in ("GREEK", "CYRILLIC")), set())
-        if not strange or not all(c in LOOKALIKES for c in strange):
+        strange = set().union(*(v for k, v in scripts.items() if k != "LATIN"), set())
+        if not strange:
             continue
-        if "LATIN" in scripts or set(scripts) == {"CYRILLIC"}:
+        known = all(c in LOOKALIKES for c in strange)
+        if known and ("LATIN" in scripts or set(scripts) == {"CYRILLIC"}):
             out.append((t, "".join(LOOKALIKES.get(c, c) for c in t), "LATIN" in scripts))
+        elif "LATIN" in scripts and _mixes(t):
+            out.append((t, t, True))
     return out
 
 
@@ -134,7 +158,7 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for s in b["text"]:
             base, flags = clean_base(s)
             mixed = mixed_tokens(base)
-            rows.append((base, [f for f in FLAGS if f in flags], [{"token": t, "repaired": r, "word": _word(r), "certain": c} for t, r, c in mixed]))
+            rows.append((base, [f for f in FLAGS if f in flags], [{"token": t, "repaired": r, "word": _word(r) if r != t else "", "certain": c} for t, r, c in mixed]))
         yield pd.DataFrame({"id": b["id"], "field": b["field"], "clean": [r[0] for r in rows], "flags": [r[1] for r in rows], "mixed": [r[2] for r in rows]})
 
 
@@ -158,7 +182,7 @@ def normalise_text(lines: DataFrame, fields: tuple[str, ...] = ("source_sic", "t
 
     ``flags`` names what was found: ``invisible`` characters (dropped), ``blank`` other than the ordinary space (made one),
     ``form`` of width or presentation (usual letters), letter and accent ``apart`` (composed), and ``mixed``: a letter of
-    another script within a Latin word. Look-alikes are put right only in mixed-script tokens, and only if the result is
+    any other script within a Latin word. Look-alikes are put right only in mixed-script tokens, and only if the result is
     a word of the corpus: one that stands in some current line without any letter of another script. A mixed token whose
     repair isn't a word stays as it is but keeps its flag; a token only of Cyrillic look-alikes is repaired and flagged
     only if the result is a word.

@@ -1,5 +1,6 @@
 from paleoline.llm import leakage as lk
 from paleoline.llm import residue as rs
+from paleoline.llm import text as tx
 
 DOCS = "doc_id bigint, text string, title string, source string"
 NAMES = [f"{a}{b}{c}" for a in ("mar", "tol", "ven", "qui") for b in ("a", "e", "io", "u") for c in ("bis", "dem", "gor", "lus", "nix", "pra")]
@@ -46,3 +47,12 @@ def test_spans_of_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(lk, "BLOCK_WORDS", 40)
     assert ask() == one and len(one) == 8 + 2
     assert one[1, 5] == [(0, len(docs[0][1]))] and [docs[1][1][a:b] for a, b in one[2, 0]] == [items[0][1], f"{items[3][1]}, {items[3][1]}"]
+
+
+def test_letters_of_any_other_script(spark, make_lines):
+    bad = ["deжan", "dеrжn", "tհlis", "Ꭰqua", "aⲁqua", "d⦃eλ⦄an", "seλ́n"]
+    good = ["λόγος", "verbum/λόγος", "(λόγος)", "1ª", "loquitꝰ", "ꝙ⁊", "CIↃ", "жена", "aquᵃ", "5µ"]
+    assert [t for t in bad + good if tx.mixed_tokens(t)] == bad
+    assert tx.mixed_tokens("dеrжn") == [("dеrжn", "dеrжn", True)] and tx.clean_now("dеrжn dеran") == "dеrжn deran"
+    got = {r["id"]: (r["clean"], r["flags"]) for r in tx.normalise_text(make_lines([{"id": str(k), "source_sic": f"et {t} est", "target_corr": None} for k, t in enumerate(bad + good)])).where("field = 'source_sic'").collect()}
+    assert got == {str(k): (f"et {t} est", ["mixed"] if t in bad else []) for k, t in enumerate(bad + good)}
