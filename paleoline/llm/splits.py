@@ -14,6 +14,7 @@ from paleoline.session import current, materialise
 
 SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
 BLOCK_COMPONENTS, CHAINS, STEPS = 4096, 4, 6000
+LABELS = 15
 
 
 def entity_links(lines: DataFrame, works: DataFrame) -> DataFrame:
@@ -82,7 +83,8 @@ def assign_splits(lines: DataFrame, groups: DataFrame, shares: dict[str, float]
     are placed first, largest first, where most room is left. All others start from a hash of the group and are hashed
     into blocks of about ``block`` groups. Each block is annealed by ``chains`` independent chains in parallel tasks,
     which move and exchange whole groups so that sizes and the counts of ``label`` (default: the line's first language)
-    come near the shares, aiming at what the large groups leave; the best chain of each block is kept.
+    come near the shares, aiming at what the large groups leave; the best chain of each block is kept. The ``LABELS``
+    most frequent labels are balanced each for itself, all others and null together as one, so every line counts.
 
     Defined cases: documents without lines have size 0 and still get a split; lines of documents that aren't in
     ``groups`` are ignored; an empty table gives no rows; shares are scaled to a sum of 1.
@@ -95,10 +97,9 @@ def assign_splits(lines: DataFrame, groups: DataFrame, shares: dict[str, float]
     counts = current(lines, "doc_id", label.alias("label")).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
     sized = groups.join(counts, "doc_id", "left").groupBy("group_doc", "label").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     sized = materialise(sized, "split-sizes")
-    by_label = {r["label"]: r["n"] for r in sized.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(16).collect()}
-    labels = [x for x in by_label if x is not None]
+    labels = [r["label"] for r in sized.where("label is not null").groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()]
     total = sized.agg(F.sum("n")).first()[0] or 0
-    per = materialise(sized.groupBy("group_doc").agg(F.sum("n").alias("size"), *[F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(f"l{j}") for j, x in enumerate(labels)]), "split-groups")
+    per = materialise(sized.groupBy("group_doc").agg(F.sum("n").alias("size"), *[F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(f"l{j}") for j, x in enumerate(labels)], F.sum(F.when(F.col("label").isin(labels), 0).otherwise(F.col("n"))).alias(f"l{len(labels)}")), "split-groups")
 
     bound = max(1.0, 0.1 * float(want.min()) * total)
     room = want * total
@@ -111,12 +112,12 @@ def assign_splits(lines: DataFrame, groups: DataFrame, shares: dict[str, float]
     aim = aim / aim.sum() if aim.sum() else want
     small = per.where(F.col("size") < bound) if total else per
     n_blocks = max(1, -(-small.count() // block))
-    cols = [f"l{j}" for j in range(len(labels))]
+    cols = [f"l{j}" for j in range(len(labels) + 1)]
     cut = np.cumsum(aim)
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("group_doc", kind="stable")
-        size, lab = b["size"].to_numpy(float), b[cols].to_numpy(float) if cols else np.zeros((len(b), 1))
+        size, lab = b["size"].to_numpy(float), b[cols].to_numpy(float)
         spot = pd.util.hash_array(b["group_doc"].to_numpy(object)) / 2.0**64
         start = np.minimum(np.searchsorted(cut, spot, "right"), len(names) - 1)
         at, cost = _anneal(size, lab, start, aim * size.sum(), np.outer(aim, lab.sum(0)), seed * 7919 + int(key[0]) * 31 + int(key[1]), steps)

@@ -1,5 +1,8 @@
+from pyspark.sql import functions as F
+
 from paleoline.llm import leakage as lk
 from paleoline.llm import residue as rs
+from paleoline.llm import splits as sp
 from paleoline.llm import text as tx
 
 DOCS = "doc_id bigint, text string, title string, source string"
@@ -56,3 +59,17 @@ def test_letters_of_any_other_script(spark, make_lines):
     assert tx.mixed_tokens("dеrжn") == [("dеrжn", "dеrжn", True)] and tx.clean_now("dеrжn dеran") == "dеrжn deran"
     got = {r["id"]: (r["clean"], r["flags"]) for r in tx.normalise_text(make_lines([{"id": str(k), "source_sic": f"et {t} est", "target_corr": None} for k, t in enumerate(bad + good)])).where("field = 'source_sic'").collect()}
     assert got == {str(k): (f"et {t} est", ["mixed"] if t in bad else []) for k, t in enumerate(bad + good)}
+
+
+def test_every_line_counts_in_the_balance_of_labels(spark, make_lines, monkeypatch):
+    anneal = sp._anneal
+
+    def whole(size, labels, *rest):
+        assert (labels.sum(1) == size).all() and labels.shape[1] <= 16, "a label is left out"
+        return anneal(size, labels, *rest)
+
+    monkeypatch.setattr(sp, "_anneal", whole)
+    lines = make_lines([{"id": f"N{k:03d}-00-0001-lb-{j:04d}", "doc_id": f"D{k:03d}", "ancestor_id": f"label {(k + j) % 25}" if j else None} for k in range(160) for j in range(8)])
+    groups = spark.createDataFrame([(f"D{k:03d}", f"D{k:03d}") for k in range(161)], "doc_id string, group_doc string")
+    assert sp.assign_splits(lines, groups, label=F.col("ancestor_id"), chains=1, steps=200).count() == 161
+    assert sp.assign_splits(lines, groups, chains=1, steps=200).count() == 161
