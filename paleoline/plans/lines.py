@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paleoline.functions import align
@@ -238,11 +238,17 @@ def _span_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def type_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics of each abbreviation; its expansions as a map are counted per pair first."""
+    """Statistics of each abbreviation, its expansions with their counts, the most frequent first, and its first 20 errors in row order."""
     s = materialise(_span_results(spark, d), "spans")
     per = s.groupBy("abbr").agg(F.count("*").alias("n"), F.count_if(F.col("gold") == F.col("predicted")).alias("n_exact"), mt.cer(F.col("predicted"), F.col("gold")).alias("cer"))
-    most = s.groupBy("abbr", "gold").agg(F.count("*").alias("c")).groupBy("abbr").agg(F.max_by("gold", F.struct("c", "gold")).alias("top_expansion"), F.count("*").alias("n_expansions"))
-    return per.join(most, "abbr").select("abbr", "n", "n_exact", (F.col("n_exact") / F.col("n")).alias("exact_match"), "cer", "top_expansion", "n_expansions")
+    counted = s.groupBy("abbr", "gold").agg(F.count("*").alias("c")).groupBy("abbr")
+    most = counted.agg(F.max_by("gold", F.struct("c", "gold")).alias("top_expansion"), F.count("*").alias("n_expansions"), F.sort_array(F.collect_list(F.struct("c", "gold")), asc=False).alias("counts"))
+    first = s.where("gold <> predicted").withColumn("k", F.row_number().over(Window.partitionBy("abbr").orderBy("file_pos", "n"))).where("k <= 20")
+    wrong = first.groupBy("abbr").agg(F.array_sort(F.collect_list(F.struct("k", "predicted", "gold"))).alias("wrong"))
+    expansions = F.transform("counts", lambda x: F.struct(x["gold"].alias("gold"), x["c"].alias("n"))).alias("expansions")
+    errors = F.transform(F.coalesce("wrong", F.array().cast("array<struct<k:int,predicted:string,gold:string>>")), lambda x: F.struct(x["predicted"].alias("predicted"), x["gold"].alias("gold"))).alias("errors")
+    out = per.join(most, "abbr").join(wrong, "abbr", "left")
+    return out.select("abbr", "n", "n_exact", (F.col("n_exact") / F.col("n")).alias("exact_match"), "cer", "top_expansion", "n_expansions", expansions, errors)
 
 
 def full_line_cer(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from paleoline.llm import leakage as lk
 from paleoline.llm import residue as rs
 from paleoline.llm import splits as sp
 from paleoline.llm import text as tx
+from paleoline.plans import lines as pl
 
 DOCS = "doc_id bigint, text string, title string, source string"
 NAMES = [f"{a}{b}{c}" for a in ("mar", "tol", "ven", "qui") for b in ("a", "e", "io", "u") for c in ("bis", "dem", "gor", "lus", "nix", "pra")]
@@ -73,3 +74,12 @@ def test_every_line_counts_in_the_balance_of_labels(spark, make_lines, monkeypat
     groups = spark.createDataFrame([(f"D{k:03d}", f"D{k:03d}") for k in range(161)], "doc_id string, group_doc string")
     assert sp.assign_splits(lines, groups, label=F.col("ancestor_id"), chains=1, steps=200).count() == 161
     assert sp.assign_splits(lines, groups, chains=1, steps=200).count() == 161
+
+
+def test_breakdown_has_expansions_and_first_errors(spark, monkeypatch):
+    spans = [(p, n, "q̃", ("que", "quem")[p % 3 == 0], "que") for p in range(90, 0, -1) for n in range(2)] + [(1, 5, "ẽ", "en", "en")]
+    monkeypatch.setattr(pl, "_span_results", lambda s, d: s.createDataFrame(spans, "file_pos bigint, n int, abbr string, gold string, predicted string").withColumn("predicted", F.when(F.col("gold") == "quem", F.concat(F.lit("que"), F.col("file_pos"), F.lit("."), F.col("n"))).otherwise(F.col("predicted"))))
+    got = {r["abbr"]: r.asDict(True) for r in pl.type_breakdown(spark, "").collect()}
+    assert got["q̃"]["expansions"] == [{"gold": "que", "n": 120}, {"gold": "quem", "n": 60}] and got["q̃"]["n_exact"] == 120
+    assert got["q̃"]["errors"] == [{"predicted": f"que{p}.{n}", "gold": "quem"} for p in range(3, 31, 3) for n in range(2)]
+    assert got["ẽ"]["errors"] == [] and got["ẽ"]["expansions"] == [{"gold": "en", "n": 1}]
