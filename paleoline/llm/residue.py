@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paleoline.llm.text import clean_base
@@ -44,13 +43,13 @@ LOREM_SURE = frozenset("lorem amet consectetur adipiscing adipisicing elit eiusm
 FILLER_PHRASES = [
     r"\blorem ipsum\b", r"\bdummy text\b", r"\bfiller text\b", r"\bplaceholder text\b", r"\bsample (?:paragraph|text)\b",
     r"\breplace this text\b", r"\binsert (?:the )?text\b", r"\byour (?:text|title|description|content) (?:goes )?here\b",
-    r"\b(?:text|description|title|content) goes here\b", r"\b(?:TBD|TODO|FIXME)\s*:", r"\btexto de (?:relleno|prueba|ejemplo)\b",
+    r"\b(?:text|description|title|content) goes here\b", r"\b(?-i:TBD|TODO|FIXME)\s*:", r"\btexto de (?:relleno|prueba|ejemplo)\b",
     r"\baquí (?:irá|va) (?:el|la)\b", r"\bblindtext\b", r"\bplatzhalter(?:text)?\b", r"\btexte (?:de remplissage|factice)\b", r"\btesto segnaposto\b", r"\btexto de preenchimento\b",
-    r"\b(?:content|text) (?:is )?coming soon\b", r"\b(?:inhalt|text) folgt\b", r"\bpr[óo]ximamente\b",
+    r"\b(?:content|text) (?:is )?coming soon\b", r"\b(?:inhalt|text) folgt\b", r"\bpr[óo]ximamente\b", r"\btexto provisional\b", r"\b(prueba|prova|probe|essai|test)(?:\W+\d+)?\W+\1(?:\W+\d+)?\W+\1\b",
 ]
 _FILLER = re.compile("|".join(FILLER_PHRASES), re.I)
 #: Whatever a filler phrase has one of.
-_FILLER_KEYS = ("lorem", " goes here", "text here", "title here", "description here", "content here", "dummy", "filler", "placeholder", "sample", "replace this", "insert", "tbd", "todo", "fixme", "relleno", "prueba", "ejemplo", "aquí", "blindtext", "platzhalter", "remplissage", "factice", "segnaposto", "preenchimento", "coming soon", "folgt", "ximamente")
+_FILLER_KEYS = ("lorem", " goes here", "text here", "title here", "description here", "content here", "dummy", "filler", "placeholder", "sample", "replace this", "insert", "tbd", "todo", "fixme", "relleno", "prueba", "ejemplo", "aquí", "blindtext", "platzhalter", "remplissage", "factice", "segnaposto", "preenchimento", "coming soon", "folgt", "ximamente", "provisional", "prova", "probe", "essai", "test")
 #: Keyboard words that are filler as soon as they stand twice in a row.
 KEYBOARD = frozenset("abc abcd abcde asdf asdfg qwert qwerty qwertz test foo bla blah xyz zxcv hjkl lorem".split())
 _LONGEST_REPEAT = 6
@@ -66,15 +65,20 @@ def _word_id(w: str, n: int) -> int:
 
 
 def repeated_words(texts: list[str]) -> list[bool]:
-    """Whether a text has filler by repetition: two to six words four times in a row, one word eight times, runs of one sign (xxx xx xxxx) four times, a keyboard word twice."""
+    """Whether a text has filler by repetition.
+
+    One word eight times in a row, runs of one sign (xxx xx xxxx) four times, a keyboard word twice, or two to six words
+    eight times, or four times if they make up half of the text: a refrain within a text is none.
+    """
     ids: dict[str, int] = {}
     words = [_TAG.sub(" ", t).split() if "<" in t else t.split() for t in texts]
     for w in words:
         for v in w:
             if v not in ids:
                 ids[v] = _word_id(v, len(ids))
-    flat = np.fromiter((x for w in words for x in (*map(ids.__getitem__, w), -1)), np.int64, sum(map(len, words)) + len(words))
-    owner = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
+    size = np.array([len(w) for w in words])
+    flat = np.fromiter((x for w in words for x in (*map(ids.__getitem__, w), -1)), np.int64, int(size.sum()) + len(words))
+    owner = np.repeat(np.arange(len(words)), size + 1)
     out = np.zeros(len(words), bool)
     for p in range(1, _LONGEST_REPEAT + 1):
         if len(flat) <= p:
@@ -82,7 +86,10 @@ def repeated_words(texts: list[str]) -> list[bool]:
         same = np.concatenate([[False], (flat[p:] == flat[:-p]) & (flat[p:] >= 0), [False]])
         edge = np.flatnonzero(np.diff(same.astype(np.int8)))
         start, length = edge[::2], edge[1::2] - edge[::2]
-        need = np.where(flat[start] >= _KEYS, 1, np.where(flat[start] >= _SIGNS, 3, 7)) if p == 1 else 3 * p
+        if p == 1:
+            need = np.where(flat[start] >= _KEYS, 1, np.where(flat[start] >= _SIGNS, 3, 7))
+        else:
+            need = np.where(2 * (length + p) >= size[owner[start]], 3 * p, 7 * p)
         out[owner[start[length >= need]]] = True
     return out.tolist()
 
@@ -91,7 +98,7 @@ def repeated_words(texts: list[str]) -> list[bool]:
 NOTICES = [
     r"(?:http )?(?:error )?\b[45]\d\d\b[ –:-]*(?:page )?(?:not found|forbidden|bad gateway|service unavailable|internal server error|gateway time-?out|unauthorized|bad request|gone|moved)?",
     r"(?:the )?(?:requested |page |resource |file |document |work )+[^.;\n]{0,60}(?:not found|not be (?:found|located)|moved or deleted|does not exist|no longer exists|unavailable)[^.;\n]{0,40}",
-    r"page (?:not found|unavailable)", r"not found", r"(?:403 )?forbidden", r"bad gateway", r"(?:internal )?server error", r"service (?:temporarily )?unavailable",
+    r"page (?:not found|unavailable)", r"not found", r"(?:this|the) (?:content|page|work|text|document|volume|resource|item|file) (?:isn't|is not|is no longer|is currently not|cannot be|could not be) (?:available|accessible|found|displayed|shown)[^.;\n]{0,40}", r"this (?:content|page|work|text|document|volume|resource|item|file) (?:does not|doesn't|no longer) exists?[^.;\n]{0,30}", r"(?:403 )?forbidden", r"bad gateway", r"(?:internal )?server error", r"service (?:temporarily )?unavailable",
     r"we could not find (?:that|this|the) \w+", r"nothing to see at this address", r"check the address or search again", r"go back to the \w+", r"return to the \w+",
     r"(?:access|permission) denied", r"you (?:do not|don't) have (?:permission|access)[^.;\n]{0,40}", r"your access has been (?:limited|blocked|denied)[^.;\n]{0,40}", r"too many requests",
     r"session (?:has )?expired", r"please (?:log|sign) in[^.;\n]{0,60}", r"please (?:try again|wait|reload|refresh|come back)[^.;\n]{0,40}", r"try again (?:later|in)[^.;\n]{0,30}", r"wait \d+ \w+",
@@ -107,7 +114,7 @@ _NOTICE = re.compile("(?:" + "|".join(NOTICES) + r")(?!\w)[^\w\n<]*", re.I)
 #: Whatever a notice has one of.
 _NOTICE_KEYS = "error fehler erreur script page found find nothing address forbidden gateway server service dienst access accès acceso permi request session sesi sitzung please load connection construction maintenance traceback render págin pagin vuelva servicio incidencia solicitudes peticiones seite zugriff anfragen document try again go back bitte veuillez activ acesso".split(" ") + ["4", "5"]
 
-# Words of notices, as weaker evidence for wordings the list doesn't have.
+# Words of notices, as one weak sign among the evidence.
 WEAK = frozenset("error page seite página pagina adresse address server browser navegador navigateur javascript script scripts request anfrage access acceso accès zugriff denied unavailable expired login log reload enable aktivieren activar activer erreur fehler http nginx apache cloudflare captcha cookies timeout timed permission permiso resource existe encontrada encontrado trouvé gefunden found missing sorry maintenance".split())
 
 # Furniture that stands on a page beside its text.
@@ -123,51 +130,37 @@ _STOP = re.compile(r"\n+|(?<=[.!?:;])\s+|\s{3,}")
 _TITLE_LINE = re.compile(r"\s*[A-ZÀ-Þ][^.!?;:\n]{2,80}\n\s*(?=\S)")
 _WORD = re.compile(r"[^\W\d_]+")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1b\x7f]")
-#: A text can be a mismatch if at least one in so many of its words is a weak one.
-_WORDS_A_WEAK = 100
 
 
-def notice_parts(t: str, title: str | None) -> tuple[int, int, int, str]:
-    """(letters of notices, of other words, weak words, template) of a text of any length without tags, furniture and title.
+def notice_parts(t: str, title: str | None) -> tuple[int, int]:
+    """(letters of notices, of other words) of a text of any length without tags, furniture and title.
 
     Phrases are read from the start of a line or sentence, or where the last phrase ended, so a text that quotes or
-    discusses a message has other words around it. A first line without a full stop may be a title. Weak words are 0 if
-    they are fewer than one in ``_WORDS_A_WEAK``. Reading ends early, with no weak words and an empty template, only
-    where the rest can neither make the text a notice nor its weak words enough.
+    discusses a message has other words around it. A first line without a full stop may be a title. Reading ends early
+    only where the rest can't make the text a notice.
     """
     body = _PAGE.sub("\n", t).strip() if "<" in t else t.strip()
-    notice = other = at = n_words = 0
-    signs = [w for w in _WORD.findall(body.lower()) if w in WEAK]
-    most = _WORDS_A_WEAK * len(signs) if len(set(signs)) >= 2 else -1
-    kept = []
+    notice = other = at = 0
     if (m := _TITLE_LINE.match(body)) and not _NOTICE.match(body) and not _FURNITURE.match(body):
         at = m.end()
     if title and title.strip() and body[at : at + 2 * len(title)].lower().startswith(title.strip().lower()):
         at += len(title.strip())
     while at < len(body):
-        if 3 * other > notice + len(body) - at and n_words > most:
-            return notice, other, 0, ""
+        if 3 * other > notice + len(body) - at:
+            break
         if body[at].isspace() or body[at] in "|·•-–—*.":
             at += 1
         elif m := _NOTICE.match(body, at):
-            words = _WORD.findall(m.group())
-            notice += max(1, sum(map(len, words)))
-            n_words += len(words)
-            kept.append(m.group())
+            notice += max(1, sum(map(len, _WORD.findall(m.group()))))
             at = m.end()
         elif m := _FURNITURE.match(body, at):
             at = m.end()
         else:
             stop = _STOP.search(body, at)
             end = stop.end() if stop else len(body)
-            words = _WORD.findall(body[at:end])
-            other += sum(map(len, words))
-            n_words += len(words)
-            kept.append(body[at:end])
+            other += sum(map(len, _WORD.findall(body[at:end])))
             at = end
-    text = " ".join(kept).lower()
-    weak = [w for w in _WORD.findall(text) if w in WEAK]
-    return notice, other, len(set(weak)) if _WORDS_A_WEAK * len(weak) >= n_words else 0, re.sub(r"\d+", "0", text)
+    return notice, other
 
 
 def has_slot(t: str) -> bool:
@@ -190,53 +183,110 @@ def has_filler(t: str) -> bool:
     return False
 
 
-_SCHEMA = "doc_id bigint, source string, slot boolean, filler boolean, notice int, other int, weak int, repeats_title boolean, template bigint"
+_SCHEMA = "doc_id bigint, key bigint, slot boolean, filler boolean, notice boolean"
 
 
 def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The detectors: each reads one text for itself."""
     for b in batches:
         rows = []
         texts = [t if t.isascii() and not _CONTROL.search(t) else clean_base(t, "\n")[0] for t in b["text"]]
-        for i, text, title, source, again in zip(b["doc_id"], texts, b["title"], b["source"], repeated_words(texts)):
-            notice = other = weak = 0
-            template, same = None, False
+        for i, key, text, title, again in zip(b["doc_id"], b["key"], texts, b["title"], repeated_words(texts)):
+            notice = other = 0
             low = text.lower()
             if any(k in low for k in _NOTICE_KEYS):
-                notice, other, weak, body = notice_parts(text, title)
-                if body:
-                    template = zlib.crc32(body.encode()) << 31 | zlib.adler32(body.encode()) & 0x7FFFFFFF
-                    same = bool(title) and bool({w for w in _WORD.findall(title.lower()) if len(w) > 4} & set(_WORD.findall(body)))
-            rows.append((i, source, has_slot(text), again or has_filler(text), notice, other, weak, same, template))
+                notice, other = notice_parts(text, title)
+            rows.append((i, key, has_slot(text), again or has_filler(text), notice > 0 and notice >= 3 * other))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
-        out["template"] = pd.array([r[-1] for r in rows], "Int64")  # from floats, as None makes them, equal templates could differ
-        yield out
+        out["doc_id"] = b["doc_id"].astype("Int64").to_numpy()
+        yield out[out["slot"] | out["filler"] | out["notice"]]
+
+
+#: Share of a text's distinct letters that repeated segments must cover, share of a segment's texts that are so covered, and letters of a text for each copy it needs.
+COVERED, PURE, LETTERS_A_COPY = 0.75, 0.5, 20
+
+
+def _letters(c: Column) -> Column:
+    return F.char_length(F.regexp_replace(c, r"[^\p{L}]+", ""))
+
+
+def segments(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``host``, ``title``, ``own``, ``weak`` and ``segs`` of each text: distinct segments (hash ``h``, letters ``n``) without tags and title.
+
+    Segments end at sentence ends, line ends, wide blanks and bars. Case, invisible characters and kinds of blanks don't
+    count, and a token with a digit or a sign of code stands for any other, so answers that differ in a number, a path or a
+    name are one template. ``own`` tells whether the text has a longer word of its title, ``weak`` whether words of
+    notices are at least two and one in a hundred. All of it runs inside the engine.
+    """
+    bare = F.regexp_replace("text", r"(?is)<!--.*?-->|<(script|style)\b[^<>]*>.*?</\1\s*>|</?[a-z!][^<>]*>", "\n")
+    bare = F.regexp_replace(F.regexp_replace(F.lower(bare), r"\p{Cf}", ""), r"[\p{Zs}\t]", " ")
+    title = F.trim(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"\s+", " "))
+    out = rows.select("row", "doc_id", "key", "host", title.alias("title"), F.trim(bare, F.lit(" \n\r")).alias("t"))
+    out = out.withColumn("t", F.when((F.col("title") != "") & F.startswith("t", "title"), F.substr("t", F.char_length("title") + 1)).otherwise(F.col("t")))
+    words = F.regexp_extract_all("t", F.lit(r"(\p{L}+)"), F.lit(1))
+    theirs = F.filter(F.split("title", r"[^\p{L}]+"), lambda w: F.char_length(w) > 4)
+    level = F.regexp_replace("t", r"\S*(?:[0-9$/\\_'\"=@#]|:\S)\S*", "0")
+    parts = F.transform(F.split(level, r"(?:(?<=[.!?;:])\s+|\n+|\s{3,}|\s*[|·•]\s*)"), lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}0]+", " ")))
+    segs = F.transform(F.array_distinct(F.filter(parts, lambda x: x.rlike(r"\p{L}"))), lambda x: F.struct(F.xxhash64(x).alias("h"), _letters(x).alias("n")))
+    weak = F.filter("w", lambda x: x.isin(*sorted(WEAK)))
+    out = out.withColumn("w", words)
+    signs = (F.size(F.array_distinct(weak)) >= 2) & (100 * F.size(weak) >= F.size("w"))
+    return out.select("row", "doc_id", "key", "host", F.xxhash64("title").alias("title"), F.arrays_overlap(theirs, "w").alias("own"), signs.alias("weak"), segs.alias("segs"))
+
+
+def repeated_answers(docs: DataFrame, least_copies: int = 3, least_hosts: int = 2) -> DataFrame:
+    """Rows whose text is a repeated answer of little information in place of a content: ``row``, ``copies``, ``hosts``.
+
+    ``docs`` comes from :func:`segments`. A segment is repeated if at least ``least_copies`` texts have it,
+    under ``least_hosts`` hosts and under different titles (or none): no title tells what it says. A text is covered if
+    repeated segments are ``COVERED`` of its distinct letters. Formulas, headings and navigation are repeated too, but most
+    of their texts have other words beside them; a segment is an answer only if at least ``PURE`` of its texts are covered.
+    A covered text with an answer and without a word of its title is the result, if the answer has a copy for every
+    ``LETTERS_A_COPY`` letters of the text, so a long text that merely stands in several places is none; ``least_copies``
+    are enough where words of notices support it. No list of phrases takes part, so any language counts.
+
+    A segment is counted where it stands before it is shuffled, and only hashes and counts are; rows of repeated
+    segments are found by a broadcast only if their number is proven small.
+    """
+    each = docs.select("row", "host", "title", F.explode("segs").alias("s")).select("row", "host", "title", "s.h", "s.n")
+    stat = each.groupBy("h").agg(F.count("*").alias("copies"), F.min("host").alias("h0"), F.max("host").alias("h1"), F.min("title").alias("t0"), F.max("title").alias("t1"))
+    none = F.xxhash64(F.lit(""))
+    differ = (F.col("t0") != F.col("t1")) | (F.col("t0") == none)
+    hosts = F.when(F.col("h0") != F.col("h1"), 2).otherwise(1)
+    often = materialise(stat.where((F.col("copies") >= least_copies) & (hosts >= least_hosts) & differ).select("h", "copies", hosts.alias("hosts")), "residue-repeated")
+    size = F.aggregate("segs", F.lit(0), lambda a, s: a + s["n"])
+    held = each.join(small_or_plain(often.select("h")), "h").groupBy("row").agg(F.sum("n").alias("held"))
+    total = docs.select("row", size.alias("letters"), "own", "weak", "segs")
+    covered = materialise(total.join(held, "row").where(F.col("held") >= COVERED * F.col("letters")), "residue-covered")
+    own = covered.select("row", F.explode("segs.h").alias("h"))
+    pure = own.groupBy("h").agg(F.count("*").alias("k")).join(often, "h").where(F.col("k") >= PURE * F.col("copies")).select("h", "copies", "hosts")
+    best = own.join(small_or_plain(materialise(pure, "residue-answers")), "h").groupBy("row").agg(F.max("copies").alias("copies"), F.max("hosts").alias("hosts"))
+    enough = F.when(F.col("weak"), F.lit(float(least_copies))).otherwise(F.greatest(F.lit(float(least_copies)), F.col("letters") / LETTERS_A_COPY))
+    return covered.join(best, "row").where(~F.coalesce("own", F.lit(False)) & (F.col("copies") >= enough)).select("row", F.col("copies").cast("bigint").alias("copies"), F.col("hosts").cast("bigint").alias("hosts"))
 
 
 def residue(docs: DataFrame, host: str = "source", least_copies: int = 3, least_hosts: int = 2) -> DataFrame:
     """What each document holds in place of content: ``doc_id``, ``reason``, ``copies``, ``hosts``; ``reason`` null means none.
 
     ``slot``: an unfilled template slot anywhere; ``filler``: filler text anywhere (phrases that ask for a text, runs of
-    filler words, the same words again and again); ``notice``: apart from tags, title and page furniture, the text is an
-    error, access or script notice. Wordings that the phrases don't know are found by combined evidence: a text that
-    shares no word with its title, has several words of notices, at least one in a hundred, and whose template (digits
-    levelled) answers under ``least_copies`` documents and ``least_hosts`` hosts is ``mismatch``. All of it holds for
-    whole texts of any length, which are read without invisible characters and in usual widths and blanks.
-
-    Defined cases: null or empty text has no reason; null title or host is allowed; repeated rows are judged each for
-    itself; an empty table gives no rows. ``docs`` needs ``doc_id``, ``text``, ``title`` and the host column.
+    filler words, the same words again and again); ``mismatch``: title, body, copies and hosts show a repeated answer of
+    little information (:func:`repeated_answers`, with the number of its copies, and 2 hosts for two or more); ``notice``:
+    the answer is too rare for that, but apart from tags, title and page furniture the text is an error, access or script
+    notice by its phrases. All of it holds for whole texts of any length, which are read without invisible characters and
+    in usual widths and blanks.
+
+    Defined cases: null or empty text has no reason; null title or host is allowed (a null host is no second one);
+    repeated rows are judged each for itself; an empty table gives no rows. ``docs`` needs ``doc_id``, ``text``, ``title``
+    and the host column.
     """
-    rows = docs.select("doc_id", "text", "title", F.col(host).alias("source"))
-    seen = materialise(rows.where("text <> ''").mapInPandas(_detect, _SCHEMA), "residue")
-    # Only low-information templates that share no word with their title can be mismatches: a small part of all rows.
-    odd = seen.where("not slot and not filler and weak >= 2 and not repeats_title and template is not null and notice < 3 * other")
-    groups = odd.groupBy("template").agg(F.count("*").alias("copies"), F.count_distinct("source").alias("hosts"))
-    out = seen.join(small_or_plain(materialise(groups, "residue-templates")), "template", "left")
-    reason = (
-        F.when(F.col("slot"), "slot")
-        .when(F.col("filler"), "filler")
-        .when((F.col("notice") > 0) & (F.col("notice") >= 3 * F.col("other")), "notice")
-        .when((F.col("weak") >= 2) & ~F.col("repeats_title") & (F.col("copies") >= least_copies) & (F.col("hosts") >= least_hosts), "mismatch")
-    )
+    rows = docs.select("doc_id", "text", "title", F.col(host).alias("host"))
+    some = rows.where("text <> ''").withColumn("key", F.xxhash64("text", "title", "host"))
+    held = materialise(segments(some.withColumn("row", F.monotonically_increasing_id())), "residue-segments")
+    seen = materialise(some.select("doc_id", "key", "text", "title").mapInPandas(_detect, _SCHEMA).distinct(), "residue-detected")
+    again = materialise(repeated_answers(held, least_copies, least_hosts), "residue-answers")
+    d = small_or_plain(seen.withColumnsRenamed({"doc_id": "_doc", "key": "_key"}))
+    out = held.select("row", "doc_id", "key").join(d, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left").join(small_or_plain(again), "row", "left")
+    reason = F.when(F.col("slot"), "slot").when(F.col("filler"), "filler").when(F.col("copies").isNotNull(), "mismatch").when(F.col("notice"), "notice")
     out = out.select("doc_id", reason.alias("reason"), "copies", "hosts")
     empty = rows.where("text is null or text = ''").select("doc_id", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("bigint").alias("copies"), F.lit(None).cast("bigint").alias("hosts"))
     return out.unionByName(empty)

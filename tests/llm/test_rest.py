@@ -150,3 +150,26 @@ def test_splits(spark, make_lines):
         n[by[groups[x["doc_id"]]]] += 1
     assert len(out) == 122 and abs(n["train"] / 902 - 0.8) < 0.05 and abs(n["val"] / 902 - 0.1) < 0.04
     assert sp.assign_splits(make_lines([]), sp.doc_groups(make_lines([]), w.limit(0))).count() == 0
+
+
+def test_repeated_answers_need_no_phrases(spark, monkeypatch):
+    monkeypatch.setattr(rs, "_NOTICE", __import__("re").compile("(?!)"))
+    monkeypatch.setattr(rs, "_FILLER", __import__("re").compile("(?!)"))
+    rng = random.Random(5)
+    vocab = [a + b + c for a in "bdfglm" for b in ("ar", "el", "in", "os") for c in ("a", "um", "it")]
+    real = lambda n: " ".join(rng.choice(vocab) for _ in range(n)).capitalize() + "."
+    docs = []
+    for k in range(6):  # unseen languages, numbers and paths differ, titles and hosts differ
+        docs += [(100 + k, f"Sidan {k} kunde inte hittas.", f"Titel {vocab[k]}", f"h{k % 2}"), (200 + k, f"<h1>Страница /w/{k} не найдена</h1>", f"Opus {vocab[k + 9]}", f"h{k % 3}")]
+    docs += [(300 + k, "Formula haec est. " + real(40), f"Opus {vocab[k]}", f"h{k % 2}") for k in range(9)]  # a formula before other words
+    long = real(300)
+    docs += [(400 + k, long, f"Opus {vocab[k]}", f"h{k % 2}") for k in range(4)]  # a long text in several places
+    docs += [(500 + k, "De iure belli sermo.", "De iure belli", f"h{k % 2}") for k in range(4)]  # the title says it
+    docs += [(600 + k, "Vide infra paginam.", f"Opus {vocab[k]}", "h0") for k in range(4)]  # one host
+    docs += [(700, "Sidan kunde inte.", "x", None), (None, real(5), None, None), (None, real(5), None, None), (701, "", "t", "h"), (702, None, None, None), (703, "Kyrie eleison " * 4 + real(30), "t", "h")]
+    docs += [(100, "Sidan 0 kunde inte hittas.", f"Titel {vocab[0]}", "h0")]  # the same row again
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, title string, source string").selectExpr("*", "1 as row", "'k' as key", "2 as copies", "'s' as segs", "'o' as host")
+    got = rs.residue(df).collect()
+    assert len(got) == len(docs)
+    assert {r["doc_id"] for r in got if r["reason"]} == {*range(100, 106), *range(200, 206)}
+    assert {r["copies"] for r in got if r["doc_id"] in range(100, 106)} == {7} and {r["hosts"] for r in got if r["reason"]} == {2}
