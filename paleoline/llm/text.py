@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata as U
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -101,42 +102,70 @@ def _mixes(token: str) -> bool:
     return False
 
 
-def mixed_tokens(s: str) -> list[tuple[str, str, bool]]:
-    """(token, token with look-alikes replaced, certain) of blank-separated tokens with letters of more than one script.
+#: The same letters the other way round, by script.
+_BACK = {k: {to: c for c, to in LOOKALIKES.items() if _script(c) == k} for k in ("GREEK", "CYRILLIC")}
+
+
+def _mixed(s: str) -> list[tuple[int, str, list[str], bool, bool]]:
+    """(place among the blank-separated tokens, token, forms in one script, first form is Latin, certain) of tokens in doubt.
 
-    A token is certain if it has a Latin letter and every other letter looks like a Latin one, or if a letter of any
-    other script, Armenian and Cherokee ones too, stands in one word with a Latin letter; a whole Greek word joined to a
-    Latin one by other signs is no case. A token with a letter that ``LOOKALIKES`` doesn't have is given back as it is. A
-    token only of Cyrillic look-alikes is a candidate too, as it may be a wholly replaced word; whole Greek words are none.
+    A token is in doubt if a letter of another script stands in one word with a Latin one, or if it has only Cyrillic
+    look-alikes, as it may be a wholly replaced word. The script of most of its letters is its own, Latin where as many are
+    Latin, and its forms are the token with all look-alikes in its own script, then in the other; letters without a
+    look-alike there leave a form out. A token with fewer Latin letters is certainly a Latin word only if all others are
+    look-alikes and no other word of the line is in their script; one without any Latin letter is in doubt only if the
+    line's other letters are mostly Latin. Whole Greek words are no case, nor ones joined to a Latin word by other signs.
     """
-    out = []
     if s.isascii():
-        return out
-    for t in s.split(" "):
-        if t.isascii():
-            continue
-        scripts = {}
-        for c in t:
-            if k := _script(c):
-                scripts.setdefault(k, set()).add(c)
-        strange = set().union(*(v for k, v in scripts.items() if k != "LATIN"), set())
+        return []
+    tokens = s.split(" ")
+    held = [{} if t.isascii() else Counter(k for k in map(_script, t) if k) for t in tokens]
+    if not any(k != "LATIN" for h in held for k in h):
+        return []
+    whole: Counter = Counter()
+    for t, h in zip(tokens, held):
+        if not h:
+            whole["LATIN"] += sum(map(str.isalpha, t))
+        elif len(h) == 1:
+            whole.update(h)
+        else:
+            whole["LATIN"] += h["LATIN"]
+    out = []
+    for k, (t, h) in enumerate(zip(tokens, held)):
+        strange = [x for x in h if x != "LATIN"]
         if not strange:
             continue
-        known = all(c in LOOKALIKES for c in strange)
-        if known and ("LATIN" in scripts or set(scripts) == {"CYRILLIC"}):
-            out.append((t, "".join(LOOKALIKES.get(c, c) for c in t), "LATIN" in scripts))
-        elif "LATIN" in scripts and _mixes(t):
-            out.append((t, t, True))
+        n_strange = sum(h[x] for x in strange)
+        one = strange[0] if len(strange) == 1 and strange[0] in _BACK else None
+        known = all(c in LOOKALIKES or _script(c) in ("", "LATIN") for c in t)
+        latin = "".join(LOOKALIKES.get(c, c) for c in t)
+        if not h["LATIN"]:
+            if known and one == "CYRILLIC" and whole["LATIN"] >= whole[one] - h[one]:
+                out.append((k, t, [latin], True, False))
+            continue
+        back = "".join(_BACK[one].get(c, c) if _script(c) == "LATIN" else c for c in t) if one else ""
+        back = back if one and not any(_script(c) == "LATIN" for c in back) else ""
+        first = h["LATIN"] >= n_strange
+        forms = [f for f in ((latin if known else "", back) if first else (back, latin if known else "")) if f]
+        if known or _mixes(t):
+            out.append((k, t, forms, bool(forms) and forms[0] == latin, first or known and not any(whole[x] for x in strange)))
     return out
 
 
+def mixed_tokens(s: str) -> list[tuple[str, str, bool]]:
+    """(token, token in the script it is most likely in, certain) of the tokens in doubt; as it is where a letter has no look-alike."""
+    return [(t, forms[0] if forms else t, certain) for _, t, forms, _, certain in _mixed(s)]
+
+
+def _put_back(s: str, at: dict[int, str]) -> str:
+    """``s`` with the blank-separated tokens at the given places replaced, and no other."""
+    return " ".join(at.get(k, t) for k, t in enumerate(s.split(" "))) if at else s
+
+
 def clean_now(s: str) -> str:
-    """Cleaned text for one row on its own: look-alikes are replaced in every token with a Latin letter, without the vocabulary."""
+    """Cleaned text for one row on its own: look-alikes are replaced in every token that is certainly a Latin word, without the vocabulary."""
     s, _ = clean_base(s)
-    for token, to, certain in mixed_tokens(s):
-        if certain:
-            s = s.replace(token, to)
-    return s
+    return _put_back(s, {k: forms[0] for k, _, forms, latin, certain in _mixed(s) if certain and latin})
 
 
 _LEVEL = str.maketrans({"v": "u", "j": "i", "æ": "ae", "œ": "oe", "ſ": "s"})
@@ -157,23 +186,27 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for s in b["text"]:
             base, flags = clean_base(s)
-            mixed = mixed_tokens(base)
-            rows.append((base, [f for f in FLAGS if f in flags], [{"token": t, "repaired": r, "word": _word(r) if r != t else "", "certain": c} for t, r, c in mixed]))
+            mixed = [{"at": k, "forms": forms, "words": [_word(f) for f in forms], "latin": latin, "certain": certain} for k, _, forms, latin, certain in _mixed(base)]
+            rows.append((base, [f for f in FLAGS if f in flags], mixed))
         yield pd.DataFrame({"id": b["id"], "field": b["field"], "clean": [r[0] for r in rows], "flags": [r[1] for r in rows], "mixed": [r[2] for r in rows]})
 
 
-_FIRST = "id string, field string, clean string, flags array<string>, mixed array<struct<token:string,repaired:string,word:string,certain:boolean>>"
+_FIRST = "id string, field string, clean string, flags array<string>, mixed array<struct<at:int,forms:array<string>,words:array<string>,latin:boolean,certain:boolean>>"
 
 
 def _put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = b[["id", "field", "clean", "flags"]].copy()
-        for k, (s, mixed, known) in enumerate(zip(b["clean"], b["mixed"], b["known"])):
+        for k, (s, flags, mixed, known) in enumerate(zip(b["clean"], b["flags"], b["mixed"], b["known"])):
             known = set(known) if known is not None else set()
+            at, flag = {}, False
             for m in mixed:
-                if m["word"] in known:
-                    s = s.replace(m["token"], m["repaired"])
-            out.iat[k, 2] = s
+                hit = next((j for j, w in enumerate(m["words"]) if w and w in known), None)
+                if hit is not None:
+                    at[m["at"]] = m["forms"][hit]
+                flag = flag or (m["certain"] if hit is None else m["latin"] == (hit == 0))
+            out.iat[k, 2] = _put_back(s, at)
+            out.iat[k, 3] = [*flags, "mixed"] if flag else list(flags)
         yield out
 
 
@@ -182,10 +215,11 @@ def normalise_text(lines: DataFrame, fields: tuple[str, ...] = ("source_sic", "t
 
     ``flags`` names what was found: ``invisible`` characters (dropped), ``blank`` other than the ordinary space (made one),
     ``form`` of width or presentation (usual letters), letter and accent ``apart`` (composed), and ``mixed``: a letter of
-    any other script within a Latin word. Look-alikes are put right only in mixed-script tokens, and only if the result is
-    a word of the corpus: one that stands in some current line without any letter of another script. A mixed token whose
-    repair isn't a word stays as it is but keeps its flag; a token only of Cyrillic look-alikes is repaired and flagged
-    only if the result is a word.
+    any other script within a Latin word. Look-alikes are put right only in tokens of mixed scripts, and only if the result
+    is a word of the corpus: one that stands in some current line in one script. The script of most of the token's letters
+    comes first, then the other. A token neither of whose forms is a word stays as it is, flagged if it is a Latin word by
+    :func:`_mixed`; one put right in Greek or Cyrillic has no flag. A token only of Cyrillic look-alikes in a Latin line is
+    repaired and flagged only if the result is a word.
 
     Defined cases: null text gives null and no flags, empty text stays empty; rows with null id are left out; of repeated
     ids the current row counts; texts of any length are treated whole. Plain text is recognised by the engine and never
@@ -196,7 +230,7 @@ def normalise_text(lines: DataFrame, fields: tuple[str, ...] = ("source_sic", "t
     long = materialise(reduce(DataFrame.unionByName, [cur.select("id", F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]), "text-current")
     plain = F.col("text").isNull() | F.col("text").rlike(PLAIN)
     first = materialise(long.where(~plain).mapInPandas(_first_pass, _FIRST), "text-first")
-    words = first.select(F.explode("mixed.word").alias("word")).where("word <> ''").distinct()
+    words = first.select(F.explode(F.flatten("mixed.words")).alias("word")).where("word <> ''").distinct()
     strip = F.regexp_replace(F.lower(F.col("w")), "[.,;:!?()\\[\\]\"'⦃⦄]+", "")
     found = long.select(F.explode(F.split("text", " ")).alias("w")).select(strip.alias("word")).join(small_or_plain(materialise(words, "text-words")), "word", "left_semi").distinct()
     found = materialise(found, "text-vocabulary")
@@ -204,11 +238,9 @@ def normalise_text(lines: DataFrame, fields: tuple[str, ...] = ("source_sic", "t
 
 
 def _with_vocabulary(plain: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
-    hits = first.where(F.size("mixed") > 0).select("id", "field", F.explode("mixed").alias("m")).join(small_or_plain(found), F.col("m.word") == F.col("word"), "left")
-    hits = hits.groupBy("id", "field").agg(F.collect_set("word").alias("known"), F.bool_or(F.col("m.certain") | F.col("word").isNotNull()).alias("is_mixed"))
-    some = first.where(F.size("mixed") > 0).join(hits, ["id", "field"])
-    some = some.withColumn("flags", F.when(F.col("is_mixed"), F.concat("flags", F.array(F.lit("mixed")))).otherwise(F.col("flags")))
-    some = some.select("id", "field", "clean", "flags", "mixed", "known").mapInPandas(_put, "id string, field string, clean string, flags array<string>")
+    odd = first.where(F.size("mixed") > 0)
+    hits = odd.select("id", "field", F.explode(F.flatten("mixed.words")).alias("word")).join(small_or_plain(found), "word").groupBy("id", "field").agg(F.collect_set("word").alias("known"))
+    some = odd.join(hits, ["id", "field"], "left").select("id", "field", "clean", "flags", "mixed", "known").mapInPandas(_put, "id string, field string, clean string, flags array<string>")
     rest = first.where(F.size("mixed") == 0).select("id", "field", "clean", "flags")
     none = plain.select("id", "field", F.col("text").alias("clean"), F.array().cast("array<string>").alias("flags"))
     return none.unionByName(rest).unionByName(some)

@@ -41,3 +41,21 @@ def test_normalise(spark, make_lines):
     assert got[("3", "source_sic")] == (None, []) and got[("3", "target_corr")] == ("", [])
     assert got[("5", "source_sic")] == ("x " * 5000, ["blank"]) and got[("6", "source_sic")] == ("a", [])
     assert len(got) == 12 and rows(tx.normalise_text(make_lines([]))) == []
+
+
+def test_dominant_script(spark, make_lines):
+    texts = ["а страна abc", "кoт", "кот и кот", "cоn reyno", "соn reyno", "con dе", "рeccаn", "de", "dе, dе dе", "verbum/λόγος", "λοgος"]
+    df = make_lines([{"id": f"{k:02d}", "source_sic": t} for k, t in enumerate(texts)])
+    got = {r["id"]: (r["clean"], r["flags"]) for r in tx.normalise_text(df).where("field = 'source_sic'").collect()}
+    want = ["а страна abc", "кот", "кот и кот", "con reyno", "con reyno", "con de", "рeccаn", "de", "dе, dе dе", "verbum/λόγος", "λοgος"]
+    want[8] = "de, de de"
+    assert [got[f"{k:02d}"][0] for k in range(len(texts))] == want
+    assert [k for k in range(len(texts)) if got[f"{k:02d}"][1]] == [3, 4, 5, 6, 8]
+
+
+@given(st.lists(st.sampled_from("de dе соn кoт а страна λόγος x".split()), max_size=8))
+def test_no_new_mixed_token(words):
+    s = " ".join(words)
+    mixed = lambda t: len({tx._script(c) for c in t} - {""}) > 1
+    before, after = s.split(" "), tx.clean_now(s).split(" ")
+    assert len(before) == len(after) and all(mixed(a) or not mixed(b) for a, b in zip(before, after))
