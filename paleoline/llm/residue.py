@@ -206,38 +206,44 @@ def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 COVERED, PURE, LETTERS_A_COPY = 0.75, 0.5, 20
 
 
-def _letters(c: Column) -> Column:
-    return F.char_length(F.regexp_replace(c, r"[^\p{L}]+", ""))
-
-
 def segments(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``host``, ``title``, ``own``, ``weak`` and ``segs`` of each text: distinct segments (hash ``h``, letters ``n``) without tags and title.
+    """``rows`` with ``host``, ``title`` and ``segs`` of each text: distinct segments (hash ``h``, letters ``n``) without tags and title.
 
     Segments end at sentence ends, line ends, wide blanks and bars. Case, invisible characters and kinds of blanks don't
-    count, and a token with a digit or a sign of code stands for any other, so answers that differ in a number, a path or a
-    name are one template. ``own`` tells whether the text has a longer word of its title, ``weak`` whether words of
-    notices are at least two and one in a hundred. All of it runs inside the engine.
+    count, and the part of a token from a digit or a sign of code on stands for any other, so answers that differ in a
+    number, a path or a name are one template. All of it runs inside the engine.
     """
-    bare = F.regexp_replace("text", r"(?is)<!--.*?-->|<(script|style)\b[^<>]*>.*?</\1\s*>|</?[a-z!][^<>]*>", "\n")
-    bare = F.regexp_replace(F.regexp_replace(F.lower(bare), r"\p{Cf}", ""), r"[\p{Zs}\t]", " ")
-    title = F.trim(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"\s+", " "))
-    out = rows.select("row", "doc_id", "key", "host", title.alias("title"), F.trim(bare, F.lit(" \n\r")).alias("t"))
-    out = out.withColumn("t", F.when((F.col("title") != "") & F.startswith("t", "title"), F.substr("t", F.char_length("title") + 1)).otherwise(F.col("t")))
-    words = F.regexp_extract_all("t", F.lit(r"(\p{L}+)"), F.lit(1))
-    theirs = F.filter(F.split("title", r"[^\p{L}]+"), lambda w: F.char_length(w) > 4)
-    level = F.regexp_replace("t", r"\S*(?:[0-9$/\\_'\"=@#]|:\S)\S*", "0")
-    parts = F.transform(F.split(level, r"(?:(?<=[.!?;:])\s+|\n+|\s{3,}|\s*[|·•]\s*)"), lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}0]+", " ")))
-    segs = F.transform(F.array_distinct(F.filter(parts, lambda x: x.rlike(r"\p{L}"))), lambda x: F.struct(F.xxhash64(x).alias("h"), _letters(x).alias("n")))
+    title, t = _parts_of(F.col("text"), F.col("title"))
+    out = rows.select("row", "doc_id", "key", "host", title.alias("title"), t.alias("t"))
+    level = F.regexp_replace("t", r"(?:[0-9$/\\_'\"=@#]|:(?=\S))\S*", "0")
+    parts = F.split(level, r"(?<=[.!?;:])[\s\p{Zs}]+|\n+|[\s\p{Zs}]{3,}|[|·•]")
+    plain = F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}0]+", " ")))
+    sized = F.transform(F.array_distinct(plain), lambda x: F.struct(F.xxhash64(x).alias("h"), F.char_length(F.translate(x, " 0", "")).alias("n")))
+    return out.select("row", "doc_id", "key", "host", F.xxhash64("title").alias("title"), F.filter(sized, lambda s: s["n"] > 0).alias("segs"))
+
+
+def _parts_of(text: Column, title: Column) -> tuple[Column, Column]:
+    """Title and text in lower case, the text without tags, invisible characters and the title before it."""
+    bare = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, r"(?is)<!--.*?-->|<(script|style)\b[^<>]*>.*?</\1\s*>|</?[a-z!][^<>]*>", "\n")).otherwise(text)
+    bare = F.trim(F.regexp_replace(F.lower(bare), r"\p{Cf}+", ""), F.lit(" \n\r"))
+    title = F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " "))
+    return title, F.when((title != "") & F.startswith(bare, title), F.substr(bare, F.char_length(title) + 1)).otherwise(bare)
+
+
+def _with_terms(rows: DataFrame) -> DataFrame:
+    """``doc_id``, ``key``, ``own``: whether the text has a longer word of its title, ``weak``: whether words of notices are at least two and one in a hundred."""
+    title, t = _parts_of(F.col("text"), F.col("title"))
+    theirs = F.filter(F.split(title, r"[^\p{L}]+"), lambda w: F.char_length(w) > 4)
+    out = rows.select("doc_id", "key", theirs.alias("theirs"), F.regexp_extract_all(t, F.lit(r"(\p{L}+)"), F.lit(1)).alias("w"))
     weak = F.filter("w", lambda x: x.isin(*sorted(WEAK)))
-    out = out.withColumn("w", words)
     signs = (F.size(F.array_distinct(weak)) >= 2) & (100 * F.size(weak) >= F.size("w"))
-    return out.select("row", "doc_id", "key", "host", F.xxhash64("title").alias("title"), F.arrays_overlap(theirs, "w").alias("own"), signs.alias("weak"), segs.alias("segs"))
+    return out.select("doc_id", "key", F.arrays_overlap("theirs", "w").alias("own"), signs.alias("weak")).distinct()
 
 
-def repeated_answers(docs: DataFrame, least_copies: int = 3, least_hosts: int = 2) -> DataFrame:
+def repeated_answers(docs: DataFrame, texts: DataFrame, least_copies: int = 3, least_hosts: int = 2) -> DataFrame:
     """Rows whose text is a repeated answer of little information in place of a content: ``row``, ``copies``, ``hosts``.
 
-    ``docs`` comes from :func:`segments`. A segment is repeated if at least ``least_copies`` texts have it,
+    ``docs`` comes from :func:`segments`, ``texts`` are the same rows with ``key``. A segment is repeated if at least ``least_copies`` texts have it,
     under ``least_hosts`` hosts and under different titles (or none): no title tells what it says. A text is covered if
     repeated segments are ``COVERED`` of its distinct letters. Formulas, headings and navigation are repeated too, but most
     of their texts have other words beside them; a segment is an answer only if at least ``PURE`` of its texts are covered.
@@ -256,13 +262,18 @@ def repeated_answers(docs: DataFrame, least_copies: int = 3, least_hosts: int =
     often = materialise(stat.where((F.col("copies") >= least_copies) & (hosts >= least_hosts) & differ).select("h", "copies", hosts.alias("hosts")), "residue-repeated")
     size = F.aggregate("segs", F.lit(0), lambda a, s: a + s["n"])
     held = each.join(small_or_plain(often.select("h")), "h").groupBy("row").agg(F.sum("n").alias("held"))
-    total = docs.select("row", size.alias("letters"), "own", "weak", "segs")
+    total = docs.select("row", "doc_id", "key", size.alias("letters"), "segs")
     covered = materialise(total.join(held, "row").where(F.col("held") >= COVERED * F.col("letters")), "residue-covered")
     own = covered.select("row", F.explode("segs.h").alias("h"))
     pure = own.groupBy("h").agg(F.count("*").alias("k")).join(often, "h").where(F.col("k") >= PURE * F.col("copies")).select("h", "copies", "hosts")
-    best = own.join(small_or_plain(materialise(pure, "residue-answers")), "h").groupBy("row").agg(F.max("copies").alias("copies"), F.max("hosts").alias("hosts"))
+    best = own.join(small_or_plain(materialise(pure, "residue-pure")), "h").groupBy("row").agg(F.max("copies").alias("copies"), F.max("hosts").alias("hosts"))
+    best = materialise(covered.select("row", "doc_id", "key", "letters").join(best, "row"), "residue-best")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
+    few = small_or_plain(best.select("doc_id", "key").distinct())
+    terms = materialise(_with_terms(texts.join(few, same(texts, few), "left_semi")), "residue-terms")
     enough = F.when(F.col("weak"), F.lit(float(least_copies))).otherwise(F.greatest(F.lit(float(least_copies)), F.col("letters") / LETTERS_A_COPY))
-    return covered.join(best, "row").where(~F.coalesce("own", F.lit(False)) & (F.col("copies") >= enough)).select("row", F.col("copies").cast("bigint").alias("copies"), F.col("hosts").cast("bigint").alias("hosts"))
+    out = best.join(terms, same(best, terms), "left").where(~F.coalesce("own", F.lit(False)) & (F.col("copies") >= enough))
+    return out.select("row", F.col("copies").cast("bigint").alias("copies"), F.col("hosts").cast("bigint").alias("hosts"))
 
 
 def residue(docs: DataFrame, host: str = "source", least_copies: int = 3, least_hosts: int = 2) -> DataFrame:
@@ -283,7 +294,7 @@ def residue(docs: DataFrame, host: str = "source", least_copies: int = 3, least_
     some = rows.where("text <> ''").withColumn("key", F.xxhash64("text", "title", "host"))
     held = materialise(segments(some.withColumn("row", F.monotonically_increasing_id())), "residue-segments")
     seen = materialise(some.select("doc_id", "key", "text", "title").mapInPandas(_detect, _SCHEMA).distinct(), "residue-detected")
-    again = materialise(repeated_answers(held, least_copies, least_hosts), "residue-answers")
+    again = materialise(repeated_answers(held, some, least_copies, least_hosts), "residue-answers")
     d = small_or_plain(seen.withColumnsRenamed({"doc_id": "_doc", "key": "_key"}))
     out = held.select("row", "doc_id", "key").join(d, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left").join(small_or_plain(again), "row", "left")
     reason = F.when(F.col("slot"), "slot").when(F.col("filler"), "filler").when(F.col("copies").isNotNull(), "mismatch").when(F.col("notice"), "notice")
