@@ -35,20 +35,24 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_pairs(spark, d))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return splits.doc_groups(_t(spark, d, "lines"), _t(spark, d, "works")).where("group_doc <> doc_id").select("group_doc", "doc_id")
-
-
 def _splits(spark: SparkSession, d: str) -> DataFrame:
     lines = _t(spark, d, "lines")
     groups = materialise(splits.doc_groups(lines, _t(spark, d, "works")), "groups")
     return splits.assign_splits(lines, groups)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _splits(spark, d).where("group_doc <> doc_id").select("group_doc", "doc_id")
+
+
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return _splits(spark, d)
 
 
+def p4_balance(spark: SparkSession, d: str) -> DataFrame:
+    return splits.balance(_t(spark, d, "lines"), materialise(_splits(spark, d), "splits"))
+
+
 def _clean(spark: SparkSession, d: str) -> DataFrame:
     return normalise_text(_t(spark, d, "lines"))
 
@@ -103,7 +107,7 @@ def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_report, p4_found, p4_splits, p5_found, p5_clean, p6_found, p6_pieces, p8_found, p8_fill, p9_found, p9_spans, p9_items, p10_found, p10_reasons)}
+    return {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_report, p4_found, p4_splits, p4_balance, p5_found, p5_clean, p6_found, p6_pieces, p8_found, p8_fill, p9_found, p9_spans, p9_items, p10_found, p10_reasons)}
 
 
 _CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file_pos DESC) rn FROM lines WHERE id IS NOT NULL) WHERE rn = 1)"

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paleoline.llm.language import label_set
 from paleoline.operators.components import components
-from paleoline.session import current, materialise
+from paleoline.session import current, materialise, small_or_plain
 
 SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
 BLOCK_COMPONENTS, CHAINS, STEPS = 4096, 4, 6000
-LABELS = 15
+#: A label of at least this share of all lines is balanced for itself; rarer ones, and lines without any, together.
+LEAST_LABEL = 0.01
 
 
 def entity_links(lines: DataFrame, works: DataFrame) -> DataFrame:
@@ -36,8 +36,11 @@ def doc_groups(lines: DataFrame, works: DataFrame) -> DataFrame:
     return components(entity_links(lines, works)).select("doc_id", F.col("group").alias("group_doc"))
 
 
-def _anneal(size: np.ndarray, labels: np.ndarray, start: np.ndarray, goal_size: np.ndarray, goal_labels: np.ndarray, seed: int, steps: int) -> tuple[np.ndarray, float]:
-    """One chain: moves and swaps of whole components that reduce the deviation of sizes and labels; the best state seen."""
+def _anneal(size: np.ndarray, labels: np.ndarray, start: np.ndarray, goal_size: np.ndarray, goal_labels: np.ndarray, seed: int, steps: int, excess: bool = False) -> tuple[np.ndarray, float]:
+    """One chain: moves and swaps of whole components that reduce the deviation of sizes and labels; the best state seen.
+
+    With ``excess`` only what lies above the goals counts, for components that others will be added to.
+    """
     rng = np.random.default_rng(seed)
     k, n = len(goal_size), len(size)
     at = start.copy()
@@ -45,8 +48,10 @@ def _anneal(size: np.ndarray, labels: np.ndarray, start: np.ndarray, goal_size:
     held = np.stack([np.bincount(at, weights=labels[:, j], minlength=k) for j in range(labels.shape[1])], 1)
     total = max(1.0, float(size.sum()))
 
+    far = (lambda x: np.maximum(x, 0)) if excess else np.abs
+
     def cost(h: np.ndarray, lab: np.ndarray) -> float:
-        return float((np.abs(h - goal_size) / np.maximum(goal_size, 1e-9)).sum() + 0.2 * np.abs(lab - goal_labels).sum() / total)
+        return float((far(h - goal_size) / np.maximum(goal_size, 1e-9)).sum() + 0.2 * far(lab - goal_labels).sum() / total)
 
     now = best = cost(have, held)
     best_at = at.copy()
@@ -79,12 +84,13 @@ def _anneal(size: np.ndarray, labels: np.ndarray, start: np.ndarray, goal_size:
 def assign_splits(lines: DataFrame, groups: DataFrame, shares: dict[str, float] | None = None, label: Column | None = None, block: int = BLOCK_COMPONENTS, chains: int = CHAINS, steps: int = STEPS, seed: int = 0) -> DataFrame:
     """``doc_id``, ``group_doc``, ``split``: all documents of a group in one split, current lines in the given shares.
 
-    Groups larger than a tenth of the smallest share, of which there are at most a few dozen whatever the data's size,
-    are placed first, largest first, where most room is left. All others start from a hash of the group and are hashed
-    into blocks of about ``block`` groups. Each block is annealed by ``chains`` independent chains in parallel tasks,
-    which move and exchange whole groups so that sizes and the counts of ``label`` (default: the line's first language)
-    come near the shares, aiming at what the large groups leave; the best chain of each block is kept. The ``LABELS``
-    most frequent labels are balanced each for itself, all others and null together as one, so every line counts.
+    Every group starts from a hash and is moved and exchanged as a whole by ``chains`` independent chains of annealing in
+    parallel tasks, so that sizes and the counts of ``label`` (default: the first of the line's languages by
+    ``label_set``) come near the shares; the best chain is kept. Groups larger than a tenth of the smallest share, of
+    which there are at most a few dozen whatever the data's size, are searched first, together, and only what exceeds a
+    split's share counts against them. All others are hashed into blocks of about ``block`` groups, each searched for
+    itself, with the sizes and labels that the large ones leave as its goal. Labels of at least ``LEAST_LABEL`` of all
+    lines are balanced each for itself, all others and null together as one, so every line counts.
 
     Defined cases: documents without lines have size 0 and still get a split; lines of documents that aren't in
     ``groups`` are ignored; an empty table gives no rows; shares are scaled to a sum of 1.
@@ -93,40 +99,58 @@ def assign_splits(lines: DataFrame, groups: DataFrame, shares: dict[str, float]
     names = list(shares)
     want = np.array([shares[n] for n in names], float)
     want /= want.sum()
-    label = F.lower(F.substring(F.coalesce(F.get("lang", F.lit(0)), F.lit("")), 1, 2)) if label is None else label
+    label = F.get(label_set(F.col("lang")), F.lit(0)) if label is None else label
     counts = current(lines, "doc_id", label.alias("label")).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
     sized = groups.join(counts, "doc_id", "left").groupBy("group_doc", "label").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     sized = materialise(sized, "split-sizes")
-    labels = [r["label"] for r in sized.where("label is not null").groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()]
     total = sized.agg(F.sum("n")).first()[0] or 0
-    per = materialise(sized.groupBy("group_doc").agg(F.sum("n").alias("size"), *[F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(f"l{j}") for j, x in enumerate(labels)], F.sum(F.when(F.col("label").isin(labels), 0).otherwise(F.col("n"))).alias(f"l{len(labels)}")), "split-groups")
-
+    # At most 1 / LEAST_LABEL rows.
+    labels = sorted(r["label"] for r in sized.where("label is not null").groupBy("label").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_LABEL * total).collect())
+    per = sized.groupBy("group_doc").agg(F.sum("n").alias("size"), *[F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(f"l{j}") for j, x in enumerate(labels)], F.sum(F.when(F.col("label").isin(labels), 0).otherwise(F.col("n"))).alias(f"l{len(labels)}"))
     bound = max(1.0, 0.1 * float(want.min()) * total)
-    room = want * total
-    placed = []
-    for r in per.where(F.col("size") >= bound).orderBy(F.desc("size"), "group_doc").collect() if total else []:  # at most total / bound rows
-        k = int(np.argmax(room))
-        room[k] -= r["size"]
-        placed.append((r["group_doc"], names[k]))
-    aim = np.maximum(room, 0)
-    aim = aim / aim.sum() if aim.sum() else want
-    small = per.where(F.col("size") < bound) if total else per
-    n_blocks = max(1, -(-small.count() // block))
+    per = materialise(per.withColumn("large", F.col("size") >= bound), "split-groups")
     cols = [f"l{j}" for j in range(len(labels) + 1)]
-    cut = np.cumsum(aim)
-
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("group_doc", kind="stable")
-        size, lab = b["size"].to_numpy(float), b[cols].to_numpy(float)
-        spot = pd.util.hash_array(b["group_doc"].to_numpy(object)) / 2.0**64
-        start = np.minimum(np.searchsorted(cut, spot, "right"), len(names) - 1)
-        at, cost = _anneal(size, lab, start, aim * size.sum(), np.outer(aim, lab.sum(0)), seed * 7919 + int(key[0]) * 31 + int(key[1]), steps)
-        return pd.DataFrame({"group_doc": b["group_doc"], "block": key[0], "chain": key[1], "split": [names[x] for x in at], "cost": cost})
-
-    tasks = small.withColumn("block", F.pmod(F.xxhash64("group_doc"), F.lit(n_blocks)).cast("int")).withColumn("chain", F.explode(F.array(*[F.lit(c) for c in range(chains)])))
-    found = materialise(tasks.groupBy("block", "chain").applyInPandas(run, "group_doc string, block int, chain int, split string, cost double"), "split-chains")
-    best = found.groupBy("block").agg(F.min_by("chain", F.struct("cost", "chain")).alias("chain"))
-    out = found.join(F.broadcast(best) if n_blocks <= 100_000 else best, ["block", "chain"], "left_semi").select("group_doc", "split")
-    if placed:
-        out = out.unionByName(groups.sparkSession.createDataFrame(placed, "group_doc string, split string"))
+    all_labels = np.array([x or 0 for x in per.agg(*[F.sum(c) for c in cols]).first()], float)
+    goals = np.outer(want, np.concatenate([[total], all_labels]))
+
+    def search(rows: DataFrame, goals: np.ndarray, name: str, excess: bool) -> DataFrame:
+        """The best chain of each block: ``group_doc``, ``split``. ``goals`` are sizes and labels by split."""
+        share = goals[:, 0] / goals[:, 0].sum() if goals[:, 0].sum() else want
+        cut = np.cumsum(share)
+        whole = np.maximum(goals[:, 1:].sum(0), 1e-9)
+
+        def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+            b = b.sort_values("group_doc", kind="stable")
+            size, lab = b["size"].to_numpy(float), b[cols].to_numpy(float)
+            spot = pd.util.hash_array(b["group_doc"].to_numpy(object)) / 2.0**64
+            start = np.minimum(np.searchsorted(cut, spot, "right"), len(names) - 1)
+            goal_size, goal_lab = (goals[:, 0], goals[:, 1:]) if excess else (share * size.sum(), goals[:, 1:] / whole * lab.sum(0))
+            at, cost = _anneal(size, lab, start, goal_size, goal_lab, seed * 7919 + int(key[0]) * 31 + int(key[1]), steps, excess)
+            return pd.DataFrame({"group_doc": b["group_doc"], "block": key[0], "chain": key[1], "split": [names[x] for x in at], "cost": cost})
+
+        tasks = rows.withColumn("chain", F.explode(F.array(*[F.lit(c) for c in range(chains)])))
+        found = materialise(tasks.groupBy("block", "chain").applyInPandas(run, "group_doc string, block int, chain int, split string, cost double"), name)
+        best = found.groupBy("block").agg(F.min_by("chain", F.struct("cost", "chain")).alias("chain"))
+        return found.join(small_or_plain(best), ["block", "chain"], "left_semi").select("group_doc", "split")
+
+    large = search(per.where("large").withColumn("block", F.lit(0)), goals, "split-large", True)
+    held = np.zeros_like(goals)
+    sums = large.join(per, "group_doc").groupBy("split").agg(F.sum("size").alias("size"), *[F.sum(c).alias(c) for c in cols])
+    for r in sums.collect():
+        held[names.index(r["split"])] = [r["size"], *[r[c] for c in cols]]
+    n_blocks = max(1, -(-per.where("not large").count() // block))
+    small = per.where("not large").withColumn("block", F.pmod(F.xxhash64("group_doc"), F.lit(n_blocks)).cast("int"))
+    out = large.unionByName(search(small, np.maximum(goals - held, 0), "split-chains", False))
     return groups.join(out, "group_doc").select("doc_id", "group_doc", "split")
+
+
+def balance(lines: DataFrame, splits: DataFrame, shares: dict[str, float] | None = None, most: float = 0.02) -> DataFrame:
+    """One row that checks :func:`assign_splits`: ``documents``, ``groups``, ``divided`` groups, and whether every share is ``near``: off by ``most`` at most, or by what the largest group exceeds the smallest share."""
+    shares = shares or SHARES
+    held = splits.join(current(lines, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    per = held.groupBy("group_doc").agg(F.count("*").alias("docs"), F.count_distinct("split").alias("k"), F.sum("n").alias("n"), *[F.sum(F.when(F.col("split") == x, F.col("n")).otherwise(0)).alias(f"n_{x}") for x in shares])
+    total = F.greatest(F.sum("n"), F.lit(1))
+    off = F.greatest(*[F.abs(F.sum(f"n_{x}") / total - w / sum(shares.values())) for x, w in shares.items()])
+    # A group larger than a share can't leave it near.
+    free = F.greatest(F.lit(most), F.max("n") / total - min(shares.values()) / sum(shares.values()))
+    return per.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("documents"), F.count("*").alias("groups"), F.count_if(F.col("k") > 1).alias("divided"), (off <= free).alias("near"))
