@@ -3,8 +3,9 @@
 A line's levelled letters x and y are a pair if their edit distance is at most t = max(|x|, |y|) // 10. Of m disjoint
 shingles of the evaluation line, t edits spoil at most t, so at least m - t stand unchanged in the training line, in
 order, moved by no more than the edits before and after them. Short lines take their t + 2 rarest disjoint shingles of six
-letters as prefix, of which two must stand, and the index holds every two of them; long ones take all adjacent shingles
-of seven, of which then many must match. Training lines probe that index with every shingle, or two shingles, they have.
+letters as prefix, of which two must stand, and the index holds every two of them; long ones take the rarest of their
+adjacent shingles of seven, half as many beyond t as there are, which then must match. Training lines probe that index
+with every shingle, or two shingles, they have, sieved first by what the index holds.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from paleoline.session import current, materialise, small_or_plain
 LEAST, SHORT, Q_SHORT, Q_LONG = 50, 128, 6, 7
 #: Partners of short lines have at most, and of long ones at least, so many letters.
 MOST_SHORT, LEAST_LONG = (SHORT - 1) * 10 // 9, SHORT * 9 // 10
-COUNT_BITS, FILTER_BITS, SLICES = 20, 27, 64
+COUNT_BITS, SLICES = 20, 64
+#: A filter has at least so many bits a key, up to ``MOST_BITS``, which bounds what is broadcast (32 MB each); with fewer than ``LEAST_BITS_A_KEY`` left it is no use and the probes are sieved by a shuffle join instead.
+BITS_A_KEY, MOST_BITS, LEAST_BITS_A_KEY, SLICE_BITS = 32, 1 << 28, 4, 1 << 18
 
 #: Letter counts at which a bit of the signature is set, per letter; an edit changes at most two counts by one, so it flips at most two bits.
 #: 64 bits, around the usual counts in a line of about sixty letters, where they tell most.
@@ -76,29 +79,20 @@ def _key(code: np.ndarray, cls: np.ndarray, head: np.ndarray, tail: np.ndarray)
 
 
 def _count_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros(1 << COUNT_BITS, np.uint32)
+    """Counts of the shingles of short lines (upper half) and of long ones, by the upper bits of their code."""
+    counts = np.zeros((2, 1 << COUNT_BITS), np.uint32)
     for b in batches:
-        f = _Flat([t for t in b["t"] if len(t) <= MOST_SHORT], Q_SHORT)
-        counts += np.bincount((f.code >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS).astype(np.uint32)
-    yield pd.DataFrame({"slice": range(SLICES), "counts": [x.tobytes() for x in np.split(counts, SLICES)]})
+        for half, (q, texts) in enumerate(((Q_SHORT, [t for t in b["t"] if len(t) <= MOST_SHORT]), (Q_LONG, [t for t in b["t"] if len(t) >= LEAST_LONG]))):
+            counts[half] += np.bincount(_bucket(_Flat(texts, q).code), minlength=1 << COUNT_BITS).astype(np.uint32)
+    yield pd.DataFrame({"slice": range(SLICES), "counts": [x.tobytes() for x in np.split(counts.ravel(), SLICES)]})
 
 
-def _filter_bits(key: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Word and bit of the two filter bits of each key, from its upper and its lower part."""
-    u = key.view(np.uint64)
-    parts = (u >> np.uint64(64 - FILTER_BITS), u & np.uint64((1 << FILTER_BITS) - 1))
-    return [((x >> np.uint64(6)).astype(np.int64), x & np.uint64(63)) for x in parts]
-
-
-def _or_slices(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros((1 << (FILTER_BITS - 6)) // SLICES, np.uint64)
-    for x in b["bits"]:
-        total |= np.frombuffer(x, np.uint64)
-    return pd.DataFrame({"slice": [key[0]], "bits": [total.tobytes()]})
+def _bucket(code: np.ndarray) -> np.ndarray:
+    return (code >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
 def _add_slices(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros((1 << COUNT_BITS) // SLICES, np.uint64)
+    total = np.zeros((2 << COUNT_BITS) // SLICES, np.uint64)
     for x in b["counts"]:
         total += np.frombuffer(x, np.uint32)
     return pd.DataFrame({"slice": [key[0]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
@@ -136,12 +130,24 @@ def short_prefix(texts: list[str], counts: np.ndarray) -> list[np.ndarray]:
         width = int(f.n[rows].max()) - Q_SHORT + 1
         ok = np.arange(width) < (f.n[rows] - Q_SHORT + 1)[:, None]
         at = np.where(ok, first[rows][:, None] + np.arange(width), 0)
-        cost = np.where(ok, counts[(f.code[at] >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] + 1.0, np.inf)
+        cost = np.where(ok, counts[_bucket(f.code[at])] + 1.0, np.inf)
         for r, m in zip(rows, _rarest_disjoint(cost, most_edits(f.n[rows]) + 2, Q_SHORT)):
             out[r] = np.flatnonzero(m)
     return out
 
 
+def long_prefix(f: _Flat, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles of long evaluation lines are indexed, and how many of each: of m adjacent ones the rarest, half as many beyond t as there are."""
+    at = np.flatnonzero(f.place % Q_LONG == 0)
+    order = np.lexsort((f.place[at], counts[_bucket(f.code[at])], f.owner[at]))
+    at = at[order]
+    first = np.searchsorted(f.owner[at], np.arange(len(f.n)))
+    most = most_edits(f.n)
+    size = most + (f.n // Q_LONG - most + 1) // 2
+    rank = np.arange(len(at)) - first[f.owner[at]]
+    return at[rank < size[f.owner[at]]], size
+
+
 def _pack(n: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Length and place in one number of few bytes, so the rows that are shuffled stay narrow; negative for texts of 65,536 letters or more."""
     return np.where(n < 1 << 16, (n << 16) | place, -((n << 31) | place))
@@ -225,36 +231,49 @@ def _long_rows(f: _Flat, k: np.ndarray, key: np.ndarray, num: np.ndarray, name:
     return pd.DataFrame({"key": key, name: num[o], f"p_{name}": _pack(f.n[o], f.place[k])})
 
 
-class _Bloom:
-    """A fixed Bloom filter, built in slices by the engine."""
+class _Sieve:
+    """A filter of keys, sized by their number and built by the engine, each task its own range of keys.
 
-    def __init__(self, keys: DataFrame | None, make, spark) -> None:  # noqa: ANN001
-        bits = np.zeros((SLICES, (1 << (FILTER_BITS - 6)) // SLICES), np.uint64)
-        for r in keys.mapInPandas(make, "slice int, bits binary").groupBy("slice").applyInPandas(_or_slices, "slice int, bits binary").collect():
-            bits[r["slice"]] = np.frombuffer(r["bits"], np.uint64)
-        self.sent = spark.sparkContext.broadcast(bits.ravel())
+    A key's word is its upper bits, and three bits in it are set; the filter only saves rows that can't match. ``sharp``
+    tells whether it has enough bits for its keys.
+    """
 
-    def __reduce__(self):  # noqa: ANN204
-        return _bloom, (self.sent,)
+    def __init__(self, keys: DataFrame) -> None:
+        spark = keys.sparkSession
+        n = keys.count()
+        bits = min(MOST_BITS, 1 << max(10, int(BITS_A_KEY * n - 1).bit_length() if n else 0))
+        self.sharp = bits >= LEAST_BITS_A_KEY * n
+        self.word_bits = bits.bit_length() - 7
+        if not self.sharp:
+            return
+        per_slice = min(SLICE_BITS, bits) // 64
+        shift = 64 - self.word_bits + per_slice.bit_length() - 1
+
+        def own(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+            out = np.zeros(per_slice, np.uint64)
+            word, mask = self.place(b["key"].to_numpy(np.int64))
+            np.bitwise_or.at(out, word % per_slice, mask)
+            return pd.DataFrame({"slice": [key[0]], "bits": [out.tobytes()]})
+
+        word = np.zeros((bits // 64 // per_slice, per_slice), np.uint64)
+        held = keys.withColumn("slice", F.shiftrightunsigned("key", shift).cast("int") if shift < 64 else F.lit(0))
+        for r in held.groupBy("slice").applyInPandas(own, "slice int, bits binary").collect():
+            word[r["slice"]] = np.frombuffer(r["bits"], np.uint64)
+        self.sent = spark.sparkContext.broadcast(word.ravel())
+
+    def place(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = key.view(np.uint64)
+        mask = np.zeros(len(u), np.uint64)
+        for k in (0, 6, 12):
+            mask |= np.uint64(1) << ((u >> np.uint64(k)) & np.uint64(63))
+        return (u >> np.uint64(64 - self.word_bits)).astype(np.int64), mask
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
-        bits = self.sent.value
-        (w1, b1), (w2, b2) = _filter_bits(key)
-        return np.flatnonzero((bits[w1] >> b1) & (bits[w2] >> b2) & np.uint64(1))
-
-
-def _bloom(sent) -> _Bloom:  # noqa: ANN001
-    out = _Bloom.__new__(_Bloom)
-    out.sent = sent
-    return out
-
-
-def _bit_slices(keys: Iterator[np.ndarray]) -> pd.DataFrame:
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for key in keys:
-        for word, bit in _filter_bits(key):
-            np.bitwise_or.at(bits, word, np.uint64(1) << bit)
-    return pd.DataFrame({"slice": range(SLICES), "bits": [x.tobytes() for x in np.split(bits, SLICES)]})
+        """Numbers of the keys that may be held; all of them if the filter isn't sharp."""
+        if not self.sharp:
+            return np.arange(len(key))
+        word, mask = self.place(key)
+        return np.flatnonzero((self.sent.value[word] & mask) == mask)
 
 
 def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -263,17 +282,10 @@ def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame
             yield b.iloc[lo : lo + size]
 
 
-def _set_near_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def keys() -> Iterator[np.ndarray]:
-        for b in _blocks(batches, 2000):
-            f, at, _ = _chosen(b)
-            yield _near_keys(f.code[at], f.n[f.owner[at]], f.place[at])[1]
-
-    yield _bit_slices(keys())
-
-
-def _set_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    yield _bit_slices(b["key"].to_numpy(np.int64) for b in batches)
+def _all_near_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in _blocks(batches, 2000):
+        f, at, _ = _chosen(b)
+        yield pd.DataFrame({"key": np.unique(_near_keys(f.code[at], f.n[f.owner[at]], f.place[at])[1])})
 
 
 def _index_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,14 +294,6 @@ def _index_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _short_rows(f, at, b["num"].to_numpy(), "ev")
 
 
-def _index_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in _blocks(batches, 500):
-        f = _Flat(b["t"].tolist(), Q_LONG)
-        at = np.flatnonzero(f.place % Q_LONG == 0)
-        k, key = _near_keys(f.code[at], f.n[f.owner[at]], f.place[at])
-        yield _long_rows(f, at[k], key, b["num"].to_numpy(), "ev")
-
-
 def levelled_lines(lines: DataFrame, works: DataFrame) -> DataFrame:
     """Current lines of works with a split and at least 50 levelled letters: ``id``, ``split``, ``source_id``, ``cid``, ``t``."""
     split = works.where("doc_id is not null and split in ('train', 'val', 'test')").groupBy("doc_id").agg(F.min("split").alias("split"), F.min("source_id").alias("source_id"))
@@ -315,9 +319,12 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
 
     Equal texts are one class each; classes are joined and verified, and only pairs of classes unfold into their lines at
     the end, so copies cost one join row. Short lines meet on two shingles, long ones on a shingle, length class and rough
-    place from both ends; places, lengths and a signature of letter counts filter within the join. Tables of fixed size are
-    sent to the executors: shingle counts (4 MB) and three Bloom filters (16 MB each) of what evaluation lines hold, which
-    only save rows that can't match.
+    place from both ends; places, lengths and a signature of letter counts filter within the join.
+
+    What evaluation lines hold sieves the probes before they are shuffled: two shingles are formed only of shingles that
+    some evaluation line may have chosen near that place. Up to ``MOST_BITS`` that is done by filters sized by the number
+    of keys (and 8 MB of shingle counts); beyond, all shingles of training lines meet the keys of the index in a
+    shuffle join first, one row a shingle whatever the data's size, and only those that are left form pairs.
 
     Defined cases: null or short texts, null ids and documents without a split are in no pair; of repeated ids the
     current row counts; texts of any length are compared whole; empty tables give no rows.
@@ -331,26 +338,44 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
     classes = classes.withColumn("num", F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) * parts + F.col("pid")).drop("row", "pid")
 
     slices = classes.where("tr = 1").select("t").mapInPandas(_count_shingles, "slice int, counts binary").groupBy("slice").applyInPandas(_add_slices, "slice int, counts binary").collect()
-    counts = np.zeros((SLICES, (1 << COUNT_BITS) // SLICES), np.uint32)
+    counts = np.zeros((SLICES, (2 << COUNT_BITS) // SLICES), np.uint32)
     for r in slices:
         counts[r["slice"]] = np.frombuffer(r["counts"], np.uint32)
-    sent = spark.sparkContext.broadcast(counts.ravel())
+    sent = spark.sparkContext.broadcast(counts.reshape(2, -1))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _blocks(batches, 4096):
-            yield pd.DataFrame({"num": b["num"], "t": b["t"], "places": short_prefix(b["t"].tolist(), sent.value)})
+            yield pd.DataFrame({"num": b["num"], "t": b["t"], "places": short_prefix(b["t"].tolist(), sent.value[0])})
+
+    def index_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _blocks(batches, 500):
+            f = _Flat(b["t"].tolist(), Q_LONG)
+            at, size = long_prefix(f, sent.value[1])
+            k, key = _near_keys(f.code[at], f.n[f.owner[at]], f.place[at])
+            yield _long_rows(f, at[k], key, b["num"].to_numpy(), "ev").assign(size=size[f.owner[at[k]]])
 
     ev, tr = classes.where("ev = 1").select("num", "t"), classes.where("tr = 1").select("num", "t")
     chosen = materialise(ev.where(F.length("t") < SHORT).mapInPandas(choose, "num bigint, t string, places array<int>"), "overlap-prefixes")
     two = materialise(chosen.mapInPandas(_index_short, "key bigint, ev bigint, p_ev bigint, s_ev bigint"), "overlap-index")
-    one = materialise(ev.where(F.length("t") >= SHORT).mapInPandas(_index_long, "key bigint, ev bigint, p_ev bigint"), "overlap-index-long")
-    near, known, known_long = _Bloom(chosen, _set_near_bits, spark), _Bloom(two.select("key"), _set_bits, spark), _Bloom(one.select("key"), _set_bits, spark)
+    one = materialise(ev.where(F.length("t") >= SHORT).mapInPandas(index_long, "key bigint, ev bigint, p_ev bigint, size bigint"), "overlap-index-long")
+    near_keys = materialise(chosen.mapInPandas(_all_near_keys, "key bigint"), "overlap-near")
+    near, known, known_long = _Sieve(near_keys), _Sieve(two.select("key")), _Sieve(one.select("key"))
 
     def probe_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _blocks(batches, 2000):
             f = _Flat(b["t"].tolist(), Q_SHORT)
             yield _short_rows(f, near(_own_keys(f)), b["num"].to_numpy(), "tr", known)
 
+    def all_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _blocks(batches, 2000):
+            f = _Flat(b["t"].tolist(), Q_SHORT)
+            yield pd.DataFrame({"key": _own_keys(f), "num": b["num"].to_numpy()[f.owner], "place": f.place})
+
+    def probe_left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _blocks(batches, 2000):
+            f, at, _ = _chosen(b)
+            yield _short_rows(f, at, b["num"].to_numpy(), "tr", known)
+
     def probe_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _blocks(batches, 2000):
             f = _Flat(b["t"].tolist(), Q_LONG)
@@ -358,7 +383,14 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
             k = known_long(key)
             yield _long_rows(f, k, key[k], b["num"].to_numpy(), "tr")
 
-    probes = tr.where(F.length("t") <= MOST_SHORT).mapInPandas(probe_short, "key bigint, tr bigint, p_tr bigint, s_tr bigint")
+    probing = tr.where(F.length("t") <= MOST_SHORT)
+    row = "key bigint, tr bigint, p_tr bigint, s_tr bigint"
+    if near.sharp:
+        probes = probing.mapInPandas(probe_short, row)
+    else:
+        left = probing.select("num", "t").mapInPandas(all_shingles, "key bigint, num bigint, place int").join(near_keys, "key", "left_semi")
+        left = left.groupBy("num").agg(F.sort_array(F.collect_list("place")).alias("places")).where(F.size("places") >= 2)
+        probes = probing.join(left, "num").mapInPandas(probe_left, row)
     n, i, j = ((f"shiftright(p_{x}, 32)" for x in ("ev", "tr")), (f"(shiftright(p_{x}, 16) & 65535)" for x in ("ev", "tr")), (f"(p_{x} & 65535)" for x in ("ev", "tr")))
     (n1, n2), (i1, i2), (j1, j2) = n, i, j
     edits = f"(greatest({n1}, {n2}) div 10)"
@@ -370,7 +402,7 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
     (n1, i1), (n2, i2) = _unpack("p_ev"), _unpack("p_tr")
     edits = f"(greatest({n1}, {n2}) div 10)"
     moved = f"abs({i1} - {i2}) + abs(({n1} - {i1}) - ({n2} - {i2})) <= {edits}"
-    hits = one.join(probes, "key").where(moved).select("ev", "tr", F.expr(i1).alias("at"), F.expr(f"{n1} div {Q_LONG} - {edits}").alias("need"))
+    hits = one.join(probes, "key").where(moved).select("ev", "tr", F.expr(i1).alias("at"), F.expr(f"size - {edits}").alias("need"))
     long = hits.groupBy("ev", "tr").agg(F.count_distinct("at").alias("k"), F.max("need").alias("need")).where("k >= need").select("ev", "tr")
     pairs = short.unionByName(long).distinct()
     pairs = materialise(pairs, "overlap-candidates")

@@ -61,3 +61,35 @@ def test_pairs_against_brute_force(spark, make_lines):
 def test_empty(spark, make_lines):
     works = spark.createDataFrame([], "doc_id string, split string, source_id string")
     assert rows(ov.cross_split_pairs(make_lines([]), works)) == []
+
+
+def test_without_sharp_filters(spark, make_lines, monkeypatch):
+    """Filters too small for their keys: the same pairs, by the shuffle join of shingles."""
+    made = []
+    sieve = ov._Sieve
+
+    class Seen(sieve):
+        def __init__(self, keys):
+            super().__init__(keys)
+            made.append(self.sharp)
+
+    monkeypatch.setattr(ov, "_Sieve", Seen)
+    monkeypatch.setattr(ov, "MOST_BITS", 1 << 10)
+    test_pairs_against_brute_force(spark, make_lines)
+    assert made[:2] == [False, False]
+
+
+def test_sieve_holds_every_key(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(2**63), 2**63 - 1, 30_000)
+    s = ov._Sieve(spark.createDataFrame([(int(k),) for k in keys], "key bigint"))
+    other = rng.integers(-(2**63), 2**63 - 1, 100_000)
+    assert s.sharp and len(s(keys)) == len(keys) and len(s(other)) < 1000
+    assert len(ov._Sieve(spark.createDataFrame([], "key bigint"))(other)) == 0
+
+
+def test_long_prefix_leaves_enough():
+    rng = random.Random(1)
+    f = ov._Flat(["".join(rng.choice("abcde") for _ in range(n)) for n in (128, 129, 500, 4001)], ov.Q_LONG)
+    at, size = ov.long_prefix(f, np.random.default_rng(1).integers(0, 99, 1 << ov.COUNT_BITS))
+    assert (np.bincount(f.owner[at]) == size).all() and (size - ov.most_edits(f.n) >= 2).all() and (f.place[at] % ov.Q_LONG == 0).all()
