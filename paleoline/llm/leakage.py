@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ from paleoline.llm.fmindex import FMIndex
 from paleoline.llm.text import BRACKETS, _char, clean_base, level
 from paleoline.session import materialise
 
-WORDS, SHARD_WORDS, BLOCK_WORDS = 12, 2_000_000, 20_000_000
+WORDS, SHARD_WORDS, BLOCK_WORDS = 12, 2_000_000, 2_000_000
+_PART = 100_000
 #: A hyphen at a line end, with whatever may be invisible around it; ``_divisions`` looks closer.
 _DIVIDED = re.compile(r"(?<=[^\s!-@\[-`{-~‐‑⸗﹣－])[-\u00ad‐‑⸗﹣－]((?:[^\w\n\r!-~]|[\u115f\u1160\u3164\uffa0])*)[\n\r]")
 _SPANS = "array<struct<start:int,end:int>>"
@@ -81,66 +83,80 @@ def _spans(t: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _patterns(items: pd.DataFrame, words: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Word numbers (from 2), windows of ``words`` words as rows, and the item of each window."""
-    ids: dict[str, int] = {}
-    rows, owner = [], []
-    for i, t in zip(items["item_id"], items["text"]):
-        w = [ids.setdefault(x, len(ids) + 2) for x in levelled_words(t)]
-        for k in range(len(w) - words + 1):
-            rows.append(w[k : k + words])
-            owner.append(i)
-    return ids, np.array(rows, np.int64).reshape(-1, words), np.array(owner, np.int64)
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def _search_shard(texts: list[str], docs: list[int], ids: dict[str, int], memo: dict[str, int], windows: np.ndarray, group: np.ndarray, first: np.ndarray, items: np.ndarray, spans: bool) -> Iterator[tuple]:
-    """Index one shard and look all windows up in it."""
+def _item_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"item_id": b["item_id"], "words": [_hashes(levelled_words(t)).tobytes() for t in b["text"]]})
+
+
+class _Items:
+    """The items of one block: their words as numbers (from 2) of the sorted distinct word hashes, one item after the other."""
+
+    def __init__(self, rows: list[tuple[int, bytes]], words: int) -> None:
+        held = [np.frombuffer(w, np.uint64) for _, w in rows]
+        size = np.array([len(h) for h in held], np.int64)
+        self.words = words
+        self.known, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_inverse=True)
+        self.flat = (flat.ravel() + 2).astype(np.int32)
+        self.ids = np.array([i for i, _ in rows], np.int64)
+        self.ends = np.cumsum(size)
+
+    def number(self, words: list[str]) -> np.ndarray:
+        """Numbers of levelled words; 1 for words of no item, 0 for the empty one."""
+        h = _hashes(words)
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        out = np.where(self.known[at] == h, at + 2, 1)
+        out[[k for k, w in enumerate(words) if not w]] = 0
+        return out
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows of ``words`` words as rows, and the number of the item each is of, a part at a time."""
+        for lo in range(0, len(self.flat), _PART):
+            start = np.arange(lo, min(lo + _PART, len(self.flat)))
+            owner = np.searchsorted(self.ends, start, "right")
+            start, owner = start[(k := start + self.words <= self.ends[owner])], owner[k]
+            if len(start):
+                yield self.flat[start[:, None] + np.arange(self.words)].astype(np.int64), owner
+
+
+def _search_shard(texts: list[str], docs: list[int], items: _Items, memo: dict[str, int], spans: bool) -> Iterator[tuple]:
+    """Index one shard, look all windows up in it, and locate them."""
+    raw = [_join_divided(t).split() for t in texts]
+    fresh = list({x for w in raw for x in w if x not in memo})
+    memo.update(zip(fresh, items.number([level(clean_word(x)) for x in fresh]).tolist()))
     seqs = []
-    for t in texts:
-        w = _join_divided(t).split()
-        for x in w:
-            if x not in memo:
-                k = level(clean_word(x))
-                memo[x] = ids.get(k, 1) if k else 0
+    for w in raw:
         a = np.fromiter(map(memo.__getitem__, w), np.int32, len(w))
         seqs.append(a[a > 0])
     flat = np.concatenate([x for s in seqs for x in (s, np.array([1], np.int32))])
-    owner = np.repeat(np.arange(len(seqs)), [len(s) + 1 for s in seqs])
+    size = np.array([len(s) + 1 for s in seqs])
+    owner = np.repeat(np.arange(len(seqs)), size)
+    number = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
     # Words of no item can be in no match: runs of them become one separator, which shortens the index without loss.
     keep = np.concatenate([[True], (flat[1:] != 1) | (flat[:-1] != 1)])
-    flat, owner = flat[keep], owner[keep]
-    index = FMIndex(flat, len(ids) + 2)
-    lo, hi = index.search(windows)
-    n = hi - lo
-    hit = np.flatnonzero(n)
-    if not len(hit):
-        return
-    size = n[hit]
-    rows = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    pos = index.locate(rows)
-    found = np.unique(np.stack([owner[pos], np.repeat(hit, size)]), axis=1)
-    pairs = set()
-    for d, w in found.T.tolist():
-        pairs.update((d, int(i)) for i in items[first[group[w]] : first[group[w] + 1]])
-    if not spans:
-        yield from ((docs[d], i, None) for d, i in sorted(pairs))
-        return
-    by_doc: dict[int, set[bytes]] = {}
-    for d, w in found.T.tolist():
-        by_doc.setdefault(d, set()).add(windows[w].tobytes())
-    wide = windows.shape[1]
-    for d, want in by_doc.items():
-        places = _spans(texts[d])
-        seq = np.array([ids.get(w, 1) for _, _, w in places], np.int64)
-        cover = np.zeros(len(seq) + 1, np.int64)
-        for k in range(len(seq) - wide + 1):
-            if seq[k : k + wide].tobytes() in want:
-                cover[k] += 1
-                cover[min(k + wide, len(seq))] -= 1
-        inside = np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])
-        edge = np.flatnonzero(np.diff(inside.astype(np.int8)))
-        merged = [{"start": places[a][0], "end": places[b - 1][1], "first": int(a), "last": int(b) - 1} for a, b in zip(edge[::2], edge[1::2])]
-        yield from ((docs[d], i, merged) for dd, i in sorted(pairs) if dd == d)
+    flat, owner, number = flat[keep], owner[keep], number[keep]
+    index = FMIndex(flat, len(items.known) + 2)
+    parts = [np.zeros((3, 0), np.int64)]
+    for windows, item in items.windows():
+        lo, hi = index.search(windows)
+        hit = np.flatnonzero(hi > lo)
+        n = (hi - lo)[hit]
+        rows = np.repeat(lo[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        distinct, inverse = np.unique(rows, return_inverse=True)  # a window that items share is located once
+        at = index.locate(distinct)[inverse]
+        parts.append(np.unique(np.stack([owner[at], np.repeat(items.ids[item[hit]], n), number[at]] if spans else [owner[at], np.repeat(items.ids[item[hit]], n), np.zeros(len(at), np.int64)]), axis=1))
+    found = np.concatenate(parts, axis=1)
+    for d in np.unique(found[0]).tolist():
+        own = found[:, found[0] == d]
+        merged = None
+        if spans:
+            places, first = _spans(texts[d]), np.unique(own[2])
+            cut = np.flatnonzero(np.diff(first) > items.words) + 1  # windows that overlap or touch are one span
+            merged = [{"start": places[g[0]][0], "end": places[g[-1] + items.words - 1][1], "first": int(g[0]), "last": int(g[-1]) + items.words - 1} for g in np.split(first, cut)]
+        yield from ((docs[d], i, merged) for i in np.unique(own[1]).tolist())
 
 
 def leaked(documents: DataFrame, eval_items: DataFrame, words: int = WORDS, spans: bool = False, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -151,11 +167,12 @@ def leaked(documents: DataFrame, eval_items: DataFrame, words: int = WORDS, span
     of the stored text, in code points, that all items' matches in this document cover together, ready for removal.
 
     Each task indexes its share of the documents in shards of about ``shard_words`` words: suffix array, wavelet matrix of
-    the transform, sampled positions. All windows of the items are searched backward at once and located; word numbers
-    stand for exact levelled words, so there are no false matches. Windows that several items share are searched once.
+    the transform, sampled positions. All windows of the items are searched backward at once, and what is found is located
+    by the sampled positions; spans are the located words. Word numbers stand for 64-bit hashes of levelled words.
 
-    The items are the stated query set; they are read to the driver in blocks of about ``BLOCK_WORDS`` words, and each
-    block is one pass over the documents, so memory is bounded however many there are.
+    The items are the stated query set; their words' hashes, 8 bytes each, come to the driver in blocks of about
+    ``BLOCK_WORDS`` words and are sent to the executors as at most 12 bytes a word (24 MB a block, unless one item is
+    longer); windows are made there, ``_PART`` at a time. Each block is one pass over the documents.
 
     Defined cases: null or empty texts match nothing; items of fewer than ``words`` words match nothing; repeated rows
     give one row; null ids are left out; empty tables give no rows.
@@ -165,26 +182,23 @@ def leaked(documents: DataFrame, eval_items: DataFrame, words: int = WORDS, span
     items = eval_items.where("item_id is not null and text <> ''").select("item_id", "text").distinct()
     size = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (BLOCK_WORDS * 6)))
+    hashed = items.mapInPandas(_item_words, "item_id bigint, words binary").where(F.length("words") >= 8 * words)
+    hashed = materialise(hashed, "leak-items") if blocks > 1 else hashed
     out = None
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toPandas()
-        ids, windows, owner = _patterns(part, words)
-        if not len(windows):
+        part = hashed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
+        if not part:
             continue
-        uniq, inverse = np.unique(windows, axis=0, return_inverse=True)
-        pairs = np.unique(np.stack([inverse.ravel(), owner]), axis=1)
-        first = np.searchsorted(pairs[0], np.arange(len(uniq) + 1))
-        sent = spark.sparkContext.broadcast((ids, uniq, first, pairs[1]))
+        sent = spark.sparkContext.broadcast(_Items([(r["item_id"], bytes(r["words"])) for r in part], words))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, windows, first, own = sent.value
-            group, memo = np.arange(len(windows)), {}
+            items, memo = sent.value, {}
             texts: list[str] = []
             docs: list[int] = []
             held = 0
 
             def flush() -> pd.DataFrame:
-                return pd.DataFrame(list(_search_shard(texts, docs, ids, memo, windows, group, first, own, spans)), columns=["doc_id", "item_id", "spans"])
+                return pd.DataFrame(list(_search_shard(texts, docs, items, memo, spans)), columns=["doc_id", "item_id", "spans"])
 
             for b in batches:
                 for d, t in zip(b["doc_id"], b["text"]):
