@@ -51,8 +51,8 @@ def orphan_cascade(lines: DataFrame, boundaries: DataFrame, corrections: DataFra
     """Every orphaned reference with ``state`` ``direct`` or ``inherited`` and the ``level`` of the cascade.
 
     A line whose link is orphaned is itself orphaned, so whatever refers to that line inherits the fault, and so on down
-    the foreign-key graph until nothing is added. Result: ``table_name``, ``period``, ``ref_id``, ``state``, ``level``
-    (0 for direct ones, else the number of links to the line that holds the direct one). A reference that is orphaned
+    the foreign-key graph until nothing is added. Result: ``table_name``, ``period``, ``ref_id``, ``kind`` (null for
+    inherited ones), ``state``, ``level`` (0 for direct ones, else the number of links to the line that holds the direct one). A reference that is orphaned
     directly isn't listed as inherited. Lines whose links end or loop without an orphaned one are sound.
 
     Each round's semi-joins go twice as far down the links as the last; as lines at every smaller distance exist, a round
@@ -80,7 +80,7 @@ def orphan_cascade(lines: DataFrame, boundaries: DataFrame, corrections: DataFra
     refs = cur.select(F.lit("lines").alias("table_name"), "period", F.col("link").alias("ref_id"))
     refs = refs.unionByName(boundaries.select(F.lit("boundaries").alias("table_name"), month("scored_at"), F.col("boundary_id").alias("ref_id")))
     refs = refs.unionByName(corrections.select(F.lit("corrections").alias("table_name"), month("corrected_at"), F.col("id").alias("ref_id"))).where("ref_id <> ''").distinct()
-    late = refs.join(bad, "ref_id").select("table_name", "period", "ref_id", F.lit("inherited").alias("state"), (F.col("level") + 1).alias("level"))
+    late = refs.join(bad, "ref_id").select("table_name", "period", "ref_id", F.lit(None).cast("string").alias("kind"), F.lit("inherited").alias("state"), (F.col("level") + 1).alias("level"))
     d = direct.select("table_name", "period", "ref_id")
     on = [late.table_name == d.table_name, late.period.eqNullSafe(d.period), late.ref_id == d.ref_id]
-    return late.join(d, on, "left_anti").unionByName(d.select("table_name", "period", "ref_id", F.lit("direct").alias("state"), F.lit(0).alias("level")))
+    return late.join(d, on, "left_anti").unionByName(direct.select("table_name", "period", "ref_id", "kind", F.lit("direct").alias("state"), F.lit(0).alias("level")))
