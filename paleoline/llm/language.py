@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,6 +22,8 @@ NO_LANGUAGE = ("", "und", "zxx", "mul")
 #: Bound of the labelled sample the classifier is fitted on: about this many lines a language, over the whole table.
 SAMPLE_LINES = 8_000
 LEAST_RUN = 3
+#: How much more single words' odds count than the softmax gives them, when runs are sought.
+SHARP = 2.0
 
 
 def label_set(lang: Column) -> Column:
@@ -41,50 +44,69 @@ def words_of(text: str) -> list[str]:
     return out
 
 
+#: Buckets of the table of subwords seen in training.
+SEEN = 1 << 20
+
+
 @dataclass
 class Model:
-    """Embeddings, weights and calibration; all of fixed size."""
+    """Embeddings, weights, the languages each subword was seen in (bits), and the calibration; all of fixed size (5 MB)."""
 
     embed: np.ndarray
     weight: np.ndarray
     bias: np.ndarray
+    seen: np.ndarray
     temperature: float = 1.0
-    reject: float = 0.5
+    power: float = 1.0
+    known: tuple[float, float, float] = (0.0, 1.0, 0.0)
     memo: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
 
-    def emission(self, words: list[str]) -> np.ndarray:
-        """Log probabilities of the languages for each word on its own, calibrated."""
+    def read(self, words: list[str]) -> np.ndarray:
+        """Logits of the languages for each word on its own, then the share of its subwords each language has."""
         fresh = [w for w in dict.fromkeys(words) if w not in self.memo]
         if fresh:
             if len(self.memo) > 500_000:
                 self.memo.clear()
             todo = list(dict.fromkeys(words)) if not self.memo else fresh
-            rows, begin = subwords(todo, len(self.embed))
-            mean = np.add.reduceat(self.embed[rows], begin, axis=0) / np.diff(np.append(begin, len(rows)))[:, None]
-            z = (mean @ self.weight + self.bias) / self.temperature
-            z -= np.logaddexp.reduce(z, axis=1, keepdims=True)
-            z = z.astype(np.float32)
-            for w, v in zip(todo, z):
+            rows, begin = subwords(todo)
+            size = np.diff(np.append(begin, len(rows)))[:, None]
+            z = np.add.reduceat(self.embed[rows % len(self.embed)], begin, axis=0) / size @ self.weight + self.bias
+            has = (self.seen[rows % SEEN, None] >> np.arange(self.weight.shape[1], dtype=np.uint8)) & 1
+            both = np.concatenate([z, np.add.reduceat(has.astype(np.float32), begin, axis=0) / size], 1).astype(np.float32)
+            for w, v in zip(todo, both):
                 self.memo[w] = v
         return np.stack([self.memo[w] for w in words])
 
+    def confidence(self, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Calibrated probabilities of the languages from the averaged logits of ``n`` words each."""
+        z = mean * (n**self.power / self.temperature)[:, None]
+        return np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
+
+    def foreign(self, share: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether runs of ``n`` words with a mean ``share`` of subwords of their language are of none of the languages."""
+        mean, spread, most = self.known
+        return share < mean - most * spread / np.sqrt(n)
+
 
 _GRAMS = (3, 4, 5)
 
 
-def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of all words' subwords (3 to 5 letters with word ends, and the word), and where each word's begin."""
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words' subwords (3 to 5 letters with word ends, and the word), and where each word's begin."""
     rows: list[int] = []
     begin = []
     for w in words:
         begin.append(len(rows))
-        e = f"<{w}>".encode()
         u = f"<{w}>"
-        rows.append(zlib.crc32(b"w" + e) % buckets)
-        rows.extend(zlib.crc32(u[k : k + n].encode()) % buckets for n in _GRAMS for k in range(len(u) - n + 1) if n < len(u))
+        rows.append(zlib.crc32(b"w" + u.encode()))
+        rows.extend(zlib.crc32(u[k : k + n].encode()) for n in _GRAMS for k in range(len(u) - n + 1) if n < len(u))
     return np.array(rows, np.int64), np.array(begin, np.int64)
 
 
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    return z - np.logaddexp.reduce(z, axis=-1, keepdims=True)
+
+
 def fit(words: list[str], counts: np.ndarray, dims: int = 24, buckets: int = 1 << 15, epochs: int = 12, rate: float = 4.0, seed: int = 7) -> Model:
     """Fit embeddings and softmax by stochastic gradient descent on words with their counts per language.
 
@@ -99,7 +121,8 @@ def fit(words: list[str], counts: np.ndarray, dims: int = 24, buckets: int = 1 <
     importance = np.minimum(importance / importance.mean(), 8)
     embed = rng.normal(0, 0.1, (buckets, dims)).astype(np.float32)
     weight, bias = rng.normal(0, 0.3, (dims, k)).astype(np.float32), np.zeros(k, np.float32)
-    rows, begin = subwords(words, buckets)
+    hashes, begin = subwords(words)
+    rows = hashes % buckets
     n_sub = np.diff(np.append(begin, len(rows)))
     epochs = max(epochs, -(-800 // -(-len(words) // 256)))  # a small vocabulary needs more rounds
     for epoch in range(epochs):
@@ -124,7 +147,10 @@ def fit(words: list[str], counts: np.ndarray, dims: int = 24, buckets: int = 1 <
             rs = r[by]
             first = np.flatnonzero(np.concatenate([[True], rs[1:] != rs[:-1]]))
             embed[rs[first]] -= np.add.reduceat(step[by], first, axis=0)
-    return Model(embed, weight, bias)
+    seen = np.zeros(SEEN, np.uint8)
+    bits = ((counts > 0) @ (1 << np.arange(k))).astype(np.uint8)
+    np.bitwise_or.at(seen, hashes % SEEN, np.repeat(bits, n_sub))
+    return Model(embed, weight, bias, seen)
 
 
 def segment(em: list[np.ndarray], least: int = LEAST_RUN, switch: float = 12.0) -> list[np.ndarray]:
@@ -180,50 +206,98 @@ def segment(em: list[np.ndarray], least: int = LEAST_RUN, switch: float = 12.0)
 
 
 def training_sample(lines: DataFrame, per_language: int = SAMPLE_LINES) -> DataFrame:
-    """(``text``, ``label``) of about ``per_language`` lines of each language whose label names it alone, by a hash of the id."""
+    """(``text``, ``label``, ``held``) of about ``per_language`` lines of each language whose label names it alone, by a hash of the id; every twentieth is ``held`` out."""
     cur = current(lines, label_set(F.col("lang")).alias("langs"), "source_sic")
     one = cur.where("size(langs) = 1 and source_sic <> ''").select("id", F.col("langs")[0].alias("label"), F.col("source_sic").alias("text")).where(F.col("label").isin(*LANGUAGES))
     n = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*[F.lit(x) for x, c in n.items() for x in (x, min(1.0, per_language / c))]) if n else None
     u = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    return one.where(u < share[F.col("label")]).select("text", "label") if n else one.select("text", "label")
+    held = F.pmod(F.xxhash64("id", F.lit(18)), F.lit(20)) == 0
+    return (one.where(u < share[F.col("label")]) if n else one).select("text", "label", held.alias("held"))
+
+
+def _word_counts(sample: DataFrame, model: Model | None) -> tuple[list[str], np.ndarray]:
+    """Distinct words of the lines that aren't held out, and their counts per language; with a model, of lines that it finds in their label's language."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = sent.value
+        for b in batches:
+            n: Counter = Counter()
+            for t, y in zip(b["text"], b["label"]):
+                w = words_of(t)
+                if w and (m is None or LANGUAGES[int(log_softmax(SHARP * m.read(w)[:, : len(LANGUAGES)]).sum(0).argmax())] == y):
+                    n.update((x, y) for x in w)
+            yield pd.DataFrame([(x, y, c) for (x, y), c in n.items()], columns=["word", "label", "n"])
+
+    rows = sample.where("not held").select("text", "label").mapInPandas(run, "word string, label string, n bigint").groupBy("word", "label").agg(F.sum("n").alias("n")).toPandas()
+    # In order, so the fit doesn't depend on partitioning.
+    wide = rows.pivot(index="word", columns="label", values="n").reindex(columns=LANGUAGES).fillna(0).sort_index()
+    return wide.index.tolist(), wide.to_numpy(float)
+
+
+_HELD = "label int, n int, mean array<float>, share double, part double"
+
+
+def _calibrate(model: Model, sample: DataFrame) -> None:
+    """Fit temperature and rejection on all held-out lines.
+
+    Labels may be wrong: the share of wrong ones is estimated beside the temperature, and a label counts as one drawn at
+    random with that probability. Rejection asks for the share of subwords that training has seen in the language: the
+    bound, in standard errors for a run's length, is what all but one in a thousand held-out lines, and runs of three words
+    from their middle, exceed.
+    """
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+    k = len(LANGUAGES)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t, y in zip(b["text"], b["label"]):
+                w = words_of(t)
+                if len(w) >= LEAST_RUN:
+                    r = sent.value.read(w)
+                    mean, at = r.mean(0), len(w) // 2 - 1
+                    c = int(mean[:k].argmax())
+                    out.append((LANGUAGES.index(y), len(w), mean[:k].tolist(), float(mean[k + c]), float(r[at : at + LEAST_RUN, k + c].mean())))
+            yield pd.DataFrame(out, columns=["label", "n", "mean", "share", "part"])
+
+    held = sample.where("held").select("text", "label").mapInPandas(run, _HELD).toPandas()
+    if not len(held):
+        return
+    y, n, mean = held["label"].to_numpy(), held["n"].to_numpy(float), np.array(held["mean"].tolist())
+    best = np.inf
+    for model_power in (0.5, 1.0):
+        for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0):
+            model.power, model.temperature = model_power, t
+            p = model.confidence(mean, n)[np.arange(len(y)), y]
+            for wrong in (0.0001, 0.001, 0.003, 0.01, 0.02, 0.05, 0.1, 0.2):
+                loss = -np.log((1 - wrong) * p + wrong / k).mean()
+                if loss < best - 1e-9:
+                    best, chosen = loss, (model_power, t)
+    model.power, model.temperature = chosen
+    share, part = held["share"].to_numpy(), held["part"].to_numpy()
+    centre = float(np.median(share))
+    spread = max(float(np.sqrt(np.mean((part - np.median(part)) ** 2) * LEAST_RUN)), 0.02)
+    odd = lambda x, m: np.sort((centre - x) * np.sqrt(m) / spread)[-1 - len(x) // 1000]
+    model.known = (centre, spread, float(max(odd(share, n), odd(part, LEAST_RUN), 1.0)))
 
 
 def train(lines: DataFrame, per_language: int = SAMPLE_LINES) -> Model:
-    """Fit on the lines' own labels, drop training words that the first fit finds in lines of another language, fit again, calibrate.
+    """Fit on the lines' own labels, drop training lines that the first fit finds in another language, fit again, calibrate.
 
-    The words of the sample are counted per language by the engine's Python workers; only counts of words come to the
-    driver, bounded by the sample. Every twentieth line is held out for temperature and rejection threshold.
+    The engine's workers read the sample's texts; only distinct words with their counts, and a dozen numbers of each line
+    held out, come to the driver, both bounded by the sample.
     """
-    rows = training_sample(lines, per_language).toPandas()
-    held = np.arange(len(rows)) % 20 == 0
-    texts = [words_of(t) for t in rows["text"]]
-    y = np.array([LANGUAGES.index(x) for x in rows["label"]], np.int64)
-    keep = ~held
+    sample = materialise(training_sample(lines, per_language), "language-sample")
+    k = len(LANGUAGES)
     model = None
     for _ in range(2):
-        vocab: dict[str, int] = {}
-        pairs = [(vocab.setdefault(w, len(vocab)), y[i]) for i in np.flatnonzero(keep) for w in texts[i]]
-        if not pairs:
-            return Model(np.zeros((8, 4), np.float32), np.zeros((4, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES), np.float32))
-        flat = np.array(pairs)
-        counts = np.bincount(flat[:, 0] * len(LANGUAGES) + flat[:, 1], minlength=len(vocab) * len(LANGUAGES)).reshape(-1, len(LANGUAGES)).astype(float)
-        model = fit(list(vocab), counts)
-        score = np.array([model.emission(t).sum(0) if t else np.zeros(len(LANGUAGES)) for t in texts])
-        keep = ~held & (score.argmax(1) == y)
-    good = np.flatnonzero(held & (score.argmax(1) == y) & np.array([len(t) > 0 for t in texts]))
-    if len(good):
-        raw = [model.emission(texts[i]) for i in good]
-        loss = []
-        temps = (0.5, 0.7, 1.0, 1.4, 2.0, 2.8)
-        for t in temps:
-            z = np.array([r.sum(0) / t for r in raw])
-            loss.append(float(np.mean(np.logaddexp.reduce(z, axis=1) - z[np.arange(len(z)), y[good]])))
-        model.temperature = temps[int(np.argmin(loss))]
-        model.memo.clear()
-        # A language's score a word that all but one in two hundred right lines exceed: below, the text is of none of them.
-        fit_ = np.sort([model.emission(texts[i])[:, y[i]].mean() for i in good])
-        model.reject = float(np.exp(fit_[len(fit_) // 200])) * 0.8
+        words, counts = _word_counts(sample, model)
+        if not words:
+            return model or Model(np.zeros((8, 4), np.float32), np.zeros((4, k), np.float32), np.zeros(k, np.float32), np.zeros(SEEN, np.uint8))
+        model = fit(words, counts)
+    _calibrate(model, sample)
     model.memo.clear()
     return model
 
@@ -231,33 +305,38 @@ def train(lines: DataFrame, per_language: int = SAMPLE_LINES) -> Model:
 _OUT = "id string, labels array<string>, n_words int, langs array<string>, segments array<struct<start:int,end:int,lang:string,confidence:double>>"
 
 
-def identify(rows: DataFrame, model: Model, least_words: int = 1, switch: float = 6.0) -> DataFrame:
+def identify(rows: DataFrame, model: Model, least_words: int = 1, switch: float = 14.0) -> DataFrame:
     """Languages of ``rows`` (``id``, ``labels``, ``text``): ``id``, ``labels``, ``n_words``, ``langs`` and ``segments``.
 
     ``segments`` are runs of at least three words (counted from 0 among words of two or more letters) with a language and
-    a calibrated confidence; a run whose words fit no language well has language ``und``. ``langs`` are the distinct
-    languages. ``switch`` is what a change of language must gain, in uncalibrated log odds: less is common by chance where
-    words belong to several languages. Null and empty text has no words, no languages and no segments.
+    a calibrated confidence, from the average of their words' embeddings. A run is rejected, its language ``und``, if too few
+    of its words' subwords belong to the language (:func:`_calibrate`): text of another language or none. ``langs`` are the
+    distinct languages but ``und``. ``switch`` is what a change of language must gain, in log odds of single words
+    sharpened by ``SHARP``: less is common by chance where words belong to several languages. Null and empty text has no
+    words, no languages and no segments.
     """
     sent = rows.sparkSession.sparkContext.broadcast(model)
+    k = len(LANGUAGES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for b in batches:
             words = [words_of(t) if t else [] for t in b["text"]]
             sel = [i for i, w in enumerate(words) if len(w) >= max(1, least_words)]
-            em = [m.emission(words[i]) for i in sel]
-            labs = segment(em, switch=switch / m.temperature)
+            read = [m.read(words[i]) for i in sel]
+            labs = segment([log_softmax(SHARP * r[:, :k]) for r in read], switch=switch)
             langs: list[list[str]] = [[] for _ in words]
             segs: list[list[dict]] = [[] for _ in words]
-            for i, e, lab in zip(sel, em, labs):
-                edge = np.concatenate([[0], np.flatnonzero(lab[1:] != lab[:-1]) + 1, [len(lab)]])
-                for s, t in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                    z = e[s:t].sum(0)
-                    c = int(lab[s])
-                    conf = float(np.exp(z[c] - np.logaddexp.reduce(z)))
-                    name = LANGUAGES[c] if np.exp(z[c] / (t - s)) >= m.reject or conf >= 0.999 and t - s >= 5 else "und"
-                    segs[i].append({"start": s, "end": t, "lang": name, "confidence": conf})
+            runs = [(j, s, t) for j, lab in enumerate(labs) for s, t in zip(*_edges(lab))]
+            if runs:
+                mean = np.stack([read[j][s:t].mean(0) for j, s, t in runs])
+                n = np.array([t - s for _, s, t in runs], float)
+                c = np.array([labs[j][s] for j, s, _ in runs])
+                at = np.arange(len(runs))
+                conf, odd = m.confidence(mean[:, :k], n)[at, c], m.foreign(mean[at, k + c], n)
+                for (j, s, t), x, p, o in zip(runs, c.tolist(), conf.tolist(), odd.tolist()):
+                    i, name = sel[j], "und" if o else LANGUAGES[x]
+                    segs[i].append({"start": s, "end": t, "lang": name, "confidence": p})
                     if name != "und" and name not in langs[i]:
                         langs[i].append(name)
             yield pd.DataFrame({"id": b["id"], "labels": b["labels"], "n_words": [len(w) for w in words], "langs": [sorted(x) for x in langs], "segments": segs})
@@ -265,6 +344,11 @@ def identify(rows: DataFrame, model: Model, least_words: int = 1, switch: float
     return rows.select("id", "labels", "text").mapInPandas(run, _OUT)
 
 
+def _edges(lab: np.ndarray) -> tuple[list[int], list[int]]:
+    edge = np.concatenate([[0], np.flatnonzero(lab[1:] != lab[:-1]) + 1, [len(lab)]]).tolist()
+    return edge[:-1], edge[1:]
+
+
 def line_languages(lines: DataFrame, model: Model | None = None, least_words: int = 1) -> DataFrame:
     """:func:`identify` for ``source_sic`` of every current line; the model is fitted on the table itself if none is given."""
     model = model or train(lines)

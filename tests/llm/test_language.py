@@ -65,3 +65,44 @@ def test_segments_against_brute_force():
 def test_empty_table(spark, make_lines):
     df = make_lines([])
     assert rows(lg.wrong_labels(lg.line_languages(df))) == []
+
+
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Minden emberi lény szabadon születik és egyenlő méltósága és joga van",
+    "Alla människor är födda fria och lika i värde och rättigheter", "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren", "Все люди рождаются свободными и равными в своем достоинстве",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "The brown dog jumped over what was left behind the kitchen window",
+]
+
+
+def test_foreign_and_scrambled_text_is_rejected(spark, table):
+    rng = np.random.default_rng(9)
+    scrambled = [" ".join("".join(rng.permutation(list(w))) for w in text(rng, lang, 8).split()) for lang in lg.LANGUAGES for _ in range(8)]
+    model = lg.train(table)
+    df = spark.createDataFrame([(str(k), None, t) for k, t in enumerate(FOREIGN + scrambled)], "id string, labels array<string>, text string")
+    n = und = 0
+    for r in lg.identify(df, model).collect():
+        for s in r["segments"]:
+            n, und = n + s["end"] - s["start"], und + (s["end"] - s["start"]) * (s["lang"] == "und")
+    assert und >= 0.95 * n
+    own = spark.createDataFrame([(lang, None, text(rng, lang, 9)) for lang in lg.LANGUAGES], "id string, labels array<string>, text string")
+    assert all(r["langs"] == [r["id"]] for r in lg.identify(own, model).collect())
+
+
+def test_confidence_is_reliable(spark, make_lines):
+    """In every tenth of confidence, about that share of lines of words that languages share is right; some labels are wrong."""
+    rng = np.random.default_rng(3)
+    shared = "con de en que la per se non".split()
+    odds = {lang: rng.dirichlet(np.full(len(shared), 2.0)) for lang in lg.LANGUAGES}
+
+    def line(lang):
+        own = rng.random(5) < 0.12
+        return " ".join(rng.choice(WORDS[lang]) if o else rng.choice(shared, p=odds[lang]) for o in own)
+
+    data = [{"id": f"{lang}{k:04d}", "lang": [lang if rng.random() > 0.03 else str(rng.choice(lg.LANGUAGES))], "source_sic": line(lang)} for lang in lg.LANGUAGES for k in range(700)]
+    model = lg.train(make_lines(data))
+    df = spark.createDataFrame([(f"{lang}{k}", None, line(lang)) for lang in lg.LANGUAGES for k in range(300)], "id string, labels array<string>, text string")
+    got = [(s["confidence"], s["lang"] == r["id"][:2]) for r in lg.identify(df, model).collect() for s in r["segments"][:1] if len(r["segments"]) == 1 and s["lang"] != "und"]
+    conf, right = np.array([c for c, _ in got]), np.array([x for _, x in got])
+    bins = np.minimum((conf * 10).astype(int), 9)
+    table = [(b, float(conf[bins == b].mean()), float(right[bins == b].mean()), int((bins == b).sum())) for b in np.unique(bins)]
+    assert len(got) > 800 and sum(abs(c - a) * n for _, c, a, n in table) / len(got) < 0.08, table
