@@ -49,7 +49,7 @@ FILLER_PHRASES = [
 ]
 _FILLER = re.compile("|".join(FILLER_PHRASES), re.I)
 #: Whatever a filler phrase has one of.
-_FILLER_KEYS = ("lorem", " goes here", "text here", "title here", "description here", "content here", "dummy", "filler", "placeholder", "sample", "replace this", "insert", "tbd", "todo", "fixme", "relleno", "prueba", "ejemplo", "aquí", "blindtext", "platzhalter", "remplissage", "factice", "segnaposto", "preenchimento", "coming soon", "folgt", "ximamente", "provisional", "prova", "probe", "essai", "test")
+_FILLER_KEYS = ("lorem", " goes here", "text here", "title here", "description here", "content here", "dummy", "filler", "placeholder", "sample", "replace this", "insert", "tbd", "todo", "fixme", "relleno", "prueba", "ejemplo", "aquí", "blindtext", "platzhalter", "remplissage", "factice", "segnaposto", "preenchimento", "coming soon", "folgt", "ximamente", "provisional", "prova prova", "probe probe", "essai essai", "test test")
 #: Keyboard words that are filler as soon as they stand twice in a row.
 KEYBOARD = frozenset("abc abcd abcde asdf asdfg qwert qwerty qwertz test foo bla blah xyz zxcv hjkl lorem".split())
 _LONGEST_REPEAT = 6
@@ -111,8 +111,9 @@ NOTICES = [
     r"errore(?: \d+)?", r"pagina non trovata[^.;\n]{0,30}", r"accesso negato[^.;\n]{0,30}", r"p[áa]gina n[ãa]o encontrada[^.;\n]{0,30}", r"acesso negado[^.;\n]{0,30}",
 ]
 _NOTICE = re.compile("(?:" + "|".join(NOTICES) + r")(?!\w)[^\w\n<]*", re.I)
-#: Whatever a notice has one of.
-_NOTICE_KEYS = "error fehler erreur script page found find nothing address forbidden gateway server service dienst access accès acceso permi request session sesi sitzung please load connection construction maintenance traceback render págin pagin vuelva servicio incidencia solicitudes peticiones seite zugriff anfragen document try again go back bitte veuillez activ acesso".split(" ") + ["4", "5"]
+#: Whatever a notice has one of, as it is quickest to look for; and its number.
+_NOTICE_KEYS = ("error", "exception", "exerr", "fehler", "erreur", "script", "page", "found", "nothing", "address", "forbidden", "gateway", "server", "service", "dienst", "access ", "available", " exist", "angefordert", "accès", "acceso", "acesso", "permission", "permiso", "request", "session", "sesión", "sesion", "sitzung", "please", "unable to load", "connection", "construction", "maintenance", "traceback", "página", "pagina", "vuelva", "servicio", "demasiad", "seite", "zugriff", "bitte", "veuillez", "actív", "active ", "try again", "wait ", "enable ", "turn on", "in function", 'file "', "render:", "render :")
+_NOTICE_NUMBER = re.compile(r"[45]\d\d(?!\d)")
 
 # Words of notices, as one weak sign among the evidence.
 WEAK = frozenset("error page seite página pagina adresse address server browser navegador navigateur javascript script scripts request anfrage access acceso accès zugriff denied unavailable expired login log reload enable aktivieren activar activer erreur fehler http nginx apache cloudflare captcha cookies timeout timed permission permiso resource existe encontrada encontrado trouvé gefunden found missing sorry maintenance".split())
@@ -194,7 +195,7 @@ def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, key, text, title, again in zip(b["doc_id"], b["key"], texts, b["title"], repeated_words(texts)):
             notice = other = 0
             low = text.lower()
-            if any(k in low for k in _NOTICE_KEYS):
+            if any(k in low for k in _NOTICE_KEYS) or _NOTICE_NUMBER.search(text):
                 notice, other = notice_parts(text, title)
             rows.append((i, key, has_slot(text), again or has_filler(text), notice > 0 and notice >= 3 * other))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
@@ -209,23 +210,22 @@ COVERED, PURE, LETTERS_A_COPY = 0.75, 0.5, 20
 def segments(rows: DataFrame) -> DataFrame:
     """``rows`` with ``host``, ``title`` and ``segs`` of each text: distinct segments (hash ``h``, letters ``n``) without tags and title.
 
-    Segments end at sentence ends, line ends, wide blanks and bars. Case, invisible characters and kinds of blanks don't
-    count, and the part of a token from a digit or a sign of code on stands for any other, so answers that differ in a
-    number, a path or a name are one template. All of it runs inside the engine.
+    Segments end at stops, line ends and bars. Case, blanks and invisible characters don't count, and the part of a token
+    from a digit or a sign of code on stands for any other, so answers that differ in a number, a path or a name are one
+    template. All of it runs inside the engine, in four passes over a text.
     """
     title, t = _parts_of(F.col("text"), F.col("title"))
     out = rows.select("row", "doc_id", "key", "host", title.alias("title"), t.alias("t"))
-    level = F.regexp_replace("t", r"(?:[0-9$/\\_'\"=@#]|:(?=\S))\S*", "0")
-    parts = F.split(level, r"(?<=[.!?;:])[\s\p{Zs}]+|\n+|[\s\p{Zs}]{3,}|[|·•]")
-    plain = F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}0]+", " ")))
-    sized = F.transform(F.array_distinct(plain), lambda x: F.struct(F.xxhash64(x).alias("h"), F.char_length(F.translate(x, " 0", "")).alias("n")))
+    parts = F.split(F.regexp_replace("t", r"[0-9$/\\_'\"=@#]\S*", "0"), r"[.!?;:\n|·•]")
+    plain = F.transform(parts, lambda x: F.regexp_replace(x, r"[^\p{L}0]+", ""))
+    sized = F.transform(F.array_distinct(plain), lambda x: F.struct(F.xxhash64(x).alias("h"), F.char_length(F.replace(x, F.lit("0"), F.lit(""))).alias("n")))
     return out.select("row", "doc_id", "key", "host", F.xxhash64("title").alias("title"), F.filter(sized, lambda s: s["n"] > 0).alias("segs"))
 
 
 def _parts_of(text: Column, title: Column) -> tuple[Column, Column]:
-    """Title and text in lower case, the text without tags, invisible characters and the title before it."""
+    """Title and text in lower case, the text without tags and the title before it."""
     bare = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, r"(?is)<!--.*?-->|<(script|style)\b[^<>]*>.*?</\1\s*>|</?[a-z!][^<>]*>", "\n")).otherwise(text)
-    bare = F.trim(F.regexp_replace(F.lower(bare), r"\p{Cf}+", ""), F.lit(" \n\r"))
+    bare = F.trim(F.lower(bare), F.lit(" \n\r"))
     title = F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " "))
     return title, F.when((title != "") & F.startswith(bare, title), F.substr(bare, F.char_length(title) + 1)).otherwise(bare)
 
@@ -234,7 +234,7 @@ def _with_terms(rows: DataFrame) -> DataFrame:
     """``doc_id``, ``key``, ``own``: whether the text has a longer word of its title, ``weak``: whether words of notices are at least two and one in a hundred."""
     title, t = _parts_of(F.col("text"), F.col("title"))
     theirs = F.filter(F.split(title, r"[^\p{L}]+"), lambda w: F.char_length(w) > 4)
-    out = rows.select("doc_id", "key", theirs.alias("theirs"), F.regexp_extract_all(t, F.lit(r"(\p{L}+)"), F.lit(1)).alias("w"))
+    out = rows.select("doc_id", "key", theirs.alias("theirs"), F.regexp_extract_all(F.regexp_replace(t, r"\p{Cf}+", ""), F.lit(r"(\p{L}+)"), F.lit(1)).alias("w"))
     weak = F.filter("w", lambda x: x.isin(*sorted(WEAK)))
     signs = (F.size(F.array_distinct(weak)) >= 2) & (100 * F.size(weak) >= F.size("w"))
     return out.select("doc_id", "key", F.arrays_overlap("theirs", "w").alias("own"), signs.alias("weak")).distinct()
