@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paleoline.llm import language, leakage, overlap, packing, pieces, residue, splits
+from paleoline.llm.sql import SQL
 from paleoline.llm.text import normalise_text
 from paleoline.session import materialise
 from paleoline.session import table as _t
@@ -73,6 +74,14 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.line_pieces(_t(spark, d, "lines"))
 
 
+def p6_cover(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each field the pieces cover, without what they repeat, and whether each of them fits."""
+    p = pieces.line_pieces(_t(spark, d, "lines"))
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("id", "field").orderBy("piece")), F.lit(0))
+    p = p.withColumn("new", F.when(F.col("start") <= before, F.col("end") - before))
+    return p.groupBy("id", "field").agg(F.sum("new").alias("chars"), F.bool_and(F.octet_length("piece_text") <= pieces.LIMIT).alias("fits"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_t(spark, d, "documents")).where("part = 0 and n_parts > 1").select("doc_id")
 
@@ -81,6 +90,13 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(packing.pack(_t(spark, d, "documents")))
 
 
+def p8_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each document over all containers, and whether each container that holds a part of it fits."""
+    p = materialise(packing.pack(_t(spark, d, "documents")), "packed")
+    full = p.groupBy("container").agg((F.sum("tokens") <= 4096).alias("fits"))
+    return p.join(full, "container").groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.bool_and("fits").alias("fits"))
+
+
 def _leaked(spark: SparkSession, d: str, spans: bool = False) -> DataFrame:
     return leakage.leaked(_t(spark, d, "documents"), _t(spark, d, "eval_items"), spans=spans)
 
@@ -107,25 +123,8 @@ def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_report, p4_found, p4_splits, p4_balance, p5_found, p5_clean, p6_found, p6_pieces, p8_found, p8_fill, p9_found, p9_spans, p9_items, p10_found, p10_reasons)}
-
-
-_CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file_pos DESC) rn FROM lines WHERE id IS NOT NULL) WHERE rn = 1)"
+    return {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_report, p4_found, p4_splits, p4_balance, p5_found, p5_clean, p6_found, p6_pieces, p6_cover, p8_found, p8_fill, p8_tokens, p9_found, p9_spans, p9_items, p10_found, p10_reasons)}
 
 
 def oracle_sql() -> dict[str, str]:
-    edges = f"""
-        SELECT doc_id, upper(regexp_replace(x, '^[\\s\\p{{Z}}\\p{{Cf}}]+|[\\s\\p{{Z}}\\p{{Cf}}]+$', '', 'g')) e FROM (SELECT doc_id, unnest([author_id, source_id]) x FROM works) WHERE regexp_matches(upper(regexp_replace(x, '^[\\s\\p{{Z}}\\p{{Cf}}]+|[\\s\\p{{Z}}\\p{{Cf}}]+$', '', 'g')), '^[PS][0-9]{{7}}$')
-        UNION SELECT doc_id, 'W:' || regexp_extract(id, '^(.+)-[^-]+-[^-]+-lb-', 1) FROM {_CURRENT} WHERE regexp_extract(id, '^(.+)-[^-]+-[^-]+-lb-', 1) <> ''"""
-    return {
-        "p4_found": f"""
-            WITH RECURSIVE e AS ({edges}),
-            s AS (SELECT DISTINCT a.doc_id n, b.doc_id m FROM e a JOIN (SELECT e, min(doc_id) doc_id FROM e GROUP BY e) b USING (e) WHERE a.doc_id <> b.doc_id),
-            g AS (SELECT n, m FROM s UNION SELECT m, n FROM s),
-            r AS (SELECT n, n AS root FROM (SELECT DISTINCT n FROM g) UNION SELECT g.m, r.root FROM r JOIN g ON r.n = g.n WHERE r.root < g.m)
-            SELECT min(root) AS group_doc, n AS doc_id FROM r GROUP BY n HAVING min(root) <> n""",
-        "p6_found": f"""
-            SELECT id, 'source_sic' AS field FROM {_CURRENT} WHERE strlen(source_sic) > 480
-            UNION ALL SELECT id, 'target_corr' FROM {_CURRENT} WHERE strlen(target_corr) > 480""",
-        "p8_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 4096",
-    }
+    return SQL
