@@ -33,12 +33,20 @@ _LEAKED = f"""i AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10),
     d AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS s FROM {_WORDS("documents", "doc_id")} WHERE len(w) >= 12),
     f AS (SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (s))"""
 
+# A letter of one script and one of another within a run of letters, marks and abbreviation brackets.
+_OTHER, _IN = "[\\p{Greek}\\p{Cyrillic}\\p{Armenian}\\p{Cherokee}\\p{Coptic}]", "[\\p{L}\\p{M}⦃⦄]*"
+_MIXED = f"[a-zA-ZÀ-ÖØ-öø-ɏ]{_IN}{_OTHER}|{_OTHER}{_IN}[a-zA-ZÀ-ÖØ-öø-ɏ]"
+# Invisible characters, blanks other than the ordinary one, and width and presentation forms.
+_DIRT = r"[\p{Cf}\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\x{FE00}-\x{FE0F}\x{034F}]|[\p{Zl}\p{Zp}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{2800}\t\n\r\x0b\x0c\x1c-\x1f\x85]|[\x{FB00}-\x{FB06}\x{FF01}-\x{FFEF}\x{1D400}-\x{1D7FF}]"
+_DIRTY = lambda f: f"SELECT id, '{f}' AS field FROM {CURRENT} WHERE regexp_matches({f}, '{_DIRT}') OR length(nfc_normalize({f})) < length({f}) OR regexp_matches(nfc_normalize({f}), '{_MIXED}')"
+
 SQL = {
     "p2_found": f"WITH {_PAIRS} SELECT least(id_train, id_eval) AS id_a, greatest(id_train, id_eval) AS id_b FROM p",
     "p2_report": f"WITH {_PAIRS} SELECT split, source_id, count(*) AS pairs, count(DISTINCT id_eval) AS eval_lines, count(DISTINCT id_train) AS train_lines, count(*) FILTER (d = 0) AS exact FROM p GROUP BY split, source_id",
     "p4_found": f"WITH RECURSIVE {_GROUPS} SELECT group_doc, doc_id FROM found",
     "p4_balance": f"""WITH RECURSIVE {_GROUPS}, a AS (SELECT doc_id FROM works WHERE doc_id IS NOT NULL UNION SELECT doc_id FROM {CURRENT} WHERE doc_id IS NOT NULL)
         SELECT (SELECT count(*) FROM a) AS documents, (SELECT count(*) FROM a) - (SELECT count(*) FROM found) AS groups, 0 AS divided, true AS near""",
+    "p5_found": f"{_DIRTY('source_sic')} UNION ALL {_DIRTY('target_corr')}",
     "p6_found": f"""
         SELECT id, 'source_sic' AS field FROM {CURRENT} WHERE strlen(source_sic) > 480
         UNION ALL SELECT id, 'target_corr' FROM {CURRENT} WHERE strlen(target_corr) > 480""",
