@@ -2,38 +2,127 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Ids named by code point, with the plain spelling.
-_BY_CODE = {
-    "0026": "&", "00b6": "¶", "00df": "ss", "00e6": "ae", "00c6": "AE", "0180": "b", "0111": "d", "0142": "l", "0153": "oe", "0152": "OE", "017f": "s", "1e9c": "s", "01d4": "u", "0250": "a", "0259": "e", "026f": "m", "0292": "z", "204a": "et",
-    "211f": "R", "2184": "con", "a751": "p", "a750": "P", "a753": "p", "a759": "q", "a75d": "rum", "a75f": "v", "a76d": "is", "a770": "us", "a757": "q", "00D1": "N", "0254": "o", "2013": "–", "2014": "—", "2020": "+", "271d": "+",
-}
-# Ids named by a letter and a combining mark.
-_BY_MARK = "a0300 a0302 a0303 a0304 b0307 c0303 c0327 e0300 e0302 e0303 e0304 e0308 e0327 e0328 g0304 i0300 i0301 i0302 i0303 i0304 j0303 j0308 l0303 l0309 m0303 m0304 n0303 n0304 o0300 o0302 o0303 o0304 p0301 p0303 p0307 q0300 q0301 q0303 q0304 q0308 q0366 r0303 r0304 s0303 s0308 S0308 t0303 u0300 u0302 u0303 u0304 x0303 y0302 y0304".split()
-# The rest, as (precomposed, composed, standardized).
-_OTHER = {
-    "charf1e1": (None, None, None), "chare682": (None, "q̇", "q"), "chare8b3": (None, None, "q"), "chare8bf": (None, None, "q"), "chare68b": (None, "ꝗ̃", "q"), "char0308": (None, "ꝗ̈", "q"), "charebd1": (None, "ꝺ̇", "d"), "charf159": (None, None, "d"),
-    "chare4e9": (None, None, "e"), "charg1E23": ("ḣ", "ḣ", "h"), "charo00F6": (None, None, "o"), "char01310323": ("ı̣", None, "i"), "char21840303": (None, "ↄ̃", "con"), "chara7590303": (None, "ꝙ̃", "q"), "chare8bf0301": (None, "\ue8bf\u0301", "q"), "chare8bf0308": (None, "\ue8bf\u0308", "q"), "char-turnedfl": (None, None, "fl."),
-}
+# Id, precomposed, composed and standardized form of every character that the editions declare.
+CHARACTERS = [
+    ("char0026", "&", None, "&"),
+    ("char00b6", "¶", None, "¶"),
+    ("char00df", "ß", None, "ss"),
+    ("char00e6", "æ", None, "ae"),
+    ("char00c6", "Æ", None, "AE"),
+    ("char0180", "ƀ", None, "b"),
+    ("char0111", "đ", None, "d"),
+    ("char0142", "ł", None, "l"),
+    ("char0153", "œ", None, "oe"),
+    ("char0152", "Œ", None, "OE"),
+    ("char017f", "ſ", None, "s"),
+    ("char1e9c", "ẜ", None, "s"),
+    ("char01d4", "ǔ", None, "u"),
+    ("char0250", "ɐ", None, "a"),
+    ("char0259", "ə", None, "e"),
+    ("char026f", "ɯ", None, "m"),
+    ("char0292", "ʒ", None, "z"),
+    ("char204a", "⁊", None, "et"),
+    ("char211f", "℟", None, "R"),
+    ("char2184", "ↄ", None, "con"),
+    ("chara751", "ꝑ", None, "p"),
+    ("chara750", "Ꝑ", None, "P"),
+    ("chara753", "ꝓ", None, "p"),
+    ("chara759", "ꝙ", None, "q"),
+    ("chara75d", "ꝝ", None, "rum"),
+    ("chara75f", "ꝟ", None, "v"),
+    ("chara76d", "ꝭ", None, "is"),
+    ("chara770", "ꝰ", None, "us"),
+    ("chara757", "ꝗ", None, "q"),
+    ("char00D1", "Ñ", None, "N"),
+    ("char0254", "ɔ", None, "o"),
+    ("char2013", "–", None, "–"),
+    ("char2014", "—", None, "—"),
+    ("char2020", "†", None, "+"),
+    ("char271d", "✝", None, "+"),
+    ("chara0300", "à", None, "a"),
+    ("chara0302", "â", None, "a"),
+    ("chara0303", "ã", None, "a"),
+    ("chara0304", "ā", None, "a"),
+    ("charb0307", None, "ḃ", "b"),
+    ("charc0303", None, "c̃", "c"),
+    ("charc0327", "ç", None, "c"),
+    ("chare0300", "è", None, "e"),
+    ("chare0302", "ê", None, "e"),
+    ("chare0303", "ẽ", None, "e"),
+    ("chare0304", "ē", None, "e"),
+    ("chare0308", "ë", None, "e"),
+    ("chare0327", "ȩ", None, "e"),
+    ("chare0328", "ę", None, "e"),
+    ("charg0304", "ḡ", None, "g"),
+    ("chari0300", "ì", None, "i"),
+    ("chari0301", "í", None, "i"),
+    ("chari0302", "î", None, "i"),
+    ("chari0303", "ĩ", None, "i"),
+    ("chari0304", "ī", None, "i"),
+    ("charj0303", None, "j̃", "j"),
+    ("charj0308", None, "j̈", "j"),
+    ("charl0303", None, "l̃", "l"),
+    ("charl0309", None, "l̉", "l"),
+    ("charm0303", None, "m̃", "m"),
+    ("charm0304", None, "m̄", "m"),
+    ("charn0303", "ñ", None, "n"),
+    ("charn0304", None, "n̄", "n"),
+    ("charo0300", "ò", None, "o"),
+    ("charo0302", "ô", None, "o"),
+    ("charo0303", "õ", None, "o"),
+    ("charo0304", "ō", None, "o"),
+    ("charp0301", "ṕ", None, "p"),
+    ("charp0303", None, "p̃", "p"),
+    ("charp0307", None, "ṗ", "p"),
+    ("charq0300", None, "q̀", "q"),
+    ("charq0301", None, "q́", "q"),
+    ("charq0303", None, "q̃", "q"),
+    ("charq0304", None, "q̄", "q"),
+    ("charq0308", None, "q̈", "q"),
+    ("charq0366", None, "qͦ", "q"),
+    ("charr0303", None, "r̃", "r"),
+    ("charr0304", None, "r̄", "r"),
+    ("chars0303", None, "s̃", "s"),
+    ("chars0308", None, "s̈", "s"),
+    ("charS0308", None, "S̈", "S"),
+    ("chart0303", None, "t̃", "t"),
+    ("charu0300", "ù", None, "u"),
+    ("charu0302", "û", None, "u"),
+    ("charu0303", "ũ", None, "u"),
+    ("charu0304", "ū", None, "u"),
+    ("charx0303", None, "x̃", "x"),
+    ("chary0302", "ŷ", None, "y"),
+    ("chary0304", "ȳ", None, "y"),
+    ("charf1e1", None, None, None),
+    ("chare682", None, "q̇", "q"),
+    ("chare8b3", None, None, "q"),
+    ("chare8bf", None, None, "q"),
+    ("chare68b", None, "ꝗ̃", "q"),
+    ("char0308", None, "ꝗ̈", "q"),
+    ("charebd1", None, "ꝺ̇", "d"),
+    ("charf159", None, None, "d"),
+    ("chare4e9", None, None, "e"),
+    ("charg1E23", "ḣ", "ḣ", "h"),
+    ("charo00F6", None, None, "o"),
+    ("char01310323", "ı̣", None, "i"),
+    ("char21840303", None, "ↄ̃", "con"),
+    ("chara7590303", None, "ꝙ̃", "q"),
+    ("chare8bf0301", None, "\ue8bf́", "q"),
+    ("chare8bf0308", None, "\ue8bf̈", "q"),
+    ("char-turnedfl", None, None, "fl."),
+]
 
 
 def characters() -> dict[str, tuple[str | None, str | None, str | None]]:
-    """Id to (precomposed, composed, standardized); a composed form without a single character isn't precomposed."""
-    table = {f"char{h}": (chr(int(h, 16)), None, s) for h, s in _BY_CODE.items()}
-    for x in _BY_MARK:
-        pair = x[0] + chr(int(x[1:], 16))
-        one = unicodedata.normalize("NFC", pair)
-        single = len(one) == 1 and x not in ("b0307", "p0307")
-        table[f"char{x}"] = (one if single else None, None if single else pair, x[0])
-    return table | _OTHER
+    """Id to (precomposed, composed, standardized)."""
+    return {k: (pre, comp, std) for k, pre, comp, std in CHARACTERS}
 
 
 def character_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in characters().items()], "id string, precomposed string, composed string, standardized string")
+    return spark.createDataFrame(CHARACTERS, "id string, precomposed string, composed string, standardized string")
 
 
 def glyph_lookup(refs: DataFrame) -> DataFrame:

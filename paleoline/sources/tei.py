@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from paleoline.functions.align import changed_words
 from paleoline.functions.text import ABBR_CLOSE, ABBR_OPEN
 from paleoline.schema import LINE_COLUMNS, LINE_SCHEMA
+from paleoline.session import materialise
 from paleoline.sources.characters import characters
 
 _XML = "{http://www.w3.org/XML/1998/namespace}"
+# Elements that own lines.
 _STRUCTURE = frozenset("l list p head lg epigraph note titlePage div".split())
 _VIEWS = ("source_sic", "source_corr", "target_sic", "target_corr")
 #: Branches of a choice and the views that read them.
@@ -315,23 +317,24 @@ def _wrap(runs: list[_Run], parent: dict[ET.Element, ET.Element], s: int, e: int
     return True
 
 
-def apply_expansions(xml: str, expanded: dict[str, str], nonbreaking: set[str] = frozenset(), wrap_inserts: bool = False) -> str:
-    """The document with changed words of each line wrapped in a choice, and ``break="no"`` on the breaks before continued words."""
+def apply_expansions(xml: str, expanded: dict[str, str], nonbreaking: set[str] = frozenset(), wrap_inserts: bool = False) -> tuple[str, int]:
+    """The document with changed words of each line wrapped in a choice, and ``break="no"`` on the breaks before continued words; and how many changes were left out, as they meet a choice that is already there."""
     root = ET.fromstring(xml)
     for e in root.iter():
         if isinstance(e.tag, str) and e.tag.startswith("{"):
             ET.register_namespace("", e.tag[1:].partition("}")[0])
             break
     runs, breaks, parent = _runs(root)
+    skipped = 0
     for line, text in expanded.items():
         own = runs.get(line, [])
         plain = "".join(map(_text, own))
         for s, e, s2, e2 in reversed(changed_words(plain, text, wrap_inserts)):
-            _wrap(own, parent, s, e, text[s2:e2])
+            skipped += not _wrap(own, parent, s, e, text[s2:e2])
     for line in nonbreaking:
         if line in breaks:
             breaks[line].set("break", "no")
-    return ET.tostring(root, encoding="unicode")
+    return ET.tostring(root, encoding="unicode"), skipped
 
 
 def plain_lines(xml: str) -> list[tuple[str, str]]:
@@ -340,14 +343,44 @@ def plain_lines(xml: str) -> list[tuple[str, str]]:
     return [(k, "".join(map(_text, runs.get(k, [])))) for k in breaks]
 
 
+def extract_lines(docs: DataFrame) -> DataFrame:
+    """Lines of documents (``file_name``, ``xml``) as the round trip sees them: ``file_name``, ``id``, ``doc_id``, ``file_pos`` (place in the document), ``source_sic``, ``lang``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for f, x in zip(b["file_name"], b["xml"]):
+                if x:
+                    root = ET.fromstring(x)
+                    lang = root.get(_XML + "lang")
+                    out += [(f, i, root.get(_XML + "id", "doc"), k, t, [lang] if lang else []) for k, (i, t) in enumerate(plain_lines(x))]
+            yield pd.DataFrame(out, columns=["file_name", "id", "doc_id", "file_pos", "source_sic", "lang"])
+
+    return docs.select("file_name", "xml").mapInPandas(run, "file_name string, id string, doc_id string, file_pos bigint, source_sic string, lang array<string>")
+
+
+def process_documents(docs: DataFrame, pipeline: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """From XML to XML in one call: ``file_name``, ``xml``, ``skipped``.
+
+    ``pipeline`` gets the documents' lines (:func:`extract_lines`) and gives ``id``, ``expanded_text`` and
+    ``predicted_next_line``, such as :func:`paleoline.operators.infer.run_pipeline`; line ids must be unique over all
+    documents. Lines that it leaves out stay as they are, and a document without lines comes back unchanged.
+    """
+    docs = materialise(docs.select("file_name", "xml"), "xml-in")
+    lines = materialise(extract_lines(docs), "xml-lines")
+    done = pipeline(lines).select("id", F.col("expanded_text").alias("text"), F.coalesce("predicted_next_line", F.lit("")).alias("next_id"))
+    return write_expansions(docs, lines.select("file_name", "id").join(done, "id"))
+
+
 def write_expansions(docs: DataFrame, expanded: DataFrame) -> DataFrame:
-    """``file_name``, ``xml``: documents (``file_name``, ``xml``) with ``expanded`` (``file_name``, ``id``, ``text``, ``next_id``: the line whose break continues a word, or empty).
+    """``file_name``, ``xml``, ``skipped`` (changes left out): documents (``file_name``, ``xml``) with ``expanded`` (``file_name``, ``id``, ``text``, ``next_id``: the line whose break continues a word, or empty).
 
-    A document and its lines meet in one task, bounded by the document itself, which is one file.
+    A document and its lines meet in one task, bounded by the document itself, which is one file. A null text changes nothing.
     """
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [(f, apply_expansions(x, dict(zip(right["id"], right["text"])), {n for n in right["next_id"] if n})) for f, x in zip(left["file_name"], left["xml"])]
-        return pd.DataFrame(out, columns=["file_name", "xml"])
+        new = {i: t for i, t in zip(right["id"], right["text"]) if t is not None}
+        out = [(f, *apply_expansions(x, new, {n for n in right["next_id"] if n})) if x and len(right) else (f, x, 0) for f, x in zip(left["file_name"], left["xml"])]
+        return pd.DataFrame(out, columns=["file_name", "xml", "skipped"])
 
-    return docs.groupBy("file_name").cogroup(expanded.groupBy("file_name")).applyInPandas(run, "file_name string, xml string")
+    return docs.groupBy("file_name").cogroup(expanded.groupBy("file_name")).applyInPandas(run, "file_name string, xml string, skipped int")
