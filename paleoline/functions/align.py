@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -215,9 +214,3 @@ def break_in_expansion(src: str, tgt: str, brk: int) -> int | None:
         at = at if 0 < at < len(tgt) else None
     return at
 
-
-def iterate(batches: Iterator[pd.Series], load, apply) -> Iterator[pd.Series]:  # noqa: ANN001
-    """Pattern of pluggable models: ``load`` once a worker, ``apply`` to every batch."""
-    model = load()
-    for b in batches:
-        yield apply(model, b)

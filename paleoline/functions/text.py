@@ -100,7 +100,17 @@ def hash_uniform(seed: int, *parts: str | Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def facs_url(facs: str | Column, server: str = "https://facs.example.invalid/iiif/image/") -> Column:
-    """Image address of a page image id; empty if the id has another form."""
+# Forms of page image ids, and how the image server names them; an id of neither form has no address.
+FACS_FORMS = (("^(W[0-9]{7}-[0-9]{4})$", "$1"), ("^(W[0-9]{7})-([A-Z0-9])-([0-9]{4})$", "$1_$2-$3"))
+#: The same for four-digit works, whose images lie in a folder of their work, and of its volume.
+FACS_FOLDERS = (("^((W[0-9]{4})-([A-Z])-[0-9]{4})$", "$2!$3!$1"), ("^((W[0-9]{4})-[0-9]{4})$", "$2!$1"))
+
+
+def facs_url(facs: str | Column, server: str = "https://facs.example.invalid/iiif/image/", forms: tuple[tuple[str, str], ...] = FACS_FORMS, suffix: str = "") -> Column:
+    """Image address of a page image id by the first of the ``forms`` (pattern, replacement) it has, with ``suffix``; empty if it has none."""
     bare = F.regexp_replace(_c(facs), "^(facs:|#)", "")
-    return F.when(bare.rlike("^W[0-9]{7}-[0-9]{4}$"), F.concat(F.lit(server), bare)).when(bare.rlike("^W[0-9]{7}-[A-Z0-9]-[0-9]{4}$"), F.concat(F.lit(server), F.regexp_replace(bare, "^(W[0-9]{7})-([A-Z0-9])-([0-9]{4})$", "$1_$2-$3"))).otherwise(F.lit(""))
+    out = None
+    for pattern, name in forms:
+        url = F.concat(F.lit(server), F.regexp_replace(bare, pattern, name), F.lit(suffix))
+        out = F.when(bare.rlike(pattern), url) if out is None else out.when(bare.rlike(pattern), url)
+    return out.otherwise(F.lit(""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paleoline.functions.text import LINE_BREAK
 from paleoline.operators.hierarchy import resolve_links
-from paleoline.session import current, materialise
+from paleoline.session import current, materialise, release
 
 
 def chains(ordered: DataFrame, link: str = "nonbreaking_next_line") -> DataFrame:
@@ -22,18 +22,21 @@ def chains(ordered: DataFrame, link: str = "nonbreaking_next_line") -> DataFrame
     target = ordered.select("doc_id", F.col("id").alias("to"), F.col("pos").alias("next"))
     jump = materialise(links.join(target, ["doc_id", "to"]).select("doc_id", "pos", "next"), "chain-links")
     nodes = jump.select("doc_id", "pos").unionByName(jump.select("doc_id", F.col("next").alias("pos"))).distinct()
-    best = materialise(nodes.select("doc_id", "pos", F.struct(F.col("pos").alias("head"), F.lit(0).alias("dist")).alias("first")), "chain-0")
+    best = materialise(nodes.select("doc_id", "pos", F.struct(F.col("pos").alias("head"), F.lit(0).alias("dist")).alias("first")).withColumn("old", F.col("first")), "chain-0")
     step = 1
     while not jump.isEmpty():
         handed = jump.join(best, ["doc_id", "pos"]).select("doc_id", F.col("next").alias("pos"), F.struct(F.col("first.head"), (F.col("first.dist") + step).alias("dist")).alias("first"))
-        new = best.unionByName(handed).groupBy("doc_id", "pos").agg(F.min("first").alias("first"))
+        own = best.select("doc_id", "pos", "first", F.col("first").alias("old"))
+        new = own.unionByName(handed, allowMissingColumns=True).groupBy("doc_id", "pos").agg(F.min("first").alias("first"), F.min("old").alias("old"))
         new = materialise(new, f"chain-{step}")
-        changed = new.join(best.withColumnRenamed("first", "old"), ["doc_id", "pos"]).where("first <> old")
-        if changed.isEmpty():
-            break
+        release(best)
         best = new
+        if new.where("first <> old").isEmpty():
+            break
         far = jump.select("doc_id", F.col("pos").alias("next"), F.col("next").alias("far"))
-        jump = materialise(jump.join(far, ["doc_id", "next"]).select("doc_id", "pos", F.col("far").alias("next")), f"chain-jump-{step}")
+        longer = materialise(jump.join(far, ["doc_id", "next"]).select("doc_id", "pos", F.col("far").alias("next")), f"chain-jump-{step}")
+        release(jump)
+        jump = longer
         step *= 2
     found = best.select("doc_id", "pos", F.col("first.head").alias("head_pos"), F.col("first.dist").alias("pos_in_chain"))
     out = ordered.select("id", "doc_id", "pos").join(found, ["doc_id", "pos"], "left")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paleoline.functions.align import unescape_nfc
 from paleoline.functions.text import FOLD_DIAG, fold, fold_markers
 from paleoline.session import current
 
@@ -23,12 +26,12 @@ def blank_only(a: Column, b: Column) -> Column:
 def compare_exports(a: DataFrame, b: DataFrame) -> DataFrame:
     """Every row of ``b`` (``id``, ``source``, ``target``, ``target_corr``) against the line of the same id in ``a``.
 
-    ``status`` is ``missing_in_A``, ``match`` or ``differences_found``; ``details`` maps a differing field to its values
+    Texts are compared with character references resolved and in canonical composition. ``status`` is ``missing_in_A``, ``match`` or ``differences_found``; ``details`` maps a differing field to its values
     ``A`` and ``B``. The source pair is listed if it differs or if a target does. Null equals null only.
     """
     left = b.select("id", F.col("source").alias("bs"), F.col("target").alias("bt"), F.col("target_corr").alias("bc"))
     right = a.select("id", F.col("source_sic").alias("as"), F.col("target_sic").alias("at"), F.col("target_corr").alias("ac"), F.lit(True).alias("hit"))
-    j = left.join(right, "id", "left")
+    j = _normalised(left.join(right, "id", "left"), ("as", "at", "ac", "bs", "bt", "bc"))
     target, corr, source = (~same_text(F.col(x), F.col(y)) for x, y in (("at", "bt"), ("ac", "bc"), ("as", "bs")))
     pair = lambda x, y: F.struct(F.col(x).alias("A"), F.col(y).alias("B"))
     every = F.create_map(F.lit("target"), pair("at", "bt"), F.lit("target_corr"), pair("ac", "bc"), F.lit("source"), pair("as", "bs"))
@@ -37,6 +40,12 @@ def compare_exports(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("id", F.when(F.col("hit").isNull(), "missing_in_A").when(odd, "differences_found").otherwise("match").alias("status"), F.when(odd, some).alias("details"))
 
 
+def _normalised(rows: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    """``rows`` with character references resolved and letters composed in ``cols``; rows that need neither stay inside the engine."""
+    odd = reduce(lambda x, y: x | y, [F.coalesce(F.col(c).rlike(r"&|[^\x00-\u02ff\u1e00-\u1eff\u2000-\u206f\u2983\u2984]"), F.lit(False)) for c in cols])
+    return rows.where(~odd).unionByName(rows.where(odd).withColumns({c: unescape_nfc(c) for c in cols}))
+
+
 def triage(report: DataFrame) -> DataFrame:
     """Rows with differences as ``id``, ``kind``: ``blank_only`` if every listed field differs in blanks alone, else ``real``."""
     some = report.where("status = 'differences_found'")

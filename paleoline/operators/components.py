@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paleoline.session import materialise
+from paleoline.session import materialise, release
 
 
 def components(links: DataFrame, node: str = "doc_id", entity: str = "entity") -> DataFrame:
@@ -22,7 +22,7 @@ def components(links: DataFrame, node: str = "doc_id", entity: str = "entity") -
     edges = rows.where("e is not null").join(least, "e").select("n", "m").where("n <> m").distinct()
     edges = materialise(edges.unionByName(edges.select(F.col("m").alias("n"), F.col("n").alias("m"))), "edges")
     label = materialise(edges.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("f")), "labels-0")
-    rnd = 0
+    held, rnd = label, 0
     while True:
         rnd += 1
         up = label.select(F.col("n").alias("f"), F.col("f").alias("g"))
@@ -32,6 +32,8 @@ def components(links: DataFrame, node: str = "doc_id", entity: str = "entity") -
         hooks = with_min.select(F.col("n"), F.col("to")).unionByName(with_min.groupBy(F.col("f").alias("n")).agg(F.min("to").alias("to")))
         new = hooks.groupBy("n").agg(F.min("to").alias("to")).join(state, "n").select("n", F.least("to", "g").alias("f"), F.col("f").alias("old"))
         new = materialise(new, f"labels-{rnd}")
+        release(state, held)
+        held = new
         if new.where("f <> old").isEmpty():
             break
         label = new.select("n", "f")

@@ -52,20 +52,36 @@ def class_weight(examples: DataFrame, by: list[str], cap: float = 8.0) -> DataFr
     return out.withColumn("weight", F.when(F.col("n_pos") == 0, 1.0).otherwise(F.least(F.col("n_neg") / F.col("n_pos"), F.lit(cap))))
 
 
+#: A chain that ends more lines behind its first one leaps too far for its window to hold what lies between.
+LONGEST_LEAP = 10_000
+
+
+def chain_spans(chained: DataFrame) -> DataFrame:
+    """``doc_id``, ``head_pos``, ``last_pos`` and ``n_chain`` of each chain, and whether it ``leaps``: ends more than ``LONGEST_LEAP`` lines behind its first line."""
+    per = chained.groupBy("doc_id", "head_pos").agg(F.max_by("pos", "pos_in_chain").alias("last_pos"), F.count("*").alias("n_chain"))
+    return per.withColumn("leaps", F.col("last_pos") - F.col("head_pos") > LONGEST_LEAP)
+
+
 def chain_windows(ordered: DataFrame, chained: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
     """Which lines each chain's context window holds: ``doc_id``, ``head_pos``, ``last_pos``, ``n_chain``, ``pos`` (one row a line).
 
-    The window runs from ``before`` lines before the chain's first line to ``after`` lines behind its last one, within the document.
+    The window runs from ``before`` lines before the chain's first line to ``after`` lines behind its last one, within the
+    document. A chain that :func:`chain_spans` finds to leap has only its own lines and the context at both ends, so one
+    wrong link can't put a whole document into one window; there are few lines between the others' ends.
     """
-    per = chained.groupBy("doc_id", "head_pos").agg(F.max_by("pos", "pos_in_chain").alias("last_pos"), F.count("*").alias("n_chain"))
+    every = chain_spans(chained)
+    far = every.where("leaps")
+    ends = F.concat(F.sequence(F.greatest(F.col("head_pos") - before, F.lit(0)), F.col("head_pos")), F.sequence(F.col("last_pos"), F.col("last_pos") + after))
+    far = far.select("doc_id", "head_pos", "last_pos", "n_chain", F.explode(ends).alias("pos")).unionByName(chained.select("doc_id", "head_pos", "pos").join(far.drop("leaps"), ["doc_id", "head_pos"])).distinct()
+    per = every.where("not leaps").drop("leaps")
     near = per.withColumn("pos", F.explode(F.sequence(F.greatest(F.col("head_pos") - before, F.lit(0)), F.greatest(F.col("last_pos") + after, F.col("head_pos") - before, F.lit(0)))))
-    return near.where("pos <= last_pos + " + str(after)).join(ordered.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")
+    return near.where("pos <= last_pos + " + str(after)).unionByName(far).join(ordered.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")
 
 
 def render(window_lines: DataFrame, link: str, keys: list[str], texts: dict[str, str], extra: list | None = None) -> DataFrame:
     """One text per window: lines in order, joined by the word-continues sign where a line's link names the next line of the window, else by the line-break sign.
 
-    Each window is a few lines, so gathering it is bounded by the window's own size.
+    A window is gathered in one row, which is what it is for; :func:`chain_windows` keeps lines between far ends out of it.
     """
     rows = F.array_sort(F.collect_list(F.struct("pos", "id", F.col(link).alias("link"), *[F.coalesce(c, F.lit("")).alias(n) for n, c in texts.items()])))
     g = window_lines.groupBy(*keys).agg(rows.alias("rows"), *(extra or []))
@@ -116,17 +132,17 @@ def budget_windows(ordered: DataFrame, chained: DataFrame, context: int = 2, max
     return got.select("doc_id", "head_pos", pick.otherwise(total(0, 0)).alias("w"), F.col("n_chain").cast("int").alias("n_chain")).select("doc_id", "head_pos", "w.n_before", "w.n_after", "n_chain", "w.n_bytes")
 
 
-def seq2seq_examples(windows: DataFrame, heads: DataFrame, dropout: float = 0.5, lang_prefix: bool = False, oversample: float = 2.0, seed: int = 42) -> DataFrame:
+def seq2seq_examples(windows: DataFrame, heads: DataFrame, dropout: float = 0.5, lang_prefix: bool = False, oversample: float = 2.0, seed: int = 42, strip: bool = False) -> DataFrame:
     """Examples from rendered windows: ``doc_id``, ``head_pos``, ``copy``, ``source``, ``source_marked``, ``target``, ``has_abbr``, ``lang``.
 
     With probability ``dropout`` a window with abbreviations loses its markers (``source_marked`` keeps them for
-    evaluation). Empty languages become ``la``. ``lang_prefix`` puts ``[LA]`` and the like before the source.
+    evaluation); with ``strip``, for validation and test, every window loses them. Empty languages become ``la``. ``lang_prefix`` puts ``[LA]`` and the like before the source.
     ``oversample`` f adds ``floor(n * (f - 1))`` draws with replacement of examples with abbreviations as copies 1, 2, …;
     draws come from hashes of seed and number, so they don't depend on partitioning.
     """
     lang = F.when(F.coalesce(F.size("lang"), F.lit(0)) <= 0, F.array(F.lit("la"))).otherwise(F.col("lang"))
     rows = windows.join(heads.select("doc_id", F.col("pos").alias("head_pos"), lang.alias("lang")), ["doc_id", "head_pos"])
-    drop = F.col("has_abbr") & (hash_uniform(seed, "doc_id", "head_pos") < dropout)
+    drop = F.lit(True) if strip else F.col("has_abbr") & (hash_uniform(seed, "doc_id", "head_pos") < dropout)
     source = F.when(drop, strip_markers("source")).otherwise(F.col("source"))
     if lang_prefix:
         source = F.concat(F.lit("["), F.upper(F.get("lang", F.lit(0))), F.lit("] "), source)
@@ -134,11 +150,13 @@ def seq2seq_examples(windows: DataFrame, heads: DataFrame, dropout: float = 0.5,
     if oversample <= 1:
         return rows
     rows = materialise(rows, "examples")
-    pool = materialise(ranked(rows.where("has_abbr"), [], ["doc_id", "head_pos"], "i"), "example-pool")
+    # Only keys are ranked; texts travel once, to their draws.
+    pool = materialise(ranked(rows.where("has_abbr").select("doc_id", "head_pos"), [], ["doc_id", "head_pos"], "i"), "example-pool")
     n = pool.count()
     extra = int(n * (oversample - 1))
     draws = rows.sparkSession.range(extra).select((F.col("id") + 1).alias("copy"), F.floor(hash_uniform(seed + 1, "id") * n).alias("i"))
-    return rows.unionByName(pool.drop("copy").join(draws, "i").drop("i").select(*rows.columns))
+    drawn = pool.join(draws, "i").select("doc_id", "head_pos", "copy")
+    return rows.unionByName(rows.drop("copy").join(drawn, ["doc_id", "head_pos"]).select(*rows.columns))
 
 
 def lexicon(texts: DataFrame, col: str = "target_corr", least: int = 3) -> DataFrame:

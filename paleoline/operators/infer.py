@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,23 @@ def frequent_expander(pairs: DataFrame) -> Expander:
     return expand
 
 
+def model_expander(load: Callable[[], object], apply: Callable[[object, list[str]], list[str]], batch: int = 32) -> Expander:
+    """An expander of any model in Python: ``load`` is called once a task, in the worker, and ``apply`` gets the sources ``batch`` at a time, so memory never depends on how many there are."""
+
+    def expand(windows: DataFrame) -> DataFrame:
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model = None
+            for p in parts:
+                model = load() if model is None else model
+                texts = p["source"].tolist()
+                p["source"] = [x for k in range(0, len(texts), batch) for x in apply(model, texts[k : k + batch])]
+                yield p
+
+        return windows.mapInPandas(run, windows.schema)
+
+    return expand
+
+
 def predict_boundaries(ordered: DataFrame, score: Scorer, threshold: float = 0.6, context: int = 40) -> DataFrame:
     """``ordered`` with ``predicted_next_line``: the next line of the document if the scorer gives the pair at least ``threshold``, else empty."""
     near = with_neighbours(ordered, ["doc_id"], {"next": (F.struct("id", F.left("source_sic", F.lit(context)).alias("start")), 1)})

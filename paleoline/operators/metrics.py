@@ -25,7 +25,7 @@ def prf(rows: DataFrame, by: list[str], threshold: float = 0.6) -> DataFrame:
 
 
 def pr_curve(rows: DataFrame) -> DataFrame:
-    """Precision and recall at every distinct probability: ``threshold``, ``precision``, ``recall``.
+    """Precision and recall at every distinct probability: ``threshold``, ``precision``, ``recall``, and the end point of precision 1 and recall 0, without a threshold.
 
     Counts per value come first; the running sums then go over range partitions whose totals are carried, so no task sees
     all thresholds.
@@ -33,7 +33,8 @@ def pr_curve(rows: DataFrame) -> DataFrame:
     per = rows.groupBy("prob").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("p"))
     run = _running(per)
     total = run.agg(F.max("cum_pos").alias("all_pos"))
-    return run.join(F.broadcast(total)).select(F.col("prob").alias("threshold"), (F.col("cum_pos") / F.col("cum_n")).alias("precision"), F.when(F.col("all_pos") == 0, 1.0).otherwise(F.col("cum_pos") / F.col("all_pos")).alias("recall"))
+    curve = run.join(F.broadcast(total)).select(F.col("prob").alias("threshold"), (F.col("cum_pos") / F.col("cum_n")).alias("precision"), F.when(F.col("all_pos") == 0, 1.0).otherwise(F.col("cum_pos") / F.col("all_pos")).alias("recall"))
+    return curve.unionByName(curve.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
 
 
 def _running(per: DataFrame) -> DataFrame:

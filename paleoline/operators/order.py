@@ -37,10 +37,16 @@ def document_order(lines: DataFrame, *cols: str) -> DataFrame:
     """Current lines with ``doc_id``, ``k`` (parsed id), ``pos`` in the document, and ``cols``.
 
     Null texts among ``cols`` stay null; lines without id are left out; malformed ids sort first in their document.
+
+    Only ids, documents and keys are ranked; the other columns are shuffled once, by id, where the current row is picked,
+    and meet the positions there.
     """
-    extra = [c for c in dict.fromkeys(("doc_id", *cols)) if c != "id"]
-    cur = current(lines, *extra, "file_pos").withColumn("k", line_key("id"))
-    return materialise(ranked(cur, ["doc_id"], ["k", "file_pos"]), "ordered")
+    keys = current(lines, "doc_id", "file_pos").withColumn("k", line_key("id"))
+    place = ranked(keys, ["doc_id"], ["k", "file_pos"])
+    extra = [c for c in dict.fromkeys(cols) if c not in ("id", "doc_id", "file_pos")]
+    if extra:
+        place = current(lines, "doc_id", *extra).drop("doc_id").join(place, "id").select("id", "doc_id", *extra, "file_pos", "k", "pos")
+    return materialise(place, "ordered")
 
 
 def with_neighbours(df: DataFrame, group: list[str], cols: dict[str, tuple[Column, int]], pos: str = "pos", block: int = BLOCK) -> DataFrame:

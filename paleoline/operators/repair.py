@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paleoline.functions.align import _REPAIR, break_in_expansion, plain_letter
-from paleoline.functions.text import FOLD_REPAIR, first_token, fold, last_token, line_key
+from paleoline.functions.text import FOLD_REPAIR, first_token, fold, last_token
 from paleoline.operators.components import components
 from paleoline.session import current, materialise
 
@@ -185,7 +185,7 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def break_repairs(lines: DataFrame, order: str = "file_pos") -> DataFrame:
     """Changed lines: ``id``, ``source_corr``, ``target_sic``, ``target_corr``, ``kinds`` of the repairs of the pairs it begins, ``n_fixes``.
 
-    Pairs of lines joined by a live link are repaired in document order, each seeing what was changed before. The engine
+    Pairs of lines joined by a live link are repaired in the order of ``order``, each seeing what was changed before. The engine
     keeps only connected sets of links that hold a trigger (different first letters, different words at the break, or a
     correction there); a set is folded in order by one task, which holds just its changed lines. Null views count as empty.
     """
@@ -200,8 +200,8 @@ def break_repairs(lines: DataFrame, order: str = "file_pos") -> DataFrame:
     pairs = materialise(pairs.withColumn("trigger", trigger), "repair-pairs")
     ends = pairs.select(F.col("id").alias("doc_id"), F.col("id").alias("entity")).unionByName(pairs.select(F.col("next_id").alias("doc_id"), F.col("id").alias("entity")))
     comp = components(ends).select(F.col("doc_id").alias("id"), F.col("group").alias("comp"))
-    held = materialise(pairs.join(comp, "id").withColumn("k", line_key("id")), "repair-components")
+    held = materialise(pairs.join(comp, "id"), "repair-components")
     live = held.where("trigger").select("comp").distinct()
-    work = held.join(live, "comp", "left_semi").select("comp", "k", "o", "id", "next_id", *[f"{s}_{v}" for s in "ab" for v in VIEWS])
-    work = work.repartition("comp").sortWithinPartitions("comp", "k", "o").drop("k", "o")
+    work = held.join(live, "comp", "left_semi").select("comp", "o", "id", "next_id", *[f"{s}_{v}" for s in "ab" for v in VIEWS])
+    work = work.repartition("comp").sortWithinPartitions("comp", "o", "id").drop("o")
     return work.mapInPandas(_fold, _OUT)

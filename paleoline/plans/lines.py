@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paleoline.functions import align
@@ -13,6 +13,7 @@ from paleoline.operators import examples as ex
 from paleoline.operators import metrics as mt
 from paleoline.operators import order as od
 from paleoline.operators import repair as rp
+from paleoline.operators import reports as rt
 from paleoline.session import current, materialise
 from paleoline.session import table as _t
 
@@ -100,6 +101,12 @@ def context_windows(spark: SparkSession, d: str) -> DataFrame:
     return ex.context_windows(*_chained(spark, d))
 
 
+def leaping_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Chains whose end lies too far behind their beginning for one window, and the widest of the others."""
+    c = ex.chain_spans(ch.chains(_ordered(spark, d)))
+    return c.agg(F.count_if("leaps").alias("leaping"), F.max(F.when(~F.col("leaps"), F.col("last_pos") - F.col("head_pos"))).alias("widest"))
+
+
 def budget_windows(spark: SparkSession, d: str) -> DataFrame:
     return ex.budget_windows(*_chained(spark, d))
 
@@ -110,6 +117,51 @@ def seq2seq_examples(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "head_pos", "copy", "source", "target", "has_abbr", F.array_join("lang", ",", "?").alias("lang"))
 
 
+def eval_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Validation and test examples: every window without markers, none twice; the training documents' where a split has none."""
+    o, c = _chained(spark, d)
+    split = materialise(ex.document_split(_lines(spark, d)), "split")
+    rows = materialise(ex.seq2seq_examples(ex.context_windows(o, c), o, oversample=1, strip=True).join(split, "doc_id"), "eval-examples")
+    held = [rt.or_all(rows.where(F.col("split") == s), rows.where("split = 'train'")).withColumn("split", F.lit(s)) for s in ("val", "test")]
+    return held[0].unionByName(held[1]).select("split", "doc_id", "head_pos", "source", "target")
+
+
+def first_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The first thousand rows of the export, for smoke tests."""
+    return rt.head(_lines(spark, d).select("file_pos", "id", "source_sic"), 1000, ["file_pos"])
+
+
+def zipped_views(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs, outputs and targets side by side by position, as long as the shortest of the three."""
+    lines = _lines(spark, d).select("file_pos", F.col("source_sic").alias("input"), F.col("target_sic").alias("output"), F.col("target_corr").alias("target"))
+    parts = {"input": lines.where("input is not null"), "output": lines.where("output is not null"), "target": lines.where("target is not null")}
+    return rt.zip_positions(parts, ["file_pos"])
+
+
+def chain_report(spark: SparkSession, d: str) -> DataFrame:
+    """The chain profile as lines of text, with the distribution of the chains' numbers of lines below."""
+    held = materialise(ch.profiled_chains(_lines(spark, d)), "profiles")
+    out = rt.text_report(ch.chain_profile(held), "Chains of linked lines")
+    each = ch.chain_histogram(held).select((F.col("n_lines") + 100).cast("int").alias("n"), F.format_string("%d lines: %d chains (%.2f %%)", F.col("n_lines").cast("bigint"), "n", 100 * F.col("share")).alias("line"))
+    return out.unionByName(each)
+
+
+def boundary_document(spark: SparkSession, d: str) -> DataFrame:
+    """The whole evaluation of the boundaries as one nested row, as it is written to a JSON document."""
+    s = _scored(spark, d)
+    by = lambda key: mt.prf(s, [key]).select(key, *_PRF)
+    return rt.nested({
+        "overall": mt.prf(s, []).select(*_PRF), "threshold": mt.pick_threshold(mt.pr_curve(s)), "by_page[]": by("crosses_page_break"), "by_doc[]": by("doc_id"),
+        "curve[]": mt.pr_curve(s).select("recall", "precision", "threshold"), "errors[]": mt.error_samples(s),
+    })
+
+
+def boundary_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and figures of the nested evaluation."""
+    r = boundary_document(spark, d)
+    return r.select("overall.n", F.col("overall.precision"), F.col("overall.recall"), "threshold.threshold", F.size("by_doc").alias("docs"), F.size("curve").alias("points"), F.size("errors").alias("errors"))
+
+
 def lexicon(spark: SparkSession, d: str) -> DataFrame:
     return ex.lexicon(current(_lines(spark, d), "target_corr"))
 
@@ -126,10 +178,10 @@ def canonical_equal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _second_export(spark: SparkSession, d: str) -> DataFrame:
-    """A second export made of the corrections: their views beside the line's source; ids that lead nowhere stay."""
-    fix = current(_t(spark, d, "corrections"), "new_target_sic", "new_target_corr", order="corrected_at")
+    """A second export made of the corrections: their views, and their source where there is one; ids that lead nowhere stay."""
+    fix = current(_t(spark, d, "corrections"), "new_source_corr", "new_target_sic", "new_target_corr", order="corrected_at")
     cur = current(_lines(spark, d), "source_sic")
-    return fix.join(cur, "id", "left").select("id", F.col("source_sic").alias("source"), F.col("new_target_sic").alias("target"), F.col("new_target_corr").alias("target_corr"))
+    return fix.join(cur, "id", "left").select("id", F.coalesce("new_source_corr", "source_sic").alias("source"), F.col("new_target_sic").alias("target"), F.col("new_target_corr").alias("target_corr"))
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
@@ -150,9 +202,11 @@ def diff_triage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diff_chars(spark: SparkSession, d: str) -> DataFrame:
-    r = _report(spark, d).where("status = 'differences_found'").select(F.explode(F.map_values("details")).alias("v"))
-    pairs = r.where(~cp.blank_only(F.col("v.A"), F.col("v.B"))).select(F.explode(align.differing_letters("v.A", "v.B")).alias("p"))
-    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).select("a", align.char_name("a").alias("a_name"), "b", align.char_name("b").alias("b_name"), "n")
+    """Pairs of letters that differ, the most frequent first; of equally frequent ones the one whose first line id is smaller."""
+    r = _report(spark, d).where("status = 'differences_found'").select("id", F.explode(F.map_values("details")).alias("v"))
+    pairs = r.where(~cp.blank_only(F.col("v.A"), F.col("v.B"))).select("id", F.explode(align.differing_letters("v.A", "v.B")).alias("p"))
+    counts = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return rt.most_common(counts, "first_id", "a", "b").select("rank", "a", align.char_name("a").alias("a_name"), "b", align.char_name("b").alias("b_name"), "n")
 
 
 def lookback_links(spark: SparkSession, d: str) -> DataFrame:
@@ -227,8 +281,11 @@ def abbreviation_letters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def span_cer(spark: SparkSession, d: str) -> DataFrame:
+    """Spans, exact ones, their rate and the error rate of their letters; both rates are null without any span."""
     s = _span_results(spark, d)
-    return s.agg(F.count("*").alias("n_spans"), F.count_if(F.col("gold") == F.col("predicted")).alias("n_exact"), mt.cer(F.col("predicted"), F.col("gold")).alias("span_cer"))
+    out = s.agg(F.count("*").alias("n_spans"), F.count_if(F.col("gold") == F.col("predicted")).alias("n_exact"), mt.cer(F.col("predicted"), F.col("gold")).alias("cer"))
+    some = F.col("n_spans") > 0
+    return out.select("n_spans", "n_exact", F.when(some, F.col("n_exact") / F.col("n_spans")).alias("exact_match"), F.when(some, F.col("cer")).alias("span_cer"))
 
 
 def _span_results(spark: SparkSession, d: str) -> DataFrame:
@@ -238,17 +295,18 @@ def _span_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def type_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics of each abbreviation, its expansions with their counts, the most frequent first, and its first 20 errors in row order."""
+    """Statistics of each abbreviation by falling frequency, of equally frequent ones the first in row order; its expansions with their counts, the most frequent first, and its first 20 errors in row order."""
     s = materialise(_span_results(spark, d), "spans")
-    per = s.groupBy("abbr").agg(F.count("*").alias("n"), F.count_if(F.col("gold") == F.col("predicted")).alias("n_exact"), mt.cer(F.col("predicted"), F.col("gold")).alias("cer"))
+    per = s.groupBy("abbr").agg(F.count("*").alias("n"), F.count_if(F.col("gold") == F.col("predicted")).alias("n_exact"), mt.cer(F.col("predicted"), F.col("gold")).alias("cer"), F.min(F.struct("file_pos", "n")).alias("first"))
+    per = rt.most_common(per, "first", "abbr")
     counted = s.groupBy("abbr", "gold").agg(F.count("*").alias("c")).groupBy("abbr")
     most = counted.agg(F.max_by("gold", F.struct("c", "gold")).alias("top_expansion"), F.count("*").alias("n_expansions"), F.sort_array(F.collect_list(F.struct("c", "gold")), asc=False).alias("counts"))
-    first = s.where("gold <> predicted").withColumn("k", F.row_number().over(Window.partitionBy("abbr").orderBy("file_pos", "n"))).where("k <= 20")
-    wrong = first.groupBy("abbr").agg(F.array_sort(F.collect_list(F.struct("k", "predicted", "gold"))).alias("wrong"))
+    first = rt.first_of_each(s.where("gold <> predicted"), "abbr", ["file_pos", "n"])
+    wrong = first.groupBy("abbr").agg(F.array_sort(F.collect_list(F.struct("file_pos", "n", "predicted", "gold"))).alias("wrong"))
     expansions = F.transform("counts", lambda x: F.struct(x["gold"].alias("gold"), x["c"].alias("n"))).alias("expansions")
-    errors = F.transform(F.coalesce("wrong", F.array().cast("array<struct<k:int,predicted:string,gold:string>>")), lambda x: F.struct(x["predicted"].alias("predicted"), x["gold"].alias("gold"))).alias("errors")
+    errors = F.transform(F.coalesce("wrong", F.array().cast("array<struct<file_pos:bigint,n:int,predicted:string,gold:string>>")), lambda x: F.struct(x["predicted"].alias("predicted"), x["gold"].alias("gold"))).alias("errors")
     out = per.join(most, "abbr").join(wrong, "abbr", "left")
-    return out.select("abbr", "n", "n_exact", (F.col("n_exact") / F.col("n")).alias("exact_match"), "cer", "top_expansion", "n_expansions", expansions, errors)
+    return out.select("rank", "abbr", "n", "n_exact", (F.col("n_exact") / F.col("n")).alias("exact_match"), "cer", "top_expansion", "n_expansions", expansions, errors)
 
 
 def full_line_cer(spark: SparkSession, d: str) -> DataFrame:
@@ -257,10 +315,12 @@ def full_line_cer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def restore_glyphs(spark: SparkSession, d: str) -> DataFrame:
-    """Glyphs of the source put back into the target; only lines that have one leave the engine."""
-    cur = current(_lines(spark, d), "source_sic", "target_corr")
-    some = F.col("source_sic").rlike("[ſæÆœŒ]") & F.col("target_corr").isNotNull()
-    return cur.where(some).select("id", align.restore_glyphs("source_sic", "target_corr").alias("restored")).unionByName(cur.where(~F.coalesce(some, F.lit(False))).select("id", F.col("target_corr").alias("restored")))
+    """Glyphs of ``source_sic`` put back into ``target_sic``, and of ``source_corr`` into ``target_corr``; only lines that have one leave the engine."""
+    cur = current(_lines(spark, d), "source_sic", "source_corr", "target_sic", "target_corr")
+    has = lambda s, t: F.coalesce(F.col(s).rlike("[ſæÆœŒ]") & F.col(t).isNotNull(), F.lit(False))
+    some = has("source_sic", "target_sic") | has("source_corr", "target_corr")
+    done = cur.where(some).select("id", align.restore_glyphs("source_sic", "target_sic").alias("target_sic"), align.restore_glyphs("source_corr", "target_corr").alias("target_corr"))
+    return done.unionByName(cur.where(~some).select("id", "target_sic", "target_corr"))
 
 
 def repair_breaks(spark: SparkSession, d: str) -> DataFrame:
@@ -336,7 +396,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lines_sorted, dedup_last_writer, linked_pairs, boundary_examples, boundary_counts, doc_split, split_examples, class_weight, chains, chain_counts, chain_profile,
-        chain_histogram, heads, context_windows, budget_windows, seq2seq_examples, lexicon, lexicon_hits, canonical_equal, export_diff, export_missing, diff_triage, diff_chars,
+        chain_histogram, chain_report, heads, eval_examples, first_lines, zipped_views, boundary_figures, context_windows, leaping_chains, budget_windows, seq2seq_examples, lexicon, lexicon_hits, canonical_equal, export_diff, export_missing, diff_triage, diff_chars,
         lookback_links, apply_corrections, spans, prf_overall, prf_by_page, prf_by_doc, prf_by_lang, pr_curve, threshold, error_samples, restore_lines, infer_pipeline, facs_urls,
         abbreviation_letters, span_cer, type_breakdown, full_line_cer, restore_glyphs, repair_breaks, repair_counts, normalized, lang_counts, xml_lines, xml_roundtrip, character_table, boundary_model,
     )

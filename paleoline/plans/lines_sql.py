@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from paleoline.functions.text import FOLD_DIAG
+from paleoline.sources.characters import CHARACTERS
 
 CUR = "cur AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file_pos DESC) rn FROM lines WHERE id IS NOT NULL) WHERE rn = 1)"
 KEYS = (
@@ -59,6 +60,8 @@ def _prf(by: str, src: str = "sc") -> str:
 CURVE = f"""{SCORED}, g AS (SELECT prob, count(*) AS n, count(*) FILTER (label = 1) AS p FROM sc GROUP BY prob),
     cv AS (SELECT prob AS threshold, sum(p) OVER w / sum(n) OVER w AS precision, CASE WHEN (SELECT sum(p) FROM g) = 0 THEN 1.0 ELSE sum(p) OVER w / (SELECT sum(p) FROM g) END AS recall FROM g WINDOW w AS (ORDER BY prob DESC))"""
 _FOLD = lambda x: f"translate(regexp_replace({x}, '[⦃⦄]', '', 'g'), '{FOLD_DIAG[0]}', '{FOLD_DIAG[1]}')"
+# The five references that XML knows; the tables hold no other.
+_NFC = lambda x: f"nfc_normalize(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&amp;', '&'))"
 _BARE = lambda x: f"regexp_replace({_FOLD(f'coalesce({x}, chr(32))')}, '[\\s\\p{{Z}}]+', '', 'g')"
 _TOKEN = lambda x: f"regexp_extract({x}, '([^\\s\\p{{Z}}]+)[\\s\\p{{Z}}]*$', 1)"
 _HEAD = lambda x: f"regexp_extract({x}, '^[\\s\\p{{Z}}]*([^\\s\\p{{Z}}]+)', 1)"
@@ -67,9 +70,9 @@ LEXICON = CUR + f", lx AS (SELECT word, count(*) AS n FROM (SELECT lower(trim(un
 EXPORT = (
     CUR
     + f""", fx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY corrected_at DESC NULLS LAST) rn FROM corrections WHERE id IS NOT NULL) WHERE rn = 1),
-    j AS (SELECT fx.id, cur.id IS NULL AS missing, cur.source_sic AS "as", cur.target_sic AS "at", cur.target_corr AS ac, cur.source_sic AS bs, new_target_sic AS bt, new_target_corr AS bc FROM fx LEFT JOIN cur USING (id)),
-    f AS (SELECT *, {_FOLD('"at"')} IS DISTINCT FROM {_FOLD("bt")} AS dt, {_FOLD("ac")} IS DISTINCT FROM {_FOLD("bc")} AS dc FROM j),
-    r AS (SELECT *, CASE WHEN missing THEN 'missing_in_A' WHEN dt OR dc THEN 'differences_found' ELSE 'match' END AS status FROM f)"""
+    j AS (SELECT fx.id, cur.id IS NULL AS missing, {_NFC("cur.source_sic")} AS "as", {_NFC("cur.target_sic")} AS "at", {_NFC("cur.target_corr")} AS ac, {_NFC("coalesce(new_source_corr, cur.source_sic)")} AS bs, {_NFC("new_target_sic")} AS bt, {_NFC("new_target_corr")} AS bc FROM fx LEFT JOIN cur USING (id)),
+    f AS (SELECT *, {_FOLD('"at"')} IS DISTINCT FROM {_FOLD("bt")} AS dt, {_FOLD("ac")} IS DISTINCT FROM {_FOLD("bc")} AS dc, {_FOLD('"as"')} IS DISTINCT FROM {_FOLD("bs")} AS ds FROM j),
+    r AS (SELECT *, CASE WHEN missing THEN 'missing_in_A' WHEN dt OR dc OR ds THEN 'differences_found' ELSE 'match' END AS status FROM f)"""
 )
 _WINDOW = """, e AS (SELECT doc_id, head_pos, arg_max(pos, pos_in_chain) AS last_pos FROM c GROUP BY ALL),
     m AS (SELECT e.doc_id, e.head_pos, s.*EXCLUDE (doc_id), lead(s.id) OVER (PARTITION BY e.doc_id, e.head_pos ORDER BY s.pos) AS nid FROM e JOIN s ON s.doc_id = e.doc_id AND s.pos BETWEEN e.head_pos - 2 AND e.last_pos + 2),
@@ -113,7 +116,7 @@ SQL = {
     "export_diff": f"""WITH {EXPORT} SELECT id, status, NULL AS field, NULL AS a, NULL AS b FROM r WHERE status <> 'differences_found' UNION ALL SELECT id, status, 'target', "at", bt FROM r WHERE status = 'differences_found' AND dt
         UNION ALL SELECT id, status, 'target_corr', ac, bc FROM r WHERE status = 'differences_found' AND dc UNION ALL SELECT id, status, 'source', "as", bs FROM r WHERE status = 'differences_found'""",
     "export_missing": f"WITH {EXPORT} SELECT id FROM r WHERE missing",
-    "diff_triage": f"""WITH {EXPORT} SELECT CASE WHEN (NOT dt OR {_BARE('"at"')} = {_BARE("bt")}) AND (NOT dc OR {_BARE("ac")} = {_BARE("bc")}) THEN 'blank_only' ELSE 'real' END AS kind, count(*) AS n FROM r WHERE status = 'differences_found' GROUP BY 1""",
+    "diff_triage": f"""WITH {EXPORT} SELECT CASE WHEN (NOT dt OR {_BARE('"at"')} = {_BARE("bt")}) AND (NOT dc OR {_BARE("ac")} = {_BARE("bc")}) AND {_BARE('"as"')} = {_BARE("bs")} THEN 'blank_only' ELSE 'real' END AS kind, count(*) AS n FROM r WHERE status = 'differences_found' GROUP BY 1""",
     "lookback_links": f"""WITH a AS (SELECT id, file_pos FROM lines WHERE source_sic <> '' AND target_sic <> '' AND translate(left(source_sic, 1), '{FOLD_DIAG[0]}', '{FOLD_DIAG[1]}') <> translate(left(target_sic, 1), '{FOLD_DIAG[0]}', '{FOLD_DIAG[1]}')),
         j AS (SELECT a.id, p.id AS preceding_id, {_TOKEN("coalesce(p.source_sic, '')")} AS last_src_token, {_TOKEN("coalesce(p.target_sic, '')")} AS last_trg_token, row_number() OVER (PARTITION BY a.id, a.file_pos ORDER BY p.file_pos DESC) rn
             FROM a JOIN lines p ON p.nonbreaking_next_line = a.id WHERE a.file_pos - p.file_pos BETWEEN 1 AND 25)
@@ -125,7 +128,7 @@ SQL = {
     "prf_by_page": f"WITH {SCORED} {_prf('crosses_page_break')}",
     "prf_by_doc": f"WITH {SCORED} {_prf('doc_id')}",
     "prf_by_lang": f"WITH {SCORED}, sl AS (SELECT * EXCLUDE (lang), unnest(lang) AS lang FROM sc) {_prf('lang', 'sl')}",
-    "pr_curve": f"WITH {CURVE} SELECT threshold, precision, recall FROM cv",
+    "pr_curve": f"WITH {CURVE} SELECT threshold, precision, recall FROM cv UNION ALL SELECT NULL, 1.0, 0.0",
     "threshold": f"WITH {CURVE} SELECT coalesce(min(threshold) FILTER (precision >= 0.9), 0.9) AS threshold FROM cv",
     "error_samples": f"""WITH {SCORED}, e AS (SELECT boundary_id, prob, CASE WHEN prob >= 0.6 AND label = 0 THEN 'false_positive' WHEN prob < 0.6 AND label = 1 THEN 'false_negative' END AS kind FROM sc),
         f AS (SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY boundary_id) AS INT) AS rank, boundary_id, prob FROM e WHERE kind IS NOT NULL) SELECT * FROM f WHERE rank <= 20""",
@@ -134,4 +137,21 @@ SQL = {
     "xml_lines": f"WITH {CUR}, x AS (SELECT id, coalesce(doc_id, '') AS doc_id, regexp_replace(regexp_replace(trim(regexp_replace(coalesce(source_sic, ''), '[ \\t\\r\\n]+', ' ', 'g'), ' '), '⦃ *', '⦃', 'g'), ' *⦄', '⦄', 'g') AS t FROM cur) SELECT id, doc_id, t AS source_sic, t AS target_corr, 'p' AS ancestor_type, 'false' AS is_in_note FROM x",
     "lang_counts": f"WITH {CUR} SELECT lang, count(*) AS n FROM (SELECT unnest(list_distinct(lang)) AS lang FROM cur) WHERE lang <> '' GROUP BY lang",
     "normalized": f"WITH {CUR} SELECT id, nfc_normalize(source_sic) AS source_sic, nfc_normalize(source_corr) AS source_corr, nfc_normalize(target_sic) AS target_sic, nfc_normalize(target_corr) AS target_corr FROM cur",
+    "first_lines": "SELECT file_pos, id, source_sic FROM lines ORDER BY file_pos LIMIT 1000",
+    "zipped_views": """WITH i AS (SELECT source_sic AS input, row_number() OVER (ORDER BY file_pos) - 1 AS pos FROM lines WHERE source_sic IS NOT NULL),
+        o AS (SELECT target_sic AS output, row_number() OVER (ORDER BY file_pos) - 1 AS pos FROM lines WHERE target_sic IS NOT NULL),
+        t AS (SELECT target_corr AS target, row_number() OVER (ORDER BY file_pos) - 1 AS pos FROM lines WHERE target_corr IS NOT NULL)
+        SELECT pos, input, output, target FROM i JOIN o USING (pos) JOIN t USING (pos)""",
+    "eval_examples": f"""WITH {CHAINS} {_WINDOW}, {_split('lines')},
+        x AS (SELECT d.split, cw.doc_id, cw.head_pos, regexp_replace(source, '[⦃⦄]', '', 'g') AS source, target FROM cw JOIN d ON d.doc_id = cw.doc_id)
+        SELECT v.split, x.* EXCLUDE (split) FROM x JOIN (VALUES ('val'), ('test')) v(split) ON x.split = CASE WHEN EXISTS (SELECT 1 FROM x y WHERE y.split = v.split) THEN v.split ELSE 'train' END""",
+    "chain_report": f"""WITH {PROFILES}, p AS (SELECT count(*) AS c, sum(n_bytes) / count(*) AS m, max(n_bytes) AS x, list_sort(list(n_bytes))[CAST(floor(count(*) * 0.95) AS BIGINT) + 1] AS a, list_sort(list(n_bytes))[CAST(floor(count(*) * 0.99) AS BIGINT) + 1] AS b FROM pr)
+        SELECT CAST(k - 1 AS INT) AS n, line FROM (SELECT unnest(v) AS line, generate_subscripts(v, 1) AS k FROM (SELECT ['Chains of linked lines', 'chains: ' || c, 'mean_bytes: ' || printf('%.2f', m), 'max_bytes: ' || x, 'p95: ' || a, 'p99: ' || b] AS v FROM p))
+        UNION ALL SELECT CAST(n_lines + 100 AS INT), printf('%d lines: %d chains (%.2f %%)', n_lines, count(*), 100 * count(*) / sum(count(*)) OVER ()) FROM pr GROUP BY n_lines""",
+    "boundary_figures": f"""WITH {CURVE}, o AS ({_prf('')}), e AS (SELECT count(*) FILTER (prob >= 0.6 AND label = 0) AS fp, count(*) FILTER (prob < 0.6 AND label = 1) AS fn FROM sc)
+        SELECT n, precision, recall, (SELECT coalesce(min(threshold) FILTER (precision >= 0.9), 0.9) FROM cv) AS threshold, (SELECT count(DISTINCT doc_id) + count(DISTINCT doc_id IS NULL) FILTER (doc_id IS NULL) FROM sc)::INT AS docs, (SELECT count(*) + 1 FROM cv)::INT AS points, (SELECT least(fp, 20) + least(fn, 20) FROM e)::INT AS errors FROM o""",
+    "abbreviation_letters": f"""WITH {CUR}, m AS (SELECT id, source_sic, regexp_matches(source_sic, '[\\p{{M}}\\p{{Co}}]') OR regexp_matches(regexp_replace(source_sic, '[a-zA-Z]', '', 'g'), '\\p{{L}}') AS h, {_TOKEN("source_sic")} AS l, {_HEAD("source_sic")} AS f FROM cur)
+        SELECT id, h AS has_letters, CASE WHEN l = '' THEN source_sic ELSE l END AS last_token, CASE WHEN f = '' THEN source_sic ELSE f END AS first_token FROM m""",
+    "leaping_chains": f"WITH {CHAINS}, e AS (SELECT doc_id, head_pos, arg_max(pos, pos_in_chain) - head_pos AS w FROM c GROUP BY doc_id, head_pos) SELECT count(*) FILTER (w > 10000) AS leaping, max(w) FILTER (w <= 10000) AS widest FROM e",
+    "character_table": "SELECT '#' || id AS ref, '' AS text, coalesce(precomposed, composed, standardized, '@') AS glyph FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in CHARACTERS) + ") v(id, precomposed, composed, standardized)",
 }
