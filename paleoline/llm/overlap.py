@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from paleoline.session import current, materialise, small_or_plain
 LEAST, SHORT, Q_SHORT, Q_LONG = 50, 128, 6, 7
 #: Partners of short lines have at most, and of long ones at least, so many letters.
 MOST_SHORT, LEAST_LONG = (SHORT - 1) * 10 // 9, SHORT * 9 // 10
-COUNT_BITS, SLICES = 20, 64
+COUNT_BITS, SLICES, FAN_IN = 20, 64, 256
 #: A filter has at least so many bits a key, up to ``MOST_BITS``, which bounds what is broadcast (32 MB each); with fewer than ``LEAST_BITS_A_KEY`` left it is no use and the probes are sieved by a shuffle join instead.
 BITS_A_KEY, MOST_BITS, LEAST_BITS_A_KEY, SLICE_BITS = 32, 1 << 28, 4, 1 << 18
 
@@ -84,7 +85,7 @@ def _count_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for half, (q, texts) in enumerate(((Q_SHORT, [t for t in b["t"] if len(t) <= MOST_SHORT]), (Q_LONG, [t for t in b["t"] if len(t) >= LEAST_LONG]))):
             counts[half] += np.bincount(_bucket(_Flat(texts, q).code), minlength=1 << COUNT_BITS).astype(np.uint32)
-    yield pd.DataFrame({"slice": range(SLICES), "counts": [x.tobytes() for x in np.split(counts.ravel(), SLICES)]})
+    yield pd.DataFrame({"slice": range(SLICES), "part": TaskContext.get().partitionId(), "counts": [x.tobytes() for x in np.split(counts.ravel(), SLICES)]})
 
 
 def _bucket(code: np.ndarray) -> np.ndarray:
@@ -95,7 +96,20 @@ def _add_slices(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros((2 << COUNT_BITS) // SLICES, np.uint64)
     for x in b["counts"]:
         total += np.frombuffer(x, np.uint32)
-    return pd.DataFrame({"slice": [key[0]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+    return pd.DataFrame({"slice": [key[0]], "part": [key[1]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+
+
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How often each bucket of shingles occurs in all of ``texts`` (``t``): one row for short lines, one for long ones. Tasks are added up at most ``FAN_IN`` at a time (32 MB), however many there are."""
+    tasks = texts.rdd.getNumPartitions()
+    rows = texts.mapInPandas(_count_shingles, "slice int, part int, counts binary")
+    while tasks:
+        tasks = -(-tasks // FAN_IN) if tasks > FAN_IN else 0
+        rows = rows.withColumn("part", F.expr(f"cast(part div {FAN_IN} as int)") if tasks else F.lit(0)).groupBy("slice", "part").applyInPandas(_add_slices, "slice int, part int, counts binary")
+    out = np.zeros((SLICES, (2 << COUNT_BITS) // SLICES), np.uint32)
+    for r in rows.collect():
+        out[r["slice"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.reshape(2, -1)
 
 
 def _rarest_disjoint(cost: np.ndarray, need: np.ndarray, q: int) -> np.ndarray:
@@ -337,11 +351,7 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
     parts = (classes.agg(F.max("pid")).first()[0] or 0) + 1
     classes = classes.withColumn("num", F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) * parts + F.col("pid")).drop("row", "pid")
 
-    slices = classes.where("tr = 1").select("t").mapInPandas(_count_shingles, "slice int, counts binary").groupBy("slice").applyInPandas(_add_slices, "slice int, counts binary").collect()
-    counts = np.zeros((SLICES, (2 << COUNT_BITS) // SLICES), np.uint32)
-    for r in slices:
-        counts[r["slice"]] = np.frombuffer(r["counts"], np.uint32)
-    sent = spark.sparkContext.broadcast(counts.reshape(2, -1))
+    sent = spark.sparkContext.broadcast(shingle_counts(classes.where("tr = 1").select("t")))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _blocks(batches, 4096):

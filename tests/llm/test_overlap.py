@@ -93,3 +93,14 @@ def test_long_prefix_leaves_enough():
     f = ov._Flat(["".join(rng.choice("abcde") for _ in range(n)) for n in (128, 129, 500, 4001)], ov.Q_LONG)
     at, size = ov.long_prefix(f, np.random.default_rng(1).integers(0, 99, 1 << ov.COUNT_BITS))
     assert (np.bincount(f.owner[at]) == size).all() and (size - ov.most_edits(f.n) >= 2).all() and (f.place[at] % ov.Q_LONG == 0).all()
+
+
+def test_shingle_counts_in_levels(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice([60, 150]))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(30)
+    one = ov.shingle_counts(df)
+    monkeypatch.setattr(ov, "FAN_IN", 3)
+    assert (ov.shingle_counts(df) == one).all()
+    for half, q, some in ((0, ov.Q_SHORT, [t for t in texts if len(t) <= ov.MOST_SHORT]), (1, ov.Q_LONG, [t for t in texts if len(t) >= ov.LEAST_LONG])):
+        assert (np.bincount(ov._bucket(ov._Flat(some, q).code), minlength=1 << ov.COUNT_BITS) == one[half]).all() and one[half].sum() == sum(len(t) - q + 1 for t in some)
