@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
@@ -29,7 +31,7 @@ def encode(pairs: DataFrame, known: DataFrame | None = None, strip: bool = False
     return rows.withColumn("_w", word).join(hit, "_w", "left").withColumn("known", F.coalesce("known", F.lit(0.0))).drop("_w")
 
 
-def fit(examples: DataFrame, known: DataFrame | None = None, cap: float = 8.0, strip: bool = False) -> PipelineModel:
+def fit(examples: DataFrame, known: DataFrame | None = None, cap: float = 8.0, strip: bool = False, iterations: int = 25) -> PipelineModel:
     """Weighted logistic regression on hashed letter groups and the lexicon bit; positives weigh negatives per positive, at most ``cap``."""
     rows = encode(examples.where("label is not null"), known, strip)
     n = rows.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
@@ -38,10 +40,18 @@ def fit(examples: DataFrame, known: DataFrame | None = None, cap: float = 8.0, s
     stages = [RegexTokenizer(inputCol="text", outputCol="c", pattern=".", gaps=False, toLowercase=True, minTokenLength=1)]
     for k in (2, 3, 4):
         stages += [NGram(n=k, inputCol="c", outputCol=f"g{k}"), HashingTF(inputCol=f"g{k}", outputCol=f"h{k}", numFeatures=1 << 15, binary=True)]
-    stages += [VectorAssembler(inputCols=["h2", "h3", "h4", "known"], outputCol="features"), LogisticRegression(weightCol="weight", maxIter=25, regParam=1e-3)]
+    stages += [VectorAssembler(inputCols=["h2", "h3", "h4", "known"], outputCol="features"), LogisticRegression(weightCol="weight", maxIter=iterations, regParam=1e-3)]
     return Pipeline(stages=stages).fit(rows)
 
 
+def fit_best(examples: DataFrame, validation: DataFrame, known: DataFrame | None = None, epochs: tuple[int, ...] = (5, 10, 20, 40), threshold: float = 0.6) -> tuple[PipelineModel, int]:
+    """The model of the number of iterations with the best precision on ``validation``, and that number; of equal ones the longer fit."""
+    models = {n: fit(examples, known, iterations=n) for n in epochs}
+    tried = [metrics.prf(scorer(m, known)(validation), [], threshold).select(F.lit(n).alias("epoch"), "precision") for n, m in models.items()]
+    best = best_epoch(reduce(DataFrame.unionByName, tried)).first()["epoch"]
+    return models[best], best
+
+
 def scorer(model: PipelineModel, known: DataFrame | None = None, strip: bool = False):  # noqa: ANN201
     """A scorer for :func:`paleoline.operators.infer.run_pipeline`: adds ``prob``."""
 

@@ -388,7 +388,7 @@ def boundary_model(spark: SparkSession, d: str) -> DataFrame:
     split = materialise(ex.document_split(rows), "split")
     rows = materialise(rows.join(split, "doc_id"), "boundary-rows")
     known = materialise(ex.lexicon(current(_lines(spark, d), "target_corr")), "lexicon")
-    model = bm.fit(rows.where("split = 'train'"), known)
+    model, _ = bm.fit_best(rows.where("split = 'train'"), rt.or_all(rows.where("split = 'val'"), rows.where("split = 'train'")), known, (10, 25))
     return bm.report(bm.scorer(model, known)(rows.where("split = 'test'")))
 
 
