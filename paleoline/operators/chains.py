@@ -24,7 +24,7 @@ def chains(ordered: DataFrame, link: str = "nonbreaking_next_line") -> DataFrame
     nodes = jump.select("doc_id", "pos").unionByName(jump.select("doc_id", F.col("next").alias("pos"))).distinct()
     best = materialise(nodes.select("doc_id", "pos", F.struct(F.col("pos").alias("head"), F.lit(0).alias("dist")).alias("first")).withColumn("old", F.col("first")), "chain-0")
     step = 1
-    while not jump.isEmpty():
+    while True:  # ends in the first round that changes nothing
         handed = jump.join(best, ["doc_id", "pos"]).select("doc_id", F.col("next").alias("pos"), F.struct(F.col("first.head"), (F.col("first.dist") + step).alias("dist")).alias("first"))
         own = best.select("doc_id", "pos", "first", F.col("first").alias("old"))
         new = own.unionByName(handed, allowMissingColumns=True).groupBy("doc_id", "pos").agg(F.min("first").alias("first"), F.min("old").alias("old"))

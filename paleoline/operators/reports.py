@@ -40,6 +40,24 @@ def load_threshold(spark: SparkSession, path: str | None, default: float = 0.6)
     return default if row is None or row[0] is None else row[0]
 
 
+def latest_checkpoint(spark: SparkSession, path: str, prefix: str = "checkpoint-", needs: tuple[tuple[str, ...], ...] = (("model.safetensors", "pytorch_model.bin", "adapter_model.safetensors"), ("trainer_state.json",))) -> str | None:
+    """The checkpoint folder below ``path`` with the highest number, if it has a file of each group of ``needs``; else the one before it, if that has; else nothing."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    found = []
+    for s in fs.listStatus(root):
+        name = s.getPath().getName()
+        if s.isDirectory() and name.startswith(prefix) and name.removeprefix(prefix).isdigit():
+            found.append((int(name.removeprefix(prefix)), name))
+    for _, name in sorted(found)[:-3:-1]:
+        held = {s.getPath().getName() for s in fs.listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, name))}
+        if all(held & set(group) for group in needs):
+            return f"{path.rstrip('/')}/{name}"
+    return None
+
+
 def numeric_suffix(name: Column | str) -> Column:
     """The number at the end of a name, to sort names like ``checkpoint-900`` and ``checkpoint-1000`` by; null without one."""
     return F.regexp_extract(name, r"([0-9]+)$", 1).try_cast("bigint")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paleoline.functions import align
 from paleoline.functions import text as tx
+from paleoline.functions import tokens as tk
 from paleoline.operators import chains as ch
 from paleoline.operators import compare as cp
 from paleoline.operators import examples as ex
@@ -314,6 +315,24 @@ def full_line_cer(spark: SparkSession, d: str) -> DataFrame:
     return cur.agg(F.count("*").alias("n"), mt.cer(F.col("target_sic"), F.col("target_corr")).alias("full_line_cer"))
 
 
+def validation_metrics(spark: SparkSession, d: str, cap: int = 10_000) -> DataFrame:
+    """The figures of a validation during training, over the first ``cap`` inputs in order: error rate of whole lines, and of spans, rounded."""
+    cur = current(_lines(spark, d), "source_sic", "target_sic", "target_corr", "file_pos").where("source_sic is not null and target_sic is not null and target_corr is not null")
+    held = materialise(rt.head(cur, cap, ["file_pos"]), "validation")
+    whole = held.agg(F.count("*").alias("n_lines"), F.round(mt.cer(F.col("target_sic"), F.col("target_corr")), 4).alias("full_line_cer"))
+    s = held.where(F.col("source_sic").contains(tx.ABBR_OPEN)).select(F.explode(align.span_results("source_sic", "target_sic", "target_corr")).alias("s")).select("s.*")
+    exact = F.count_if(F.col("gold") == F.col("predicted"))
+    spans = s.agg(F.count("*").alias("n_spans"), F.round(mt.cer(F.col("predicted"), F.col("gold")), 4).alias("span_cer"), F.round(F.when(F.count("*") > 0, exact / F.count("*")).otherwise(0.0), 4).alias("span_exact_match"))
+    return whole.crossJoin(spans)
+
+
+def byte_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Byte tokens of each source, at most 256: their number, sum, and the text they give back."""
+    ids = tk.byte_ids("source_sic", 256)
+    cur = current(_lines(spark, d), "source_sic").where("source_sic is not null").select("id", ids.alias("ids"))
+    return cur.select("id", F.size("ids").alias("n_tokens"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"), tk.text_of_ids(tk.labels("ids")).alias("text"))
+
+
 def restore_glyphs(spark: SparkSession, d: str) -> DataFrame:
     """Glyphs of ``source_sic`` put back into ``target_sic``, and of ``source_corr`` into ``target_corr``; only lines that have one leave the engine."""
     cur = current(_lines(spark, d), "source_sic", "source_corr", "target_sic", "target_corr")
@@ -398,6 +417,6 @@ QUERIES = {
         lines_sorted, dedup_last_writer, linked_pairs, boundary_examples, boundary_counts, doc_split, split_examples, class_weight, chains, chain_counts, chain_profile,
         chain_histogram, chain_report, heads, eval_examples, first_lines, zipped_views, boundary_figures, context_windows, leaping_chains, budget_windows, seq2seq_examples, lexicon, lexicon_hits, canonical_equal, export_diff, export_missing, diff_triage, diff_chars,
         lookback_links, apply_corrections, spans, prf_overall, prf_by_page, prf_by_doc, prf_by_lang, pr_curve, threshold, error_samples, restore_lines, infer_pipeline, facs_urls,
-        abbreviation_letters, span_cer, type_breakdown, full_line_cer, restore_glyphs, repair_breaks, repair_counts, normalized, lang_counts, xml_lines, xml_roundtrip, character_table, boundary_model,
+        abbreviation_letters, span_cer, type_breakdown, full_line_cer, validation_metrics, byte_tokens, restore_glyphs, repair_breaks, repair_counts, normalized, lang_counts, xml_lines, xml_roundtrip, character_table, boundary_model,
     )
 }

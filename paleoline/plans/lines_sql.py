@@ -154,4 +154,9 @@ SQL = {
         SELECT id, h AS has_letters, CASE WHEN l = '' THEN source_sic ELSE l END AS last_token, CASE WHEN f = '' THEN source_sic ELSE f END AS first_token FROM m""",
     "leaping_chains": f"WITH {CHAINS}, e AS (SELECT doc_id, head_pos, arg_max(pos, pos_in_chain) - head_pos AS w FROM c GROUP BY doc_id, head_pos) SELECT count(*) FILTER (w > 10000) AS leaping, max(w) FILTER (w <= 10000) AS widest FROM e",
     "character_table": "SELECT '#' || id AS ref, '' AS text, coalesce(precomposed, composed, standardized, '@') AS glyph FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in CHARACTERS) + ") v(id, precomposed, composed, standardized)",
+    "byte_tokens": f"""WITH {CUR}, x AS (SELECT id, source_sic AS t, hex(encode(source_sic)) AS h FROM cur WHERE source_sic IS NOT NULL),
+        y AS (SELECT id, t, h[:2 * least(strlen(t), 255)] AS h FROM x),
+        z AS (SELECT id, t, h, coalesce(list_sum(list_transform(range(1, len(h), 2), lambda k: (strpos('0123456789ABCDEF', h[k]) - 1) * 16 + strpos('0123456789ABCDEF', h[k + 1]) - 1 + 3)), 0) + 1 AS s,
+            list_filter(range(0, length(t) + 1), lambda k: strlen(left(t, k)) <= 255) AS fits FROM y)
+        SELECT id, CAST(len(h) // 2 + 1 AS INT) AS n_tokens, CAST(s AS BIGINT) AS id_sum, left(t, fits[-1]) AS text FROM z""",
 }

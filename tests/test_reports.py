@@ -147,3 +147,28 @@ def test_repairs_go_in_input_order(spark, make_lines):
     one = [{"id": ids[0], "nonbreaking_next_line": "W1-00-0001-lb-0003", "file_pos": 9, **v("et volun", "et volu")}, {"id": ids[1], "nonbreaking_next_line": "W1-00-0001-lb-0003", "file_pos": 2, **v("al volun", "al volu")}, {"id": "W1-00-0001-lb-0003", "file_pos": 3, **v("tas", "ntas")}]
     got = {r["id"]: r["target_sic"] for r in rp.break_repairs(make_lines(one)).collect()}
     assert got[ids[1]] == "al volun" and ids[0] not in got or got.get(ids[0]) == "et volu"
+
+
+def test_byte_tokens(spark):
+    from paleoline.functions import tokens as tk
+
+    df = spark.createDataFrame([("aé",), ("",), (None,), ("x" * 9,), ("éééé",)], "t string")
+    got = [(r[0], r[1]) for r in df.select(tk.byte_ids("t", 8), tk.text_of_ids(tk.labels(tk.byte_ids("t", 8)))).collect()]
+    assert got == [([100, 198, 172, 1], "aé"), ([1], ""), (None, None), ([123] * 7 + [1], "x" * 7), ([198, 172] * 3 + [198, 1], "ééé")]
+    ids = spark.createDataFrame([([0, 100, -100, 1, 2, 300, 101],)], "i array<int>")
+    assert ids.select(tk.labels("i"), tk.text_of_ids("i")).first()[:] == ([-100, 100, -100, 1, 2, 300, 101], "ab")
+
+
+def test_latest_checkpoint(spark, tmp_path):
+    assert rt.latest_checkpoint(spark, str(tmp_path / "none")) is None
+    for n, files in ((900, ["model.safetensors", "trainer_state.json"]), (1000, ["trainer_state.json"]), (50, [])):
+        (tmp_path / f"checkpoint-{n}").mkdir()
+        for f in files:
+            (tmp_path / f"checkpoint-{n}" / f).write_text("")
+    (tmp_path / "checkpoint-x").mkdir()
+    assert rt.latest_checkpoint(spark, str(tmp_path)).endswith("checkpoint-900")
+    (tmp_path / "checkpoint-1000" / "pytorch_model.bin").write_text("")
+    assert rt.latest_checkpoint(spark, str(tmp_path)).endswith("checkpoint-1000")
+    (tmp_path / "checkpoint-1100").mkdir()
+    (tmp_path / "checkpoint-1200").mkdir()
+    assert rt.latest_checkpoint(spark, str(tmp_path)) is None
