@@ -287,7 +287,7 @@ def train(lines: DataFrame, per_language: int = SAMPLE_LINES) -> Model:
     """Fit on the lines' own labels, drop training lines that the first fit finds in another language, fit again, calibrate.
 
     The engine's workers read the sample's texts; only distinct words with their counts, and a dozen numbers of each line
-    held out, come to the driver, both bounded by the sample.
+    held out, come to the driver, both bounded by the sample. Without any labelled line the model rejects everything.
     """
     sample = materialise(training_sample(lines, per_language), "language-sample")
     k = len(LANGUAGES)
@@ -295,7 +295,7 @@ def train(lines: DataFrame, per_language: int = SAMPLE_LINES) -> Model:
     for _ in range(2):
         words, counts = _word_counts(sample, model)
         if not words:
-            return model or Model(np.zeros((8, 4), np.float32), np.zeros((4, k), np.float32), np.zeros(k, np.float32), np.zeros(SEEN, np.uint8))
+            return model or Model(np.zeros((8, 4), np.float32), np.zeros((4, k), np.float32), np.zeros(k, np.float32), np.zeros(SEEN, np.uint8), known=(2.0, 1.0, 0.0))
         model = fit(words, counts)
     _calibrate(model, sample)
     model.memo.clear()

@@ -204,7 +204,7 @@ def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 #: Share of a text's distinct letters that repeated segments must cover, share of a segment's texts that are so covered, and letters of a text for each copy it needs.
-COVERED, PURE, LETTERS_A_COPY = 0.75, 0.5, 20
+COVERED, PURE, LETTERS_A_COPY = 0.75, 0.5, 10
 
 
 def segments(rows: DataFrame) -> DataFrame:
@@ -252,8 +252,10 @@ def repeated_answers(docs: DataFrame, texts: DataFrame, least_copies: int = 3, l
     are enough where words of notices support it. No list of phrases takes part, so any language counts.
 
     A segment is counted where it stands before it is shuffled, and only hashes and counts are; rows of repeated
-    segments are found by a broadcast only if their number is proven small.
+    segments are found by a broadcast only if their number is proven small. ``least_hosts`` is 1 or 2.
     """
+    if least_hosts not in (1, 2):
+        raise ValueError("least_hosts is 1 or 2")
     each = docs.select("row", "host", "title", F.explode("segs").alias("s")).select("row", "host", "title", "s.h", "s.n")
     stat = each.groupBy("h").agg(F.count("*").alias("copies"), F.min("host").alias("h0"), F.max("host").alias("h1"), F.min("title").alias("t0"), F.max("title").alias("t1"))
     none = F.xxhash64(F.lit(""))
