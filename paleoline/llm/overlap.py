@@ -25,8 +25,8 @@ LEAST, SHORT, Q_SHORT, Q_LONG = 50, 128, 6, 7
 #: Partners of short lines have at most, and of long ones at least, so many letters.
 MOST_SHORT, LEAST_LONG = (SHORT - 1) * 10 // 9, SHORT * 9 // 10
 COUNT_BITS, SLICES, FAN_IN = 20, 64, 256
-#: A filter has at least so many bits a key, up to ``MOST_BITS``, which bounds what is broadcast (32 MB each); with fewer than ``LEAST_BITS_A_KEY`` left it is no use and the probes are sieved by a shuffle join instead.
-BITS_A_KEY, MOST_BITS, LEAST_BITS_A_KEY, SLICE_BITS = 32, 1 << 28, 4, 1 << 18
+#: A filter has at least so many bits a key, up to ``MOST_BITS``, which bounds what is broadcast (16 MB each); with fewer than ``SHARP_BITS`` left, short lines are joined on single shingles, and with fewer than ``LEAST_BITS`` the filter is left out.
+BITS_A_KEY, MOST_BITS, SHARP_BITS, LEAST_BITS, SLICE_BITS = 32, 1 << 27, 8, 2, 1 << 18
 
 #: Letter counts at which a bit of the signature is set, per letter; an edit changes at most two counts by one, so it flips at most two bits.
 #: 64 bits, around the usual counts in a line of about sixty letters, where they tell most.
@@ -249,16 +249,16 @@ class _Sieve:
     """A filter of keys, sized by their number and built by the engine, each task its own range of keys.
 
     A key's word is its upper bits, and three bits in it are set; the filter only saves rows that can't match. ``sharp``
-    tells whether it has enough bits for its keys.
+    tells whether it has enough bits to drop nearly all others, ``useful`` to drop some.
     """
 
     def __init__(self, keys: DataFrame) -> None:
         spark = keys.sparkSession
         n = keys.count()
         bits = min(MOST_BITS, 1 << max(10, int(BITS_A_KEY * n - 1).bit_length() if n else 0))
-        self.sharp = bits >= LEAST_BITS_A_KEY * n
+        self.sharp, self.useful = bits >= SHARP_BITS * n, bits >= LEAST_BITS * n
         self.word_bits = bits.bit_length() - 7
-        if not self.sharp:
+        if not self.useful:
             return
         per_slice = min(SLICE_BITS, bits) // 64
         shift = 64 - self.word_bits + per_slice.bit_length() - 1
@@ -283,13 +283,19 @@ class _Sieve:
         return (u >> np.uint64(64 - self.word_bits)).astype(np.int64), mask
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
-        """Numbers of the keys that may be held; all of them if the filter isn't sharp."""
-        if not self.sharp:
+        """Numbers of the keys that may be held; all of them if the filter isn't useful."""
+        if not self.useful:
             return np.arange(len(key))
         word, mask = self.place(key)
         return np.flatnonzero((self.sent.value[word] & mask) == mask)
 
 
+def _single_rows(f: _Flat, k: np.ndarray, key: np.ndarray, num: np.ndarray, name: str) -> pd.DataFrame:
+    """One row for every shingle ``k`` and its key."""
+    o = f.owner[k]
+    return pd.DataFrame({"key": key, name: num[o], f"p_{name}": f.n[o] << 32 | f.place[k], f"s_{name}": f.signature()[o]})
+
+
 def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     for b in batches:
         for lo in range(0, len(b), size):
@@ -308,6 +314,13 @@ def _index_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _short_rows(f, at, b["num"].to_numpy(), "ev")
 
 
+def _index_single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in _blocks(batches, 2000):
+        f, at, _ = _chosen(b)
+        k, key = _near_keys(f.code[at], f.n[f.owner[at]], f.place[at])
+        yield _single_rows(f, at[k], key, b["num"].to_numpy(), "ev")
+
+
 def levelled_lines(lines: DataFrame, works: DataFrame) -> DataFrame:
     """Current lines of works with a split and at least 50 levelled letters: ``id``, ``split``, ``source_id``, ``cid``, ``t``."""
     split = works.where("doc_id is not null and split in ('train', 'val', 'test')").groupBy("doc_id").agg(F.min("split").alias("split"), F.min("source_id").alias("source_id"))
@@ -336,9 +349,11 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
     place from both ends; places, lengths and a signature of letter counts filter within the join.
 
     What evaluation lines hold sieves the probes before they are shuffled: two shingles are formed only of shingles that
-    some evaluation line may have chosen near that place. Up to ``MOST_BITS`` that is done by filters sized by the number
-    of keys (and 8 MB of shingle counts); beyond, all shingles of training lines meet the keys of the index in a
-    shuffle join first, one row a shingle whatever the data's size, and only those that are left form pairs.
+    some evaluation line may have chosen near that place, by filters sized by the number of keys (and 8 MB of shingle
+    counts). Unrelated lines share two shingles by chance the more often the more lines there are, so where ``MOST_BITS``
+    aren't enough for the keys, the lines meet on single chosen shingles instead, of which two must match: at most one row
+    is shuffled for every shingle of a training line, however many evaluation lines there are, and places, lengths and
+    signatures filter before anything is shuffled again.
 
     Defined cases: null or short texts, null ids and documents without a split are in no pair; of repeated ids the
     current row counts; texts of any length are compared whole; empty tables give no rows.
@@ -366,25 +381,23 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
 
     ev, tr = classes.where("ev = 1").select("num", "t"), classes.where("tr = 1").select("num", "t")
     chosen = materialise(ev.where(F.length("t") < SHORT).mapInPandas(choose, "num bigint, t string, places array<int>"), "overlap-prefixes")
-    two = materialise(chosen.mapInPandas(_index_short, "key bigint, ev bigint, p_ev bigint, s_ev bigint"), "overlap-index")
     one = materialise(ev.where(F.length("t") >= SHORT).mapInPandas(index_long, "key bigint, ev bigint, p_ev bigint, size bigint"), "overlap-index-long")
     near_keys = materialise(chosen.mapInPandas(_all_near_keys, "key bigint"), "overlap-near")
-    near, known, known_long = _Sieve(near_keys), _Sieve(two.select("key")), _Sieve(one.select("key"))
+    near, known_long = _Sieve(near_keys), _Sieve(one.select("key"))
+    two = materialise(chosen.mapInPandas(_index_short, "key bigint, ev bigint, p_ev bigint, s_ev bigint"), "overlap-index") if near.sharp else None
+    known = _Sieve(two.select("key")) if near.sharp else None
 
     def probe_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _blocks(batches, 2000):
             f = _Flat(b["t"].tolist(), Q_SHORT)
             yield _short_rows(f, near(_own_keys(f)), b["num"].to_numpy(), "tr", known)
 
-    def all_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def probe_single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _blocks(batches, 2000):
             f = _Flat(b["t"].tolist(), Q_SHORT)
-            yield pd.DataFrame({"key": _own_keys(f), "num": b["num"].to_numpy()[f.owner], "place": f.place})
-
-    def probe_left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _blocks(batches, 2000):
-            f, at, _ = _chosen(b)
-            yield _short_rows(f, at, b["num"].to_numpy(), "tr", known)
+            key = _own_keys(f)
+            k = near(key)
+            yield _single_rows(f, k, key[k], b["num"].to_numpy(), "tr")
 
     def probe_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _blocks(batches, 2000):
@@ -394,19 +407,20 @@ def cross_split_pairs(lines: DataFrame, works: DataFrame) -> DataFrame:
             yield _long_rows(f, k, key[k], b["num"].to_numpy(), "tr")
 
     probing = tr.where(F.length("t") <= MOST_SHORT)
-    row = "key bigint, tr bigint, p_tr bigint, s_tr bigint"
-    if near.sharp:
-        probes = probing.mapInPandas(probe_short, row)
-    else:
-        left = probing.select("num", "t").mapInPandas(all_shingles, "key bigint, num bigint, place int").join(near_keys, "key", "left_semi")
-        left = left.groupBy("num").agg(F.sort_array(F.collect_list("place")).alias("places")).where(F.size("places") >= 2)
-        probes = probing.join(left, "num").mapInPandas(probe_left, row)
     n, i, j = ((f"shiftright(p_{x}, 32)" for x in ("ev", "tr")), (f"(shiftright(p_{x}, 16) & 65535)" for x in ("ev", "tr")), (f"(p_{x} & 65535)" for x in ("ev", "tr")))
     (n1, n2), (i1, i2), (j1, j2) = n, i, j
     edits = f"(greatest({n1}, {n2}) div 10)"
-    moved = f"abs({i1} - {i2}) + abs(({j1} - {i1}) - ({j2} - {i2})) + abs(({n1} - {j1}) - ({n2} - {j2})) <= {edits}"
     alike = f"bit_count(s_ev ^ s_tr) <= 2 * {edits} - abs({n1} - {n2})"
-    short = two.join(probes, "key").where(f"{moved} and {alike}").select("ev", "tr")
+    if near.sharp:
+        probes = probing.mapInPandas(probe_short, "key bigint, tr bigint, p_tr bigint, s_tr bigint")
+        moved = f"abs({i1} - {i2}) + abs(({j1} - {i1}) - ({j2} - {i2})) + abs(({n1} - {j1}) - ({n2} - {j2})) <= {edits}"
+        short = two.join(probes, "key").where(f"{moved} and {alike}").select("ev", "tr")
+    else:
+        single = chosen.mapInPandas(_index_single, "key bigint, ev bigint, p_ev bigint, s_ev bigint")
+        probes = probing.mapInPandas(probe_single, "key bigint, tr bigint, p_tr bigint, s_tr bigint")
+        moved = f"abs({j1} - {j2}) + abs(({n1} - {j1}) - ({n2} - {j2})) <= {edits}"
+        hits = single.join(probes, "key").where(f"{moved} and {alike}").select("ev", "tr", F.expr(j1).alias("at"))
+        short = hits.groupBy("ev", "tr").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a < b").select("ev", "tr")
 
     probes = tr.where(F.length("t") >= LEAST_LONG).mapInPandas(probe_long, "key bigint, tr bigint, p_tr bigint")
     (n1, i1), (n2, i2) = _unpack("p_ev"), _unpack("p_tr")

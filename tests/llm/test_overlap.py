@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from paleoline.llm import overlap as ov
 from paleoline.llm.text import level
@@ -63,20 +64,21 @@ def test_empty(spark, make_lines):
     assert rows(ov.cross_split_pairs(make_lines([]), works)) == []
 
 
-def test_without_sharp_filters(spark, make_lines, monkeypatch):
-    """Filters too small for their keys: the same pairs, by the shuffle join of shingles."""
+@pytest.mark.parametrize("bits", [1 << 9, 1 << 14])
+def test_without_sharp_filters(spark, make_lines, monkeypatch, bits):
+    """Filters too small for their keys: the same pairs, by a join on single shingles."""
     made = []
     sieve = ov._Sieve
 
     class Seen(sieve):
         def __init__(self, keys):
             super().__init__(keys)
-            made.append(self.sharp)
+            made.append((self.sharp, self.useful))
 
     monkeypatch.setattr(ov, "_Sieve", Seen)
-    monkeypatch.setattr(ov, "MOST_BITS", 1 << 10)
+    monkeypatch.setattr(ov, "MOST_BITS", bits)
     test_pairs_against_brute_force(spark, make_lines)
-    assert made[:2] == [False, False]
+    assert made[0] == (False, bits == 1 << 14)
 
 
 def test_sieve_holds_every_key(spark):
