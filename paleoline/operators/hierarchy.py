@@ -20,7 +20,8 @@ def resolve_links(lines: DataFrame, parent: str = "nonbreaking_next_line", with_
     """Root and depth of every row of ``lines`` whose link is the id of an existing row.
 
     ``lines`` needs ``id``, ``file_pos`` and the link column; other columns are ignored. Result: ``id``, ``root_id``,
-    ``depth``, with ``with_path`` ``path`` (ids from the root down to the row), and with ``weight`` ``total``, the sum of
+    ``depth``, with ``with_path`` ``path`` (ids from the root down to the row: a chain of n rows has n * (n + 1) / 2 ids in
+    its paths, which is what full paths are), and with ``weight`` ``total``, the sum of
     that column from the row up to, without, the root.
 
     Defined cases: rows with null id are left out; of repeated ids the current row counts; a null or empty link, or one
