@@ -71,12 +71,14 @@ def drop_scratch(spark: SparkSession) -> None:
     _delete(spark, scratch_dir(spark))
 
 
-def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; unchanged, so joined by shuffle, beyond that.
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows. The count stops at the bound, so it stays cheap on a large table."""
+    return df.limit(rows + 1).count() <= rows
 
-    The count stops at the bound, so it stays cheap on a large table.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if :func:`is_small`; unchanged, so joined by shuffle, beyond that."""
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def current(lines: DataFrame, *cols: str | Column, key: str = "id", order: str = "file_pos") -> DataFrame:

@@ -20,7 +20,6 @@ from paleoline.sources.characters import characters
 _XML = "{http://www.w3.org/XML/1998/namespace}"
 # Elements that own lines.
 _STRUCTURE = frozenset("l list p head lg epigraph note titlePage div".split())
-_VIEWS = ("source_sic", "source_corr", "target_sic", "target_corr")
 #: Branches of a choice and the views that read them.
 _BRANCH = {"abbr": (0, 1), "expan": (2, 3), "sic": (0, 2), "corr": (1, 3), "orig": (0, 1, 2, 3), "reg": ()}
 

@@ -19,6 +19,12 @@ def test_shred(spark):
     assert got["l4"]["source_sic"] == "a" and got["l5"]["ancestor_type"] == "div" and got["l1"]["contains_sic"] == "true"
 
 
+def test_read_files(spark, tmp_path):
+    (tmp_path / "f.xml").write_text(XML, encoding="utf-8")
+    got = jsonl.with_file_position(tei.read_tei(spark, str(tmp_path))).collect()
+    assert len(got) == 7 and len({r["file_pos"] for r in got}) == 7 and all(r["file_name"].endswith("f.xml") for r in got)
+
+
 def test_note_start():
     ids = [(r["id"], r["source_sic"]) for r in tei.shred(XML, note_initial=True)]
     assert ids[1:3] == [("n1__init", "nota"), ("n1a", "prima")]
