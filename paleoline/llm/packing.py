@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY, OPEN_BINS, SHARD_ROWS = 4096, 64, 50_000
+_BLOCK = 1_000_000
 
 
 def best_fit(sizes: list[int], capacity: int, open_bins: int) -> list[tuple[int, int, int]]:
@@ -61,18 +62,22 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     Defined cases: null text is no item, empty text is one token; a null ``doc_id`` is kept; repeated rows are items of their own; an
     empty table gives no rows.
     """
-    items = docs.where("text is not null").select("doc_id", (F.octet_length("text") + 1).alias("size"))
+    items = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc"), (F.octet_length("text") + 1).alias("size"))
     n = max(1, -(-items.count() // shard_rows))
-    items = items.withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id"), F.col("size")), F.lit(n)).cast("int"))
+    # Rows with the same id and size, of which there may be many, are counted and numbered, so each has a shard of its own.
+    many = items.groupBy("doc", "size").agg((F.count("*") - 1).alias("last")).withColumn("block", F.explode(F.sequence(F.lit(0), F.expr(f"last div {_BLOCK}"))))
+    items = many.withColumn("copy", F.explode(F.sequence(F.lit(0), F.least(F.lit(_BLOCK - 1), F.col("last") - F.col("block") * _BLOCK)))).select("doc", "size", (F.col("block") * _BLOCK + F.col("copy")).alias("copy"))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("doc", "size", "copy"), F.lit(n)).cast("int"))
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        order = b.assign(h=pd.util.hash_array(b["doc_id"].fillna(-1).astype("int64").to_numpy())).sort_values(["h", "size"], kind="stable")
+        order = b.assign(h=pd.util.hash_array(b["doc"].fillna("").to_numpy(object))).sort_values(["h", "size", "copy"], kind="stable")
         placed = pd.DataFrame(best_fit(order["size"].tolist(), capacity, open_bins), columns=["k", "container", "tokens"])
-        out = pd.DataFrame({"doc_id": order["doc_id"].iloc[placed["k"]].to_numpy(), "part": placed.groupby("k").cumcount().to_numpy(), "n_parts": placed.groupby("k")["k"].transform("size").to_numpy(), "tokens": placed["tokens"].to_numpy()})
+        out = pd.DataFrame({"doc": order["doc"].iloc[placed["k"]].to_numpy(), "part": placed.groupby("k").cumcount().to_numpy(), "n_parts": placed.groupby("k")["k"].transform("size").to_numpy(), "tokens": placed["tokens"].to_numpy()})
         out["container"] = placed["container"].to_numpy() * n + int(key[0])
         return out
 
-    return items.groupBy("shard").applyInPandas(run, "doc_id bigint, part int, n_parts int, tokens int, container bigint")
+    packed = items.groupBy("shard").applyInPandas(run, "doc string, part int, n_parts int, tokens int, container bigint")
+    return packed.select(F.col("doc").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "part", "n_parts", "tokens", "container")
 
 
 def container_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
