@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paleoline.session import current, materialise, small_or_plain
+from paleoline.session import current, is_small, materialise, small_or_plain
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -232,7 +232,10 @@ def normalise_text(lines: DataFrame, fields: tuple[str, ...] = ("source_sic", "t
     first = materialise(long.where(~plain).mapInPandas(_first_pass, _FIRST), "text-first")
     words = first.select(F.explode(F.flatten("mixed.words")).alias("word")).where("word <> ''").distinct()
     strip = F.regexp_replace(F.lower(F.col("w")), "[.,;:!?()\\[\\]\"'⦃⦄]+", "")
-    found = long.select(F.explode(F.split("text", " ")).alias("w")).select(strip.alias("word")).join(small_or_plain(materialise(words, "text-words")), "word", "left_semi").distinct()
+    words = materialise(words, "text-words")
+    corpus = long.select(F.explode(F.split("text", " ")).alias("w")).select(strip.alias("word"))
+    # Frequent words are one row before anything is shuffled.
+    found = corpus.join(F.broadcast(words), "word", "left_semi").distinct() if is_small(words) else corpus.distinct().join(words, "word", "left_semi")
     found = materialise(found, "text-vocabulary")
     return _with_vocabulary(long.where(plain), first, found)
 
