@@ -184,7 +184,7 @@ def has_filler(t: str) -> bool:
     return False
 
 
-_SCHEMA = "doc_id bigint, key bigint, slot boolean, filler boolean, notice boolean"
+_SCHEMA = "doc string, key bigint, slot boolean, filler boolean, notice boolean"
 
 
 def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,14 +192,13 @@ def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         texts = [t if t.isascii() and not _CONTROL.search(t) else clean_base(t, "\n")[0] for t in b["text"]]
-        for i, key, text, title, again in zip(b["doc_id"], b["key"], texts, b["title"], repeated_words(texts)):
+        for i, key, text, title, again in zip(b["doc"], b["key"], texts, b["title"], repeated_words(texts)):
             notice = other = 0
             low = text.lower()
             if any(k in low for k in _NOTICE_KEYS) or _NOTICE_NUMBER.search(text):
                 notice, other = notice_parts(text, title)
             rows.append((i, key, has_slot(text), again or has_filler(text), notice > 0 and notice >= 3 * other))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
-        out["doc_id"] = b["doc_id"].astype("Int64").to_numpy()
         yield out[out["slot"] | out["filler"] | out["notice"]]
 
 
@@ -295,10 +294,10 @@ def residue(docs: DataFrame, host: str = "source", least_copies: int = 3, least_
     rows = docs.select("doc_id", "text", "title", F.col(host).alias("host"))
     some = rows.where("text <> ''").withColumn("key", F.xxhash64("text", "title", "host"))
     held = materialise(segments(some.withColumn("row", F.monotonically_increasing_id())), "residue-segments")
-    seen = materialise(some.select("doc_id", "key", "text", "title").mapInPandas(_detect, _SCHEMA).distinct(), "residue-detected")
+    seen = materialise(some.select(F.col("doc_id").cast("string").alias("doc"), "key", "text", "title").mapInPandas(_detect, _SCHEMA).distinct(), "residue-detected")
     again = materialise(repeated_answers(held, some, least_copies, least_hosts), "residue-answers")
-    d = small_or_plain(seen.withColumnsRenamed({"doc_id": "_doc", "key": "_key"}))
-    out = held.select("row", "doc_id", "key").join(d, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left").join(small_or_plain(again), "row", "left")
+    d = small_or_plain(seen.withColumnRenamed("key", "_key"))
+    out = held.select("row", "doc_id", "key").join(d, F.col("doc_id").cast("string").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("_key")), "left").join(small_or_plain(again), "row", "left")
     reason = F.when(F.col("slot"), "slot").when(F.col("filler"), "filler").when(F.col("copies").isNotNull(), "mismatch").when(F.col("notice"), "notice")
     out = out.select("doc_id", reason.alias("reason"), "copies", "hosts")
     empty = rows.where("text is null or text = ''").select("doc_id", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("bigint").alias("copies"), F.lit(None).cast("bigint").alias("hosts"))

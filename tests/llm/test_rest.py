@@ -167,9 +167,20 @@ def test_repeated_answers_need_no_phrases(spark, monkeypatch):
     docs += [(500 + k, "De iure belli sermo.", "De iure belli", f"h{k % 2}") for k in range(4)]  # the title says it
     docs += [(600 + k, "Vide infra paginam.", f"Opus {vocab[k]}", "h0") for k in range(4)]  # one host
     docs += [(700, "Sidan kunde inte.", "x", None), (None, real(5), None, None), (None, real(5), None, None), (701, "", "t", "h"), (702, None, None, None), (703, "Kyrie eleison " * 4 + real(30), "t", "h")]
+    docs += [(2**60 + 1, "a {{title}} b", "t", "h"), (2**60 + 2, "a b c", "t", "h")]
     docs += [(100, "Sidan 0 kunde inte hittas.", f"Titel {vocab[0]}", "h0")]  # the same row again
     df = spark.createDataFrame(docs, "doc_id bigint, text string, title string, source string").selectExpr("*", "1 as row", "'k' as key", "2 as copies", "'s' as segs", "'o' as host")
     got = rs.residue(df).collect()
     assert len(got) == len(docs)
-    assert {r["doc_id"] for r in got if r["reason"]} == {*range(100, 106), *range(200, 206)}
-    assert {r["copies"] for r in got if r["doc_id"] in range(100, 106)} == {7} and {r["hosts"] for r in got if r["reason"]} == {2}
+    assert {r["doc_id"] for r in got if r["reason"]} == {*range(100, 106), *range(200, 206), 2**60 + 1}
+    assert {r["copies"] for r in got if r["doc_id"] in range(100, 106)} == {7} and {r["hosts"] for r in got if r["reason"] == "mismatch"} == {2}
+
+
+def test_pack_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(pk, "_BLOCK", 7)
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(5, "x" * 999)] * 100 + [(None, "yy")] * 60 + [(big, "z")], "doc_id bigint, text string")
+    p = pk.pack(docs, shard_rows=20).cache()
+    assert rows(p.groupBy("doc_id").count()) == sorted([(None, 60), (5, 100), (big, 1)], key=str)
+    assert p.groupBy("container").sum("tokens").where("`sum(tokens)` > 4096").count() == 0 and p.select("container").distinct().count() < 45
+    assert {r["doc_id"] for r in p.collect()} == {None, 5, big}
