@@ -153,8 +153,7 @@ def test_splits(spark, make_lines):
 
 
 def test_repeated_answers_need_no_phrases(spark, monkeypatch):
-    monkeypatch.setattr(rs, "_NOTICE", __import__("re").compile("(?!)"))
-    monkeypatch.setattr(rs, "_FILLER", __import__("re").compile("(?!)"))
+    monkeypatch.setattr(rs, "WEAK", frozenset(["none"]))
     rng = random.Random(5)
     vocab = [a + b + c for a in "bdfglm" for b in ("ar", "el", "in", "os") for c in ("a", "um", "it")]
     real = lambda n: " ".join(rng.choice(vocab) for _ in range(n)).capitalize() + "."
